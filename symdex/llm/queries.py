@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symdex.llm import token_codec
+from symdex.llm import decontaminate, secret_scan, token_codec, token_lengths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op5_token_lengths": token_lengths.op5_token_lengths,
     "op7_byte_bpe_codec": token_codec.op7_byte_bpe_codec,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+}

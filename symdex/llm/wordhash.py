@@ -38,6 +38,7 @@ class Words:
         letters = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
         if lower:
             letters[65:91] = letters[97:123]
+            self.inside[65:91] = self.inside[97:123]
         self.letters = letters
 
     def spans(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
