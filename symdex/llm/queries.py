@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symdex.llm import decontaminate, secret_scan, token_codec, token_lengths
+from symdex.llm import chat_format, decontaminate, quality_rules, secret_scan, token_codec, token_lengths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_token_lengths": token_lengths.op5_token_lengths,
     "op7_byte_bpe_codec": token_codec.op7_byte_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.OP1_SQL,
+    "op10_chat_format": chat_format.OP10_SQL,
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
 }
