@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symdex.llm import chat_format, decontaminate, quality_rules, secret_scan, token_codec, token_lengths
+from symdex.llm import chat_format, decontaminate, near_duplicates, quality_rules, secret_scan, token_codec, token_lengths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_lengths": token_lengths.op5_token_lengths,
     "op7_byte_bpe_codec": token_codec.op7_byte_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_near_duplicates": near_duplicates.op9_near_duplicates,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 
