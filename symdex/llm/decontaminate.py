@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symdex.llm.shared import bytes_of, map_texts, table
+from symdex.llm.shared import bytes_of, keyed, map_texts, table
 from symdex.llm.wordhash import BY_SIGN, U, runs
 
 WINDOW, SHINGLE = 13, 4
@@ -150,7 +150,7 @@ def _shingle_counts(texts: DataFrame, windows: Windows, spark: SparkSession) ->
     return counts
 
 
-def _mark(texts: DataFrame, windows: Windows, spark: SparkSession, key_type: str, last: bool) -> DataFrame:
+def _mark(texts: DataFrame, windows: Windows, spark: SparkSession, last: bool) -> DataFrame:
     """Add one block's spans and items. Spans are start and end words in turn."""
     shared = spark.sparkContext.broadcast(windows)
 
@@ -177,7 +177,7 @@ def _mark(texts: DataFrame, windows: Windows, spark: SparkSession, key_type: str
 
         return each
 
-    out = map_texts(texts.select("key", "text", "spans", "items"), "text", make, f"key {key_type}, text string, spans array<bigint>, items array<string>, n_words bigint, n_hit bigint")
+    out = map_texts(texts.select("key", "text", "spans", "items"), "text", make, keyed(texts, "key", "text string, spans array<bigint>, items array<string>, n_words bigint, n_hit bigint"))
     return out
 
 
@@ -194,7 +194,6 @@ def _union(pairs: list[tuple[int, int]]) -> list[int]:
 
 def contaminated_words(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, n_hit, spans, items) of each document: the word spans hit and the ids of the items found."""
-    kind = documents.schema[key].dataType.simpleString()
     texts = documents.select(documents[key].alias("key"), "text", F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     bench = benchmark.select(F.coalesce(benchmark[item].cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -207,10 +206,17 @@ def contaminated_words(spark: SparkSession, documents: DataFrame, benchmark: Dat
         items = sorted({(r["item"], r["text"].encode()) for r in mine.select("item", "text").toLocalIterator()})
         windows = Windows(items, window, shingle)
         windows.order_by_rarity(_shingle_counts(texts, windows, spark) if windows.start else {})
-        out = _mark(out, windows, spark, kind, b == blocks - 1)
+        out = _mark(out, windows, spark, b == blocks - 1)
     return out.select(F.col("key").alias(key), "n_words", "n_hit", "spans", "items")
 
 
+def drop_contaminated(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, item: str = "item_id", share: int = 20) -> DataFrame:
+    """The rows and columns of documents, without contaminated ones."""
+    rows = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("row"), "text")
+    found = contaminated_words(spark, rows, benchmark, "row", item)
+    return found.where(~((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))).select("row.*")
+
+
 def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", share: int = 20) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated): contaminated if at least one word in `share` is hit."""
     found = contaminated_words(spark, documents, benchmark, key, item)

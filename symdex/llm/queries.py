@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symdex.llm import chat_format, decontaminate, near_duplicates, quality_rules, secret_scan, token_codec, token_lengths
+from symdex.llm import chat_format, decontaminate, html_text, language_id, near_duplicates, quality_crf, quality_rules, secret_scan, token_codec, token_lengths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_quality_classifier": quality_crf.op2_quality_classifier,
+    "op3_language_id": language_id.op3_language_id,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op5_token_lengths": token_lengths.op5_token_lengths,
+    "op6_html_main_text": html_text.op6_html_main_text,
     "op7_byte_bpe_codec": token_codec.op7_byte_bpe_codec,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_near_duplicates": near_duplicates.op9_near_duplicates,

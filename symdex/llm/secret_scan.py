@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from symdex.llm.shared import map_texts, table
+from symdex.llm.shared import keyed, map_texts, table
 
 KINDS = ("assign", "access", "hex", "random")
 #: The keyword letters may have either case, ASCII only.
@@ -156,8 +156,7 @@ def scan_texts(df: DataFrame, key: str = "doc_id", text: str = "text", margin: f
 
         return each
 
-    kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string"
+    schema = keyed(df, key, "n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string")
     return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, schema).withColumnRenamed("key", key)
 
 

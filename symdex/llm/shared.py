@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,11 @@ class Workspace:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keyed(df: DataFrame, key: str, rest: str) -> T.StructType:
+    """A field `key` of that column's type, whatever it is, then the fields of a DDL text."""
+    return T.StructType([T.StructField("key", df.schema[key].dataType), *T._parse_datatype_string(rest).fields])
+
+
 def held_out(key, parts: int, part: int):
     """crc32 of the key as text, mod `parts`, is `part`."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
@@ -69,7 +75,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, max_bytes: int = 1 << 21) -> DataFrame:
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType, max_bytes: int = 1 << 21) -> DataFrame:
     """mapInArrow in slices of bounded text. `make` runs once per task and returns the function of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

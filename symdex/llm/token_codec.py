@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from symdex.llm.shared import map_texts, table, texts_of
+from symdex.llm.shared import keyed, map_texts, table, texts_of
 
 #: Bound on remembered parts of texts per worker; beyond it the memory starts anew (results are the same).
 CACHE_PARTS = 400_000
@@ -124,6 +124,11 @@ def default_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+
+
 def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(key, ids array<int>) for each row: the ids themselves, for training files."""
     known = default_tokenizer()
@@ -134,14 +139,11 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = codec.encode(texts_of(batch, "text"))
-            offsets = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["key", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column(0), _lists(ids)], ["key", "ids"])
 
         return each
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, keyed(df, key, "ids array<int>")).withColumnRenamed("key", key)
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -156,14 +158,14 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
             rows = [b"".join(vocabulary[i] for i in x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["key", "text"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(df[key].alias("key"), df[ids].alias("ids")).mapInArrow(run, f"key {kind}, text binary").withColumnRenamed("key", key)
+    return df.select(df[key].alias("key"), df[ids].alias("ids")).mapInArrow(run, keyed(df, key, "text binary")).withColumnRenamed("key", key)
 
 
-def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of each whole text: digests of the ids and of their decoding."""
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of each whole text, digests of the ids and of their decoding; on request the ids too."""
     known = default_tokenizer()
     get = _maker(path or known[0], pattern or known[1])
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def make():
         codec = get()
@@ -172,13 +174,13 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
             ids = codec.encode(texts_of(batch, "text"))
             digest = [hashlib.sha256(x).hexdigest() for x in ids]
             decoded = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digest), pa.array(decoded)], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+            return pa.RecordBatch.from_arrays([*columns, *[_lists(ids)] * with_ids], names)
 
         return each
 
-    kind = df.schema[key].dataType.simpleString()
-    out = map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("key", key)
+    schema = keyed(df, key, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, schema).withColumnRenamed("key", key)
 
 
 def op7_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from symdex.llm.shared import map_texts, table, texts_of
+from symdex.llm.shared import keyed, map_texts, table, texts_of
 
 #: Distinct lengths to a block of the two-level suffix sums.
 BLOCK = 4096
@@ -55,8 +55,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
         return each
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, f"key {kind}, n_tokens bigint").withColumnRenamed("key", key)
+    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, keyed(df, key, "n_tokens bigint")).withColumnRenamed("key", key)
 
 
 def histogram(counts: DataFrame) -> DataFrame:
