@@ -5,16 +5,18 @@
    value. Values of level j lie in [j, j + 1), so all elements of a text go level by level, and a text stops as
    soon as each of its slots is filled: later levels can't change any.
 2. Texts with equal sets are one class from here on, named by the smallest doc_id. A class has one row of band keys.
-3. Classes that share a band key are members of its bucket. In rounds, pivots of each bucket are compared with its
-   other members, but only across components found so far, and only where sizes allow the threshold; each pair is
-   verified once, on the full sets. The first round takes each class's smallest bucket mate, which already joins
-   groups of copies; later rounds take 1, 8, 64... pivots from the buckets that still hold several components. A
-   bucket is done when all members that were no pivots are in one component: every other pair was compared.
+3. Classes that share a band key are members of its bucket. Each class is first verified against its smallest
+   bucket mate, which already joins most groups of copies: one pair a class. Buckets that then still hold several
+   components make families (components of the candidate graph). In a family every class outside the largest
+   component is searched, on full sets, against all members of other components through an inverted index of their
+   shingles: members and searched classes are dealt to blocks of a bounded number of shingles, and a search returns
+   one link to each component it meets, never a row a pair. Pairs inside one component need no test, all other
+   candidate pairs get one, so no link between components is lost.
 4. Links become components by alternating large-star and small-star contraction after a union-find within partitions.
 
 A pair at the threshold of 0.8 shares one of 45 bands of 6 rows with probability 1 - 1.2e-6, above it more.
 Key counts and pivots are combined before they are shuffled, joins on keys are plain joins that skew handling can
-split, and no bucket's pairs are all emitted. Intermediate tables are written to the shared folder.
+split. Intermediate tables are written to the shared folder.
 
 Null or empty text, or text without words, has an empty set and is linked with nothing. Fewer words than a shingle
 make one shingle of them all. Equal texts are linked. Rows that repeat a doc_id are one node; a null doc_id keeps a
@@ -28,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from symdex.llm.shared import Workspace, bytes_of, map_texts, table
 from symdex.llm.wordhash import BY_SPACE, U, mix, runs
 
 BANDS, ROWS = 45, 6
+#: Shingles to a block of a family, which bounds what one search task holds.
+BLOCK_SHINGLES = 1 << 20
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -223,30 +226,57 @@ def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text:
     first = first.select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")).where(size_ok).select("a", "b").distinct()
     tested = work.write(first, "pairs")
     found = work.write(_verified(tested, sets, threshold), "links")
-    done = None  # pivots (k, id) that were compared with their whole bucket
-    many = 1
-    while True:
-        parts = components(found, work)
-        state = members.select("k", "id", "n").join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        state = state.join(done.withColumn("done", F.lit(True)), ["k", "id"], "left") if done is not None else state.withColumn("done", F.lit(None).cast("boolean"))
-        state = state.withColumn("open", F.col("done").isNull())
-        counts = state.where("open").groupBy("k", "c").agg(F.count(F.lit(1)).alias("m"))
-        top = counts.groupBy("k").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        state = work.write(state.join(top.select("k", "top"), "k"), "state")  # only buckets that are not done
-        order = W.partitionBy("k").orderBy("id")
-        pivots = work.write(state.where("open AND c <> top").select("k", "id", "n", "c", F.row_number().over(order).alias("r")).where(F.col("r") <= many).drop("r"), "pivots")
-        if pivots.isEmpty():
-            return found
-        p = pivots.select("k", F.col("id").alias("p"), F.col("n").alias("na"), F.col("c").alias("pc"))
-        pairs = state.select("k", "id", F.col("n").alias("nb"), "c").join(p, "k").where((F.col("c") != F.col("pc")) & size_ok)
-        pairs = pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = work.write(pairs, "pairs")
-        new = work.write(_verified(pairs, sets, threshold), "links")
-        tested, found = tested.unionByName(pairs), found.unionByName(new)
-        new_done = pivots.select("k", "id")
-        done = new_done if done is None else done.unionByName(new_done)
-        work.drop(state)
-        many *= 8
+    parts = work.write(components(found, work), "parts")
+    known = members.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    mixed = known.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
+    family_edges = members.join(mixed, "k", "left_semi").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    families = components(family_edges, work)
+    families = families.unionByName(families.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "family")
+    rows = families.join(parts, "id", "left").join(members.groupBy("id").agg(F.max("n").alias("n")), "id").select("family", "id", F.coalesce("component", "id").alias("c"), "n")
+    rows = work.write(rows, "families")
+    sizes = rows.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    whole = sizes.groupBy("family").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("top"), F.max_by("s", F.struct("m", -F.col("c"))).alias("ts"), F.sum("s").alias("s"))
+    blocks = whole.select("family", "top", F.ceil(F.col("s") / BLOCK_SHINGLES).alias("mb"), F.ceil((F.col("s") - F.col("ts")) / BLOCK_SHINGLES).alias("rb"))
+    dealt = rows.join(blocks, "family").where("rb > 0").join(sets, "id")
+    own = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    held = dealt.select("family", (own % F.col("mb")).cast("int").alias("x"), each("rb").alias("y"), F.lit(False).alias("q"), "id", "c", "shingles")
+    asked = dealt.where("c <> top").select("family", each("mb").alias("x"), (own % F.col("rb")).cast("int").alias("y"), F.lit(True).alias("q"), "id", "c", "shingles")
+    more = held.unionByName(asked).groupBy("family", "x", "y").applyInArrow(_searcher(threshold), "a bigint, b bigint")
+    return found.unionByName(work.write(more, "links"))
+
+
+def _searcher(threshold: int):
+    """Of one block: for each asked class one held class of each other component that reaches the threshold."""
+
+    def search(block: pa.Table) -> pa.Table:
+        asked = np.asarray(block.column("q").to_pylist(), bool)
+        ids, comps = block.column("id").to_numpy(), block.column("c").to_numpy()
+        lists = block.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        size = np.diff(offsets)
+        held = np.flatnonzero(~asked)
+        row = np.repeat(np.arange(len(held)), size[held])
+        mine = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in held]) if len(held) else np.empty(0, np.int64)
+        order = np.argsort(mine, kind="stable")
+        mine, row = mine[order], row[order]
+        a, b = [], []
+        for i in np.flatnonzero(asked):
+            own = values[offsets[i] : offsets[i + 1]]
+            low, high = np.searchsorted(mine, own, "left"), np.searchsorted(mine, own, "right")
+            n = high - low
+            at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            same = np.bincount(row[at], minlength=len(held))
+            near = np.flatnonzero((100 * same >= threshold * (size[held] + size[i] - same)) & (comps[held] != comps[i]))
+            if len(near):
+                _, first = np.unique(comps[held][near], return_index=True)
+                for j in held[near[first]]:
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return search
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
