@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from symdex.facts import Facts
-from symdex.operators import graph, health, lint, lookup, references, search
+from symdex.operators import graph, health, lint, lookup, references, refactor, search
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "resolve_type": lookup.resolve_type, "class_summary": lookup.class_summary, "method_signature": lookup.method_signature, "find_callers": references.find_callers,
@@ -18,7 +18,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "concern_usage": graph.concern_usage, "find_references": references.find_references, "explain_symbol": lookup.explain_symbol, "batch_resolve": lookup.batch_resolve,
     "workspace_health": health.workspace_health, "test_summary": lookup.test_summary, "list_routes": search.list_routes, "available_code_actions": lookup.code_actions,
     "diagnostic_summary": health.diagnostic_summary, "explain_type_chain": lookup.explain_type_chain, "suggest_types": health.suggest_types, "type_coverage": health.type_coverage,
-    "find_similar": search.find_similar,
+    "find_similar": search.find_similar, "refactor": refactor.refactor_file,
 }
 
 EDITOR: dict[str, Callable[..., DataFrame]] = {
@@ -43,3 +43,11 @@ def run(facts: Facts, name: str, **arguments) -> DataFrame:
         if name in table:
             return table[name](facts, **arguments)
     raise KeyError(name)
+
+
+#: Compositions for a client's prompts: the parts of each, by name.
+PROMPTS: dict[str, Callable[..., dict[str, DataFrame]]] = {
+    "class-overview": lambda f, name: {"card": lookup.class_card(f, name), "summary": lookup.class_summary(f, name), "hierarchy": graph.type_hierarchy(f, name)},
+    "trace-callers": lambda f, name: {"callers": references.find_callers(f, name), "incoming": references.incoming_calls(f, name)},
+    "find-bugs": lambda f, path: {"findings": lint.run_checks(f).join(f.file(path), "file_id"), "overview": lookup.file_overview(f, path)},
+}

@@ -12,8 +12,10 @@ def spark(tmp_path_factory):
 
     s = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "2g")
         .config("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))

@@ -11,7 +11,7 @@ def rows(df, *cols):
 
 
 def test_every_tool_is_registered():
-    assert len(registry.TOOLS) == 33 and {"find_symbol", "search_symbols"} <= set(registry.TOOLS)
+    assert len(registry.TOOLS) == 34 and {"find_symbol", "search_symbols"} <= set(registry.TOOLS)
 
 
 def test_search(facts):
@@ -148,3 +148,11 @@ def test_writes(spark, facts):
     assert rows(writes.merge_variables(v), "type_hint", "confidence", "class_id") == [("X", 50, 7)]
     refs = facts.refs
     assert writes.insert_or_ignore("refs", refs, refs.unionByName(refs.withColumn("line", refs["line"] + 100))).count() == 2 * refs.count()
+
+
+def test_refactor_tool_and_prompts(facts):
+    text = registry.run(facts, "refactor", path="app/user.rb", start_line=6, end_line=6, kind="extract_method").first()["text"]
+    assert "def extracted_method\n" in text
+    assert "extracted = " in registry.run(facts, "refactor", path="app/order.rb", start_line=4, end_line=4, kind="extract_variable").first()["text"]
+    for name, args in (("class-overview", ["User"]), ("trace-callers", ["name"]), ("find-bugs", ["app/order.rb"])):
+        assert all(df.columns for df in registry.PROMPTS[name](facts, *args).values())
