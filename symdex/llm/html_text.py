@@ -383,7 +383,10 @@ def labelled_pages(n: int = 320, seed: int = 11) -> list[str]:
             return f"<main data-main=1>{body}</main>"
         if shape < 0.9:
             return f'<div {r.choice(("class", "id"))}="{pick("content", "post-content", "entry", "article-body", "story", "main")}" data-main=1>{body}</div>'
-        if shape < 0.95:
+        if shape < 0.94:
+            aside_cell = f'<td class="{pick("menu", "nav", "sidebar")}" data-main=0>' + r.choice((menu(), f"<p>{prose(1, 2)}</p>", "<br>".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(r.randint(2, 6))))) + "</td>"
+            return f'<table><tr>{aside_cell}<td class="{pick("content", "main", "text")}" data-main=1>{body}</td></tr></table>'
+        if shape < 0.97:
             return f'<section class="{pick("article", "text")}" data-main=1>{body}</section>'
         return f"<div><div data-main=1>{body}</div></div>"
 

@@ -179,8 +179,9 @@ def _local_forests(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, work: Workspace, limit: int = 50) -> DataFrame:
     """(id, component) of every node of (a, b) edges: stars whose centre is the smallest id of the component."""
     e = work.write(_local_forests(edges.select("a", "b").where("a <> b")), "forest")
-    before = None
     for _ in range(limit):
+        if _are_stars(e):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -189,18 +190,20 @@ def components(edges: DataFrame, work: Workspace, limit: int = 50) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         small = work.write(small, "small")
-        now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         work.drop(large)
         work.drop(e)
         e = small
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller node and no node that others point to has any."""
+    ends = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold in hundredths."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -229,7 +232,7 @@ def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text:
     parts = work.write(components(found, work), "parts")
     known = members.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = known.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
-    family_edges = members.join(mixed, "k", "left_semi").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+    family_edges = members.join(mixed, "k", "left_semi").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     families = components(family_edges, work)
     families = families.unionByName(families.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "family")
     rows = families.join(parts, "id", "left").join(members.groupBy("id").agg(F.max("n").alias("n")), "id").select("family", "id", F.coalesce("component", "id").alias("c"), "n")
