@@ -278,6 +278,21 @@ def _parameters(text: str) -> list[dict]:
     return rows
 
 
+def _sorbet(sig: str) -> tuple[dict[str, str], str | None]:
+    """Types of parameters and result in a sig block. A void result is nil."""
+    m = re.search(r"params\((.*?)\)\s*(?:\.|\}|$)", sig)
+    types = dict(x.split(":", 1) for x in _outer(m[1]) if ":" in x) if m else {}
+    result = re.search(r"returns\((.*)\)", sig)
+    return {k.strip(): v.strip() for k, v in types.items()}, result[1].strip() if result else "NilClass" if re.search(r"\bvoid\b", sig) else None
+
+
+def _tags(doc: str | None) -> tuple[dict[str, str], str | None]:
+    """Types that @param and @return tags of a comment tell."""
+    params = {n or m: t or u for n, t, u, m in re.findall(r"@param\s+(?:(\w+)\s+\[([^\]]+)\]|\[([^\]]+)\]\s+(\w+))", doc or "")}
+    result = re.search(r"@return\s+\[([^\]]+)\]", doc or "")
+    return params, result[1].replace(", ", " | ") if result else None
+
+
 def parse_ruby(text: str) -> dict[str, list[dict]]:
     """Symbols, parameters, variables, references and mixins that single lines tell.
 
@@ -286,7 +301,7 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
     """
     symbols, params, variables, refs, mixins, doc = [], [], [], [], [], []
     stack = []  # (kind, qualified name, index of symbol, visibility)
-    scope = 0
+    scope, sig = 0, ""
     for n, raw in enumerate(text.split("\n"), 1):
         line = raw.strip()
         if line.startswith("#"):
@@ -315,12 +330,26 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
         if re.match(r"^class\s*<<\s*self", code):
             stack.append(("singleton", owner[1] if owner else "", None, ["public"]))
             continue
+        if m := re.match(r"^sig\s*(?:\{(.*)\}|do\s*(.*?)\s*(?:end)?)\s*$", code):
+            sig = m[1] or m[2] or ""
+            if re.match(r"^sig\s+do\s*$", code):
+                stack.append(("block", "", None, ["public"]))
+            continue
+        if re.match(r"^\.?(params\(|returns\(|void\b)", code) and stack and stack[-1][0] == "block":
+            sig += "." + code
+            continue
         if m := re.match(r"^(private|public|protected)?\s*def\s+(self\.)?([\w?!=]+|[<>=\[\]+\-*/%!~^&|]+)\s*(?:\((.*?)\)|\s+([^=(;].*))?(\s*=\s*.+)?$", code):
             name = m[3]
             klass = m[2] or (stack and stack[-1][0] == "singleton")
             kind = "classdef" if klass else "test" if name.startswith("test_") else "def"
             make(name, kind, visibility=m[1] or (inside[3][0] if inside and inside[0] != "def" else "public"), return_type=literal_type(m[6].strip(" =")) if m[6] else None)
-            params += [p | {"symbol": len(symbols) - 1} for p in _parameters(m[4] or m[5] or "")]
+            by_tag, tagged = _tags(said)
+            by_sig, declared = _sorbet(sig) if sig else ({}, None)
+            sig = ""
+            symbols[-1]["return_type"] = declared or symbols[-1].get("return_type") or tagged
+            for p in _parameters(m[4] or m[5] or ""):
+                hint = by_sig.get(p["name"]) or by_tag.get(p["name"])
+                params.append(p | {"symbol": len(symbols) - 1} | ({"type_hint": hint, "confidence": 90} if hint else {}))
             scope += 1
             if not m[6]:
                 stack.append(("def", name, len(symbols) - 1, ["public"]))

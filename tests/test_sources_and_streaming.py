@@ -49,6 +49,12 @@ def test_ruby_subset():
         parsers.parse_ruby(odd)
 
 
+def test_declared_types():
+    got = parsers.parse_ruby("class A\n  # @param n [Integer, nil] how many\n  # @return [String, nil]\n  def x(n)\n  end\n  sig { params(a: Integer, b: T::Boolean).returns(T::Array[Integer]) }\n  def y(a, b)\n  end\n  sig do\n    params(c: Float)\n    .void\n  end\n  def z(c)\n  end\nend\n")
+    assert [(s["name"], s.get("return_type")) for s in got["symbols"]] == [("A", None), ("x", "String | nil"), ("y", "T::Array[Integer]"), ("z", "NilClass")]
+    assert [(p["name"], p["type_hint"]) for p in got["params"]] == [("n", "Integer, nil"), ("a", "Integer"), ("b", "T::Boolean"), ("c", "Float")]
+
+
 def test_scan_and_extract(spark, tmp_path):
     files = {"app/user.rb": "class User < Base\n  def name\n    full\n  end\nend\n", "config/routes.rb": "resources :users\n", "config/locales/en.yml": "en:\n  a:\n    b: C\n", "sig/user.rbs": "class User\n  def age: () -> Integer\nend\n", "node_modules/x.rb": "class No\nend\n", ".git/y.rb": "class No\nend\n", "notes.txt": "no", "spec/big.rb": "class Spec\nend\n"}
     for p, t in files.items():
