@@ -191,7 +191,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
         return each
 
-    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, keyed(df, key, "lang_pred string, score double"), 1 << 20).withColumnRenamed("key", key)
+    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, keyed(df, key, "lang_pred string, score double"), 1 << 20, 512).withColumnRenamed("key", key)
 
 
 def label_rows(df: DataFrame, model: Model, text: str = "text", name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
@@ -209,7 +209,7 @@ def label_rows(df: DataFrame, model: Model, text: str = "text", name: str = "lan
 
         return each
 
-    return map_texts(df, text, make, schema, 1 << 20)
+    return map_texts(df, text, make, schema, 1 << 20, 512)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

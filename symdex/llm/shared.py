@@ -62,12 +62,12 @@ def held_out(key, parts: int, part: int):
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about max_bytes of text each; a longer single row is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most max_rows and about max_bytes of text; a longer single row is a part of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.binary())), 0).to_pylist()
     begin = total = 0
     for i, n in enumerate(sizes):
-        if i > begin and total + n > max_bytes:
+        if i > begin and (total + n > max_bytes or i - begin >= max_rows):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n
@@ -75,14 +75,14 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
         yield batch.slice(begin)
 
 
-def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType, max_bytes: int = 1 << 21) -> DataFrame:
-    """mapInArrow in slices of bounded text. `make` runs once per task and returns the function of a slice."""
+def map_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | T.StructType, max_bytes: int = 1 << 21, max_rows: int = 4096) -> DataFrame:
+    """mapInArrow in slices of bounded text and rows. `make` runs once per task and returns the function of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = None
         for batch in batches:
             each = each or make()
-            for part in slices(batch, column, max_bytes):
+            for part in slices(batch, column, max_bytes, max_rows):
                 yield each(part)
 
     return df.mapInArrow(run, schema)
