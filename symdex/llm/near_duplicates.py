@@ -177,21 +177,26 @@ def _local_forests(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, work: Workspace, limit: int = 50) -> DataFrame:
-    """(id, component) of every node of (a, b) edges: stars whose centre is the smallest id of the component."""
+    """(id, component) of every node of (a, b) edges: stars whose centre is the smallest id of the component.
+
+    What is aggregated by a key is written before it is joined, so that the join has plain exchanges on both sides and
+    skew handling can split the rows of a hub.
+    """
     e = work.write(_local_forests(edges.select("a", "b").where("a <> b")), "forest")
     for _ in range(limit):
         if _are_stars(e):
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = work.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = work.write(large.where("a <> b"), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        work.drop(least)
+        least = work.write(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         small = work.write(small, "small")
-        work.drop(large)
-        work.drop(e)
+        for done in (large, least, e):
+            work.drop(done)
         e = small
     else:
         raise RuntimeError("components did not settle")
@@ -218,7 +223,8 @@ def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text:
     """Links (a, b) between classes (id, n_shingles, bands) that connect every component; `docs` has the texts."""
     shared = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("k"))
     buckets = shared.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = work.write(shared.join(buckets.select("k", "pivot"), "k").select("k", "id", "n", "pivot"), "members")
+    buckets = work.write(buckets.select("k", "pivot"), "buckets")
+    members = work.write(shared.join(buckets, "k").select("k", "id", "n", "pivot"), "members")
     ids = members.select("id").distinct()
     mine = docs.select(docs[key].cast("bigint").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
     sets = work.write(_sets(mine, shingle), "sets")
@@ -232,6 +238,7 @@ def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text:
     parts = work.write(components(found, work), "parts")
     known = members.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = known.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
+    mixed = work.write(mixed, "mixed")
     family_edges = members.join(mixed, "k", "left_semi").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
     families = components(family_edges, work)
     families = families.unionByName(families.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "family")
@@ -240,7 +247,7 @@ def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text:
     sizes = rows.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
     whole = sizes.groupBy("family").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("top"), F.max_by("s", F.struct("m", -F.col("c"))).alias("ts"), F.sum("s").alias("s"))
     blocks = whole.select("family", "top", F.ceil(F.col("s") / BLOCK_SHINGLES).alias("mb"), F.ceil((F.col("s") - F.col("ts")) / BLOCK_SHINGLES).alias("rb"))
-    dealt = rows.join(blocks, "family").where("rb > 0").join(sets, "id")
+    dealt = rows.join(work.write(blocks, "blocks"), "family").where("rb > 0").join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     held = dealt.select("family", (own % F.col("mb")).cast("int").alias("x"), each("rb").alias("y"), F.lit(False).alias("q"), "id", "c", "shingles")
