@@ -33,6 +33,8 @@ FAMILIES = {
     **dict.fromkeys(["ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl", "mk", "bs"], "slavic"),
 }
 DIMENSIONS = 1 << 13
+#: Text and rows that are turned into features at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 128
 #: Texts that are learnt from, for each language.
 PER_LANGUAGE = 400
 
@@ -143,7 +145,8 @@ def fit(texts: list[str], langs: list[str], families: dict[str, str] = FAMILIES)
     model = Model(tree)
     if not texts:
         return model
-    x, n = features(texts)
+    parts = [features(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+    x, n = np.concatenate([p for p, _ in parts]), np.concatenate([k for _, k in parts])
     keep = n > 0
     x, y = x[keep], np.array(langs, object)[keep]
     own = np.array([families.get(v, f"only {v}") for v in y], object)
@@ -191,7 +194,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
         return each
 
-    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, keyed(df, key, "lang_pred string, score double"), 1 << 20, 512).withColumnRenamed("key", key)
+    return map_texts(df.select(df[key].alias("key"), df[text].alias("text")), "text", make, keyed(df, key, "lang_pred string, score double"), SLICE_BYTES, SLICE_ROWS).withColumnRenamed("key", key)
 
 
 def label_rows(df: DataFrame, model: Model, text: str = "text", name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
@@ -209,7 +212,7 @@ def label_rows(df: DataFrame, model: Model, text: str = "text", name: str = "lan
 
         return each
 
-    return map_texts(df, text, make, schema, 1 << 20, 512)
+    return map_texts(df, text, make, schema, SLICE_BYTES, SLICE_ROWS)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
