@@ -3,9 +3,11 @@
 Every whole text is scanned. Three base kinds are patterns: `assign` (a keyword, a separator and a value of 8 or
 more characters), `access` (AKIA and upper-case letters or digits, 16 or more characters) and `hex` (32 or more of
 [0-9a-f]); matches are leftmost and without overlap within a kind, and those that are too short are dropped after
-matching. The fourth kind, `random`, holds runs of [A-Za-z0-9+/_=-] of 20 or more characters that a first-order
-Markov model of random strings explains better than one of identifiers, by a log-likelihood ratio; a run that
-touches a base span adds nothing. Spans are code points, end exclusive.
+matching. The fourth kind, `random`, is looked for in runs of [A-Za-z0-9+/_=-], in each part of 20 or more characters
+that is outside the base spans: the whole part, if a first-order Markov model of random strings explains it better
+than one of identifiers, by a log-likelihood ratio a character; else its best stretches of 20 or more characters,
+each widened to the separators around it, as long as their ratio also makes up for the number of stretches there
+are to choose from. Spans are code points, end exclusive.
 
 The models are fitted on labelled samples that a seeded rule generates: random strings over several alphabets,
 and identifiers, paths, words and numbers. Null text counts as empty and has no spans; repeated rows give repeated
@@ -30,6 +32,8 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+_SEPARATORS = frozenset("+/_=-")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 _RUN = np.array([chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-" for b in range(256)])
 
@@ -95,6 +99,40 @@ class Scanner:
         c = np.frombuffer(b"\0" + s.encode("ascii"), np.uint8)
         return (max(m.of(c) for m in self.noise) - self.ordinary.of(c)) / len(s)
 
+    def stretch(self, s: str) -> tuple[int, int] | None:
+        """(start, end) of the stretch of s that lies farthest above the margin, or nothing if none stands out."""
+        c = np.frombuffer(b"\0" + s.encode("ascii"), np.uint8)
+        n = len(s) - LEAST + 1  # starts, and ends, of a stretch
+        best = (np.log(n * (n + 1) / 2), -1, -1)
+        for m in self.noise:
+            total = np.concatenate(([0.0], np.cumsum(m.logp[c[:-1], c[1:]] - self.ordinary.logp[c[:-1], c[1:]] - self.margin)))
+            gain = total[LEAST:] - np.minimum.accumulate(total[:n])
+            end = int(gain.argmax())
+            if gain[end] >= best[0]:
+                best = (gain[end], int(total[: end + 1].argmin()), end + LEAST)
+        _, a, b = best
+        if a < 0:
+            return None
+        while a > 0 and s[a] not in _SEPARATORS and s[a - 1] not in _SEPARATORS:
+            a -= 1
+        while b < len(s) and s[b - 1] not in _SEPARATORS and s[b] not in _SEPARATORS:
+            b += 1
+        return a, b
+
+    def random_spans(self, s: str) -> list[tuple[int, int]]:
+        """(start, end) of the random parts of a run without base spans."""
+        found, todo = [], [(0, len(s))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < LEAST:
+                continue
+            part = s[a:b]
+            got = (0, b - a) if self.ratio(part) >= self.margin else self.stretch(part)
+            if got:
+                found.append((a + got[0], a + got[1]))
+                todo += [(a, a + got[0]), (a + got[1], b)]
+        return found
+
     def scan(self, raws: list[bytes]) -> list[list[tuple[int, int, int]]]:
         """(start, kind number, end) of each text's spans, sorted. Only runs of 16 or more run characters are looked into."""
         data = b"\n".join(raws) + b"\n"
@@ -113,7 +151,7 @@ class Scanner:
             low = raw.lower()
             if (b":" in raw or b"=" in raw) and any(h.encode() in low for h in _HINTS):
                 spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(raw.decode()) if m.end(2) - m.start(2) >= 8]
-            maybe: list[tuple[int, int, int]] = []
+            maybe: list[tuple[int, str]] = []
             ascii_only = raw.isascii()
             for a, b in zip(starts[of_text[i] : of_text[i + 1]].tolist(), ends[of_text[i] : of_text[i + 1]].tolist(), strict=True):
                 run = data[a:b].decode("ascii")
@@ -121,10 +159,22 @@ class Scanner:
                 at = at if ascii_only else len(raw[:at].decode())
                 spans += [(at + m.start(), 1, at + m.end()) for m in ACCESS.finditer(run)]
                 spans += [(at + m.start(), 2, at + m.end()) for m in HEX.finditer(run)]
-                maybe += [(at + m.start(), 3, at + m.end()) for m in CANDIDATE.finditer(run) if self.ratio(m[0]) >= self.margin]
-            if maybe:
-                base = list(spans)
-                spans += [x for x in maybe if not any(s < x[2] and x[0] < e for s, _, e in base)]
+                maybe += [(at + m.start(), m[0]) for m in CANDIDATE.finditer(run)]
+            base = sorted(spans)
+            k, done = 0, 0
+            for at, run in maybe:
+                while k < len(base) and base[k][0] < at:
+                    k, done = k + 1, max(done, base[k][2])
+                begin, end = max(at, done), at + len(run)
+                while begin < end:
+                    while k < len(base) and base[k][0] <= begin:
+                        k, done = k + 1, max(done, base[k][2])
+                    if done > begin:
+                        begin = done
+                        continue
+                    stop = min(end, base[k][0]) if k < len(base) else end
+                    spans += [(begin + a, 3, begin + b) for a, b in self.random_spans(run[begin - at : stop - at])]
+                    begin = stop
             out.append(sorted(spans))
         return out
 

@@ -244,3 +244,20 @@ def test_op10_formats_and_reads_back(spark):
     assert chat_format.digests(df.limit(0)).collect() == []
     one = chat_format.formatted(chat_format.segments(chat_format.turns_of(df.where("conv_id = 1")))).first()["formatted"]
     assert one.count("<|turn|>") == one.count("<|end|>") == 5 and "[INST]" not in one and "</s>" not in one
+
+
+def test_op8_every_secret_of_a_run(spark):
+    r = random.Random(9)
+    some = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(r.choices(a, k=n))
+    tokens = [some(40), some(24), some(24), some(28), some(32)]
+    plain = "getUserNameFromRequestHandler/some/ordinary/path"
+    rows = [
+        (1, f"é AKIA{some(16, 'ABCDEFGHIJ234567')}/{tokens[0]} end"), (2, f"{some(40, '0123456789abcdef')}-{tokens[1]}"), (3, f"SOME_LONG_SETTING_NAME_OF_THE_SERVER={tokens[2]}"),
+        (4, f"{plain}/{tokens[3]}/{plain}/{tokens[4]}/{plain}"), (5, f"{plain}/{plain} {plain}-AKIA{'Z' * 12}-{plain}"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got, clean = by_id(secret_scan.scan_texts(df)), by_id(secret_scan.redact(df))
+    assert [got[i]["n_random"] for i in range(1, 6)] == [1, 1, 1, 2, 0]
+    for i, hidden in ((1, tokens[:1]), (2, tokens[1:2]), (3, tokens[2:3]), (4, tokens[3:])):
+        assert not any(t[k : k + 4] in clean[i]["text"] for t in hidden for k in range(len(t) - 3)), clean[i]
+    assert clean[4]["text"].count(plain) == 3 and clean[5]["text"].count(plain) == 4
