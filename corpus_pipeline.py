@@ -13,14 +13,11 @@ from pyspark.sql import functions as F
 from symdex.llm import decontaminate, language_id, near_duplicates, secret_scan, token_codec
 from symdex.llm.shared import Workspace, table
 
-#: A document with a lower score of its predicted language has no language of its own.
-LEAST_LANGUAGE_SCORE = 0.35
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language was recognised; the machines learn from the labelled ones among them."""
+    """Documents that operator 3 gives a language, however low its score; the machines learn from the labelled ones among them."""
     found = language_id.label_rows(docs, language_id.train(docs), name="__lang", score="__score")
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).drop("__lang", "__score")
+    return found.where("__lang <> 'und'").drop("__lang", "__score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

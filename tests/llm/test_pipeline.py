@@ -1,6 +1,9 @@
 """The pipeline end to end on a small corpus with odd rows."""
 
+import random
+
 import corpus_pipeline as P
+from symdex.llm import language_id
 
 
 def test_stages_keep_their_promises(spark, odd_docs, no_docs, prose, tmp_path):
@@ -24,3 +27,14 @@ def test_stages_keep_their_promises(spark, odd_docs, no_docs, prose, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == df.count()
     for _, stage in P.STAGES:
         assert stage(spark, no_docs, str(tmp_path)).collect() == []
+
+
+def test_language_stage_drops_only_texts_without_a_language(spark):
+    r = random.Random(6)
+    own = {f"x{c}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(12)] for c in "abcdefgh"}
+    rows = [(i, " ".join(r.choices(own[k], k=30)), k) for i, k in enumerate(list(own) * 10)]
+    rows += [(200, " ".join(w[0] for w in own.values()), None), (201, "12345 !!!", "xa"), (202, None, "xa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = {x["doc_id"]: x for x in language_id.predict(docs, language_id.train(docs)).collect()}
+    assert found[200]["lang_pred"] != "und" and found[200]["score"] < 0.35
+    assert {x["doc_id"] for x in P.identify_language(spark, docs, "").collect()} == set(found) - {201, 202}
