@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from symdex.llm import decontaminate, language_id, near_duplicates, secret_scan, token_codec
 from symdex.llm.shared import Workspace, table
@@ -21,11 +22,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; a null id counts as larger than all."""
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61))
-    rows = docs.withColumn("__id", own)
-    kept = near_duplicates.near_duplicates(spark, rows.select("__id", "text"), "__id").where("kept").select("__id").distinct()
-    return rows.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """One document of each group of near duplicates, the one with the smallest doc_id; a null id counts as larger than all.
+
+    Rows with the same doc_id and other texts are documents of their own. Of rows that are alike in doc_id and text the
+    least by all columns is kept.
+    """
+    work, low = Workspace(spark, "near-rows"), F.lit((1 << 61) - 1)
+    own = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text").bitwiseAND(low) + F.lit(1 << 61))
+    rows = docs.withColumn("__own", own).withColumn("__hash", F.xxhash64("text"))
+    several = rows.groupBy("__own").agg(F.min("__hash").alias("__first"), F.max("__hash").alias("__last")).where("__first <> __last")
+    several = work.write(several.select("__own", "__first"), "several")  # texts are shuffled to it only if it is large
+    other = F.xxhash64("__own", "text").bitwiseAND(low) + F.lit(1 << 62)
+    rows = rows.join(several, "__own", "left").withColumn("__id", F.when(F.col("__hash") != F.col("__first"), other).otherwise(F.col("__own")))
+    rows = rows.select(*docs.columns, "__own", "__id")
+    others = work.write(rows.where("__id <> __own").select("__id", "__own").distinct(), "others")
+    found = near_duplicates.near_duplicates(spark, rows.select("__id", "text"), "__id").join(others, "__id", "left")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("__own", "__id"), "__id")).alias("least")).select("least.__id")
+    first = W.partitionBy("__id").orderBy(*docs.columns)
+    return rows.join(kept, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,10 @@ def test_language_stage_drops_only_texts_without_a_language(spark):
     found = {x["doc_id"]: x for x in language_id.predict(docs, language_id.train(docs)).collect()}
     assert found[200]["lang_pred"] != "und" and found[200]["score"] < 0.35
     assert {x["doc_id"] for x in P.identify_language(spark, docs, "").collect()} == set(found) - {201, 202}
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark, prose):
+    a, b, c, d = (prose(60, 400 + i) for i in range(4))
+    rows = [(5, a, "s"), (5, b, "s"), (5, b, "r"), (9, b, "s"), (7, a, "s"), (8, c, "s"), (8, d, "s"), (None, d, "s"), (3, c, "s")]
+    got = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "").collect()
+    assert sorted(map(tuple, got)) == sorted([(5, a, "s"), (5, b, "r"), (3, c, "s"), (8, d, "s")])
