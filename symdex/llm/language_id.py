@@ -59,7 +59,11 @@ def features(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray
     lowered = [t.lower() for t in texts]
     codes = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     text = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])[: len(codes)]
-    letter = np.where(codes < 0x10000, _LETTERS[np.minimum(codes, 0xFFFF)], 1)
+    letter = _LETTERS[np.minimum(codes, 0xFFFF)]
+    high = np.flatnonzero(codes >= 0x10000)
+    if len(high):
+        found, which = np.unique(codes[high], return_inverse=True)
+        letter[high] = np.array([c if chr(c).isalpha() else 0 for c in found.tolist()], np.uint32)[which]
     first = np.ones(len(codes), bool)
     first[1:] = (letter[1:] != 0) | (letter[:-1] != 0)  # one gap between words
     letter, text = letter[first].astype(U), text[first]

@@ -261,3 +261,13 @@ def test_op8_every_secret_of_a_run(spark):
     for i, hidden in ((1, tokens[:1]), (2, tokens[1:2]), (3, tokens[2:3]), (4, tokens[3:])):
         assert not any(t[k : k + 4] in clean[i]["text"] for t in hidden for k in range(len(t) - 3)), clean[i]
     assert clean[4]["text"].count(plain) == 3 and clean[5]["text"].count(plain) == 4
+
+
+def test_op3_letters_beyond_the_first_plane():
+    _, n = language_id.features(["😀🎉 !!", "𐐀𐐁 😀", "é😀b", ""])
+    assert n.tolist() == [0, 2, 2, 0]
+    x, _ = language_id.features(["𐐨𐐩𐐪", "𐐫𐐬𐐭", "a😀b", "a b"])
+    assert x[0] @ x[1] < 0.5 and np.allclose(x[2], x[3])
+    model = language_id.fit(["the of and that", "der die und nicht"] * 5, ["en", "de"] * 5)
+    langs, score = model.predict(["😀🎉 !!", "the 😀"])
+    assert langs[0] == "und" and score[0] == 0 and langs[1] == "en"
