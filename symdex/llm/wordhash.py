@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_GOLDEN = U(0x9E3779B97F4A7C15)
+#: Longer words are hashed one by one, so that a step over all words never waits for a few.
+_LONG = 128
+#: Bytes of a block that belong to a word with n bytes left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -20,26 +23,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, U(base))
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=U)
-    return _powers
-
-
 class Words:
-    """Word finder for a byte class. `gap(byte)` says which bytes are between words; all bytes from 0x80 are in words."""
+    """Word finder for a byte class. `gap(byte)` says which bytes are between words; all bytes from 0x80 are in words.
+
+    A word's hash starts from its length and takes eight bytes a step; each step is mixed before the next, so words
+    that differ in any block part ways for good, whatever regular patterns they are made of.
+    """
 
     def __init__(self, gap, lower: bool = True):
         self.inside = np.array([not gap(b) for b in range(256)])
-        letters = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+        self.lower = bytes(b + 32 if lower and 65 <= b <= 90 else b for b in range(256))
         if lower:
-            letters[65:91] = letters[97:123]
             self.inside[65:91] = self.inside[97:123]
-        self.letters = letters
 
     def spans(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
         """(buffer, start and end byte of each word, first word of each text and one more)."""
@@ -56,13 +51,19 @@ class Words:
     def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
         """(hash of each word, first word of each text and one more, starts, ends, buffer)."""
         data, starts, ends, first = self.spans(texts)
-        buf = np.frombuffer(data, np.uint8)
-        up, down = _tables(len(buf) + 1)
-        sums = np.empty(len(buf) + 1, U)
-        sums[0] = 0
-        np.cumsum(self.letters[buf] * up[: len(buf)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(U) * U(0xA0761D6478BD642F)), first, starts, ends, data
+        own = data.translate(self.lower) + bytes(8)
+        blocks = np.ndarray((len(data),), "<u8", own, strides=(1,))  # the eight bytes from each place on
+        size = ends - starts
+        h = mix(size.astype(U) * U(0xA0761D6478BD642F))
+        rows = np.flatnonzero(size <= _LONG)
+        at, left = starts[rows], size[rows]
+        while len(rows):
+            h[rows] = mix((h[rows] ^ (blocks[at] & _MASKS[np.minimum(left, 8)])) * _GOLDEN + U(0xD6E8FEB86659FD93))
+            more = left > 8
+            rows, at, left = rows[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(own[starts[i] : ends[i]], seed=int(size[i]))
+        return h, first, starts, ends, data
 
 
 #: Words between white space: [^\x20\x09-\x0D]+, and the words of letters, digits and all from U+0080.

@@ -35,6 +35,13 @@ def test_word_hashes_name_words():
     _, first, _, _, _ = BY_SIGN.hashes([b"A-b_c 9Z", "né!".encode()])
     assert np.diff(first).tolist() == [4, 1]
     assert len(runs(h, 99)) == 0
+    # words of one length made of two letters so regularly that sums of powers of an even modulus can't tell them apart
+    for rounds in range(3, 15):
+        word = "a"
+        for _ in range(rounds):
+            word += word.translate(str.maketrans("ab", "ba"))
+        h = BY_SPACE.hashes([f"{word} {word.translate(str.maketrans('ab', 'ba'))} {word.upper()}".encode()])[0]
+        assert h[0] != h[1] and h[0] == h[2]
 
 
 def test_op1_features_and_cascade(odd_docs, no_docs):
@@ -183,6 +190,27 @@ def test_op6_pages(spark):
     assert html_text.extract(df.limit(0), model).collect() == []
 
 
+def test_op6_untidy_pages(spark):
+    model = html_text.fit(html_text.labelled_pages(160))
+    said = [f"This is paragraph number {i}, it says a thing or two about nothing at all." for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in said)
+    whole = "\n".join(["Title", "One two three four five.", *said])
+    page = lambda inner: f"<body><article><h1>Title</h1><p>One two three four five.</p>{inner}</article><footer>&copy; x</footer></body>"
+    for inner in (
+        f"<a name=top>{body}", f"<a href=/x>{body}", f"<a id=z>{body}<a href=/y>", f"<script src=x.js />var code = 1;</script>{body}", f"<script src=x.js />{body}", f"<STYLE/>p{{}}</style>{body}",
+        f"<svg><g>{body}", f"<object><param name=a>{body}", f"<canvas>{body}", f"<select><option>A<option>B{body}", f"<select><option>A</option></select>{body}", f"<template><p>No.</p></template>{body}",
+    ):
+        assert model.texts([page(inner)])[0] == whole, inner
+    flowing = page(f"<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here, <noscript>no script</noscript> and <svg><path d='M0'/><text>drawn</text></svg> too.</p>{body}")
+    assert "We have x=2 here, no script and drawn too.\n" in model.texts([flowing])[0]
+    linked = html_text.parse("<div><a href=/x><h3>Teaser</h3><p>More</p></a><p>Plain</p></div>")
+    assert [(text, share) for _, text, share in linked.leaves] == [("Teaser", 1), ("More", 1), ("Plain", 0)]
+    long = page("".join(f"<p>{x}</p>" for x in said * 20000))
+    df = spark.createDataFrame([(1, long, "u", "k", "t", 1, "h"), (2, None, None, None, None, None, None)], "page_id bigint, html string, url string, key string, text string, n_chars int, k0 string")
+    got = {r["page_id"]: r for r in html_text.extract(df, model).collect()}
+    assert got[1]["text"] == "\n".join(["Title", "One two three four five.", *said * 20000]) and got[2]["text"] == "" and set(got[1].asDict()) == {"page_id", "url", "text", "n_chars"}
+
+
 def test_op7_as_tiktoken_and_back(odd_docs, no_docs, spark):
     import tiktoken
 
