@@ -7,7 +7,9 @@ up and then down the tree give each leaf's marginal; leaves at 0.5 or more are t
 to labelled pages by gradient steps on the conditional log-likelihood, whose expectations come from the same
 messages. The labelled pages are generated by a seeded rule over many layouts, since the tables label none.
 
-Scripts, styles, comments, the head and markup never are text. Character references are decoded, white space inside a
+Scripts, styles, comments, the head and markup never are text; a script or style ends at its end tag alone, however its
+own tag is written. Formulas, drawings, embedded objects and what is meant for readers without scripts are text like
+any other. Only <a href> makes link text; one that nothing closes ends with its block. Character references are decoded, white space inside a
 leaf becomes one space, empty leaves go, leaves are joined by a line feed in page order; nothing is cut. Null or
 empty html has empty text. Unclosed or crossed tags are closed as browsers do for paragraphs, list items and table
 cells, or else at the nearest open match. Repeated rows give repeated results; an empty table gives an empty one;
@@ -31,20 +33,26 @@ from symdex.llm.shared import keyed, map_texts, table, texts_of
 _REST_OF_TAG = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_HREF = re.compile(r"\bhref\s*=", re.I)
+_LINK, _END_OF_LINK = re.compile(r"<a\s", re.I), re.compile(r"</a[\s/>]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big canvas cite code data dfn em font i img ins del kbd mark nobr noscript object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Drawings and formulas: their text flows with the text around them, whether they are closed or not.
+INLINE |= frozenset("svg g path rect circle ellipse line polyline polygon text tspan textpath defs use symbol desc lineargradient radialgradient stop clippath mask pattern filter marker image animate foreignobject".split())
+INLINE |= frozenset("math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mfenced mmultiscripts mprescripts none semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title iframe object svg math canvas head textarea select".split())
+#: Elements whose content is no markup, or never shown: skipped up to their end tag.
+RAW = frozenset("script style template title iframe head textarea".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_SCOPE = frozenset("ul ol dl table".split())
+_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
+_SCOPE = frozenset("ul ol dl table select".split())
 
 KINDS = ("article", "main", "section", "div", "body", "p", "heading", "list", "item", "nav", "header", "footer", "aside", "form", "table", "cell", "quote", "figure", "leaf", "other")
 _KIND = {
     **{k: k for k in ("article", "main", "section", "div", "body", "p", "nav", "header", "footer", "aside", "table", "figure")},
     **dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "heading"), **dict.fromkeys("ul ol dl menu".split(), "list"), **dict.fromkeys("li dt dd".split(), "item"),
-    **dict.fromkeys("form fieldset button label legend dialog".split(), "form"), **dict.fromkeys("tr td th".split(), "cell"), **dict.fromkeys("blockquote pre".split(), "quote"), "html": "body", "figcaption": "figure",
+    **dict.fromkeys("form fieldset button label legend dialog select option optgroup".split(), "form"), **dict.fromkeys("tr td th".split(), "cell"), **dict.fromkeys("blockquote pre".split(), "quote"), "html": "body", "figcaption": "figure",
 }
 #: Words of class, id and role by what they tell.
 HINTS = {
@@ -96,7 +104,20 @@ def parse(html: str, labelled: bool = False) -> Page:
     page, stack = Page(), [("html", 0)]
     parts: list[tuple[str, bool]] = []
     in_link, i, n = False, 0, len(html)
-    low = None
+    low, link_end, last_close = None, -1, n  # the next end tag of a link; from where on there is none
+
+    def end_of_link(at: int) -> int:
+        """Where the link that begins here is closed, or -1 if another begins before that or nothing closes it."""
+        nonlocal link_end, last_close
+        if at >= last_close:
+            return -1
+        if link_end < at:
+            found = _END_OF_LINK.search(html, at)
+            if not found:
+                last_close = at
+                return -1
+            link_end = found.start()
+        return -1 if _LINK.search(html, at, link_end) else link_end
 
     def flush() -> None:
         nonlocal parts
@@ -108,6 +129,7 @@ def parse(html: str, labelled: bool = False) -> Page:
                 page.leaves.append((at, text, linked))
             parts = []
 
+    closes_at = -1
     while i < n:
         j = html.find("<", i)
         if j < 0:
@@ -148,18 +170,22 @@ def parse(html: str, labelled: bool = False) -> Page:
                 low = html.lower()
                 if len(low) != n:
                     low = re.sub("[A-Z]", lambda x: x[0].lower(), html)
-            if not attributes.endswith("/>"):
-                end = low.find(f"</{tag}", i)
-                i = n if end < 0 else (html.find(">", end) + 1 or n)
+            end = low.find(f"</{tag}", i)
+            if end >= 0:
+                i = html.find(">", end) + 1 or n
+            elif not attributes.endswith("/>"):
+                i = n
             continue
         if tag == "br":
             parts.append((" ", in_link))
             continue
         if tag in INLINE:
             if tag == "a":
-                in_link = not closing
+                in_link = not closing and _HREF.search(attributes) is not None
+                closes_at = end_of_link(i) if in_link else -1
             continue
         flush()
+        in_link = in_link and i <= closes_at
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -168,6 +194,9 @@ def parse(html: str, labelled: bool = False) -> Page:
             continue
         if tag in VOID:
             continue
+        if stack[-1][0] in ("select", "option", "optgroup") and tag not in ("option", "optgroup"):
+            while stack[-1][0] in ("select", "option", "optgroup"):  # nothing but options can be in it
+                stack.pop()
         if tag in _CLOSES_P and any(x == "p" for x, _ in stack[-2:]):
             while stack[-1][0] != "p":
                 stack.pop()
