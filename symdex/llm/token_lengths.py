@@ -1,7 +1,7 @@
 """Operator 5: token counts by an exact histogram of encoded lengths, and suffix sums over it.
 
 Each whole text is encoded with a public byte-level BPE; documents are counted by length before anything is
-shuffled, so what moves is one row per distinct length and task. Suffix sums then answer, for every context
+shuffled, so what moves is one row per distinct length and task; the histogram is stored once. Suffix sums then answer, for every context
 limit, how many documents reach it, how many tokens they hold and how many are left after truncation.
 
 Null text counts as empty, an empty text has length 0 and is counted; repeated rows count each time; an empty
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from symdex.llm.shared import keyed, map_texts, table, texts_of
+from symdex.llm.shared import Workspace, keyed, map_texts, table, texts_of
 
 #: Distinct lengths to a block of the two-level suffix sums.
 BLOCK = 4096
@@ -63,10 +63,16 @@ def histogram(counts: DataFrame) -> DataFrame:
     return counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+def stored_histogram(counts: DataFrame) -> DataFrame:
+    """The histogram as a table in the shared folder: texts are encoded once, whatever is asked of it, and a lost executor loses nothing."""
+    return Workspace(counts.sparkSession, "lengths").write(histogram(counts), "histogram")
+
+
 def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each length: documents and tokens at or beyond it, below it, and the total if all were cut to it.
 
-    Within a block of lengths by a window; across blocks by a window over one row a block.
+    Within a block of lengths by a window; across blocks by a window over one row a block. The histogram is read
+    twice, so a caller hands over one that is stored (`stored_histogram`).
     """
     h = hist.withColumn("b", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     inside = W.partitionBy("b").orderBy(F.desc("n_tokens"))
@@ -103,4 +109,4 @@ def quantiles(sums: DataFrame, shares: Iterable[float]) -> DataFrame:
 
 
 def op5_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(count_tokens(table(spark, sf_dir, "documents"))))
+    return suffix_sums(stored_histogram(count_tokens(table(spark, sf_dir, "documents"))))
