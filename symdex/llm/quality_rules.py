@@ -1,9 +1,13 @@
 """Operator 1: quality rules as a short-circuit cascade, in DataFrame and SQL functions only.
 
-Every rule is a condition on features of the whole text. On a bounded sample of rows each rule is timed and its
-share of rejections counted; rules are then ordered by rejections per second, so that a row leaves at the first
-rule that rejects it and dear features are only made for rows that cheap rules kept. The order changes what is
-computed, never the verdict.
+Every rule is a condition on features of the whole text. A bounded sample of rows tells how many characters and words
+a text has, which gives the work of each feature (WORK), and which rules reject which rows together. Rules are then
+ordered greedily: next comes the rule that rejects most of the rows still left for the work it adds, so that a row
+leaves at the first rule that rejects it and dear features are only made for rows that cheap rules kept. Features that
+are returned for every row add no work. The estimate is one job over the sample and has no clock in it, so the same
+sample gives the same order. The order changes what is computed, never the verdict.
+
+The sample is dealt over up to SAMPLE_FILES files of the table; only there texts of more than SAMPLE_BYTES are left out.
 
 Null text has no words, so it fails the base rules, as empty text does. Repeated rows give repeated results, an
 empty table gives an empty one; columns besides the key and the text are not looked at. Words are
@@ -12,16 +16,17 @@ empty table gives an empty one; columns besides the key and the text are not loo
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symdex.llm.shared import table
 
-#: Rows that costs and selectivities are estimated on.
-SAMPLE_ROWS = 400
+#: Rows that work and selectivities are estimated on, files they are taken from, and bytes of the longest of them.
+SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_BYTES = 400, 16, 1 << 20
 
 _LET = "element_at(transform(array({value}), {name} -> {body}), 1)"
 
@@ -48,6 +53,10 @@ FEATURES = {
 }
 
 
+#: Work of a feature for each character and each word, in steps of a pattern that finds nothing (measured once).
+WORK = {"n_words": (0, 1), "word_chars": (10, 0), "n_symbols": (1, 0), "n_lines": (6, 0), "n_dup_lines": (8, 0), "n_repeat_words": (0, 400), "n_upper": (1, 0), "n_letters": (10, 0)}
+
+
 @dataclass(frozen=True)
 class Rule:
     """Rejects where `when` holds; base rules are the contract's own."""
@@ -81,21 +90,39 @@ def _condition(rule: Rule, columns: tuple[str, ...] = ()) -> str:
     return rule.when.format(**{k: k if k in columns else f"CAST({v} AS BIGINT)" for k, v in FEATURES.items()})
 
 
-def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) of each rule on a sample of rows, dearest per rejection last."""
-    rows = [(r[0],) for r in df.select(text).take(sample_rows)]  # reads only as many partitions as it needs
-    prepared = _prepared(df.sparkSession.createDataFrame(rows, f"`{text}` string"), text, text)
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        n, hit = prepared.agg(F.count(F.lit(1)), F.count_if(F.expr(_condition(rule)))).first()
-        found.append((rule, time.perf_counter() - began, hit / max(n, 1)))
-    return sorted(found, key=lambda x: -(x[2] + 1e-6) / x[1])
-
-
-def verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(key, the returned features, base_failed, kept) of each whole text."""
-    order = [rule for rule, _, _ in estimate(df, rules, text, sample_rows)]
+def spread_sample(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES) -> DataFrame:
+    """(text): the first rows of each of some files that lie evenly over a Parquet table, or of any other DataFrame as it comes."""
+    spark, paths = df.sparkSession, sorted(map(unquote, df.inputFiles()))
+    if len(paths) > 1:
+        chosen = [paths[i * len(paths) // min(files, len(paths))] for i in range(min(files, len(paths)))]
+        parts = [spark.read.schema(df.schema).parquet(p) for p in chosen]
+    else:
+        parts = [df]
+    short = [p.select(text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES).limit(-(-rows // len(parts))) for p in parts]
+    return reduce(DataFrame.unionAll, short)
+
+
+def estimate(sample: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> list[tuple[Rule, float, float]]:
+    """(rule, work a row, share it rejects of the rows that earlier rules left) in the order of the cascade."""
+    mask = " + ".join(f"CASE WHEN {_condition(rule)} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(rules)) or "0"
+    rows = _prepared(sample, text, text).select(F.expr(mask).alias("mask"), F.char_length("t").alias("chars"), F.size("w").alias("words"))
+    found = rows.groupBy("mask").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("words").alias("words")).collect()
+    total = sum(r["n"] for r in found)
+    chars, words = (sum(r[c] for r in found) / max(total, 1) for c in ("chars", "words"))
+    left, todo, order = {r["mask"]: r["n"] for r in found}, list(range(len(rules))), []
+    while todo:
+        work = {i: 1 + sum(chars * WORK[k][0] + words * WORK[k][1] for k in FEATURES if k not in RETURNED and "{" + k + "}" in rules[i].when) for i in todo}
+        hits = {i: sum(n for m, n in left.items() if m >> i & 1) for i in todo}
+        best = max(todo, key=lambda i: ((hits[i] + 1e-6) / work[i], -i))
+        order.append((rules[best], work[best], hits[best] / max(1, sum(left.values()))))
+        left = {m: n for m, n in left.items() if not m >> best & 1}
+        todo.remove(best)
+    return order
+
+
+def verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, sample: DataFrame | None = None) -> DataFrame:
+    """(key, the returned features, base_failed, kept) of each whole text; work is estimated on a sample of `df`, or on one that is given."""
+    order = [rule for rule, _, _ in estimate(spread_sample(df, text) if sample is None else sample, rules, text)]
     made = _prepared(df, key, text).select("key", "t", "w", *[F.expr(FEATURES[k]).cast("bigint").alias(k) for k in RETURNED])
     base = " OR ".join(f"({_condition(r, RETURNED)})" for r in rules if r.base) or "false"
     cascade = "CASE " + " ".join(f"WHEN {_condition(r, RETURNED)} THEN false" for r in order) + " ELSE true END"

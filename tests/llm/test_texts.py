@@ -1,5 +1,6 @@
 """Operators on single documents, against plain versions of themselves."""
 
+import base64
 import hashlib
 import random
 import re
@@ -61,8 +62,24 @@ def test_op1_features_and_cascade(odd_docs, no_docs):
         assert not any(r["kept"] and r["base_failed"] for r in got)
     assert by_id(quality_rules.verdicts(odd_docs))[1]["kept"]
     assert quality_rules.verdicts(no_docs).collect() == []
-    order = quality_rules.estimate(odd_docs)
-    assert len(order) == len(quality_rules.RULES) and all(s > 0 and 0 <= share <= 1 for _, s, share in order)
+
+
+def test_op1_order_of_the_cascade(spark, odd_docs, no_docs, prose, tmp_path):
+    order = quality_rules.estimate(odd_docs.select("text"))
+    assert {r for r, _, _ in order} == set(quality_rules.RULES) and all(w > 0 and 0 <= share <= 1 for _, w, share in order)
+    assert order == quality_rules.estimate(odd_docs.select("text")) and len(quality_rules.estimate(no_docs.select("text"))) == len(order)
+    dear = ("shouting", "few_letters", "repeated_lines")  # their features are not returned anyway
+    rows = [(i, prose(60, i).upper() if i % 2 else "few words", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    names = [r.name for r, _, _ in quality_rules.estimate(df.select("text"))]
+    assert names[0] == "few_words" and names.index("shouting") < names.index("few_letters") and set(names[:4]).isdisjoint({"repeated_lines", "few_letters"})
+    assert all(w > 1 for r, w, _ in order if r.name in dear) and all(w == 1 for r, w, _ in order if r.name not in dear)
+    df.repartition(7).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    assert quality_rules.spread_sample(stored, rows=20, files=4).count() == 20 and quality_rules.spread_sample(stored, rows=4000).count() == 40
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.verdicts(stored).collect()} == dict.fromkeys(range(40), False)
+    rule = quality_rules.Rule("letters", "{n_letters} < 5")
+    assert by_id(quality_rules.verdicts(df, rules=(rule,), sample=df.limit(0)))[0]["kept"]
 
 
 def test_op2_field_marginals_and_held_out(spark, odd_docs, no_docs, prose):
@@ -142,11 +159,31 @@ def test_op4_against_plain_version(spark, odd_docs, no_docs, prose, block_bytes)
     assert all(not r["contaminated"] for r in decontaminate.contamination(spark, odd_docs, bench.limit(0)).collect())
 
 
+def plain_bpe(ranks, pattern, text):
+    """Ids by merging the pair of least rank, the first of equals, until none is left."""
+    import regex
+
+    out = []
+    for part in regex.findall(pattern, text):
+        pieces = [bytes((b,)) for b in part.encode()]
+        while True:
+            rank, i = min(((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:]))), default=(1 << 30, 0))
+            if rank == 1 << 30:
+                break
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        out += [ranks[p] for p in pieces]
+    return out
+
+
 def test_op5_lengths_and_suffix_sums(spark, odd_docs, no_docs):
     counts = token_lengths.count_tokens(odd_docs)
     n = sorted(r["n_tokens"] for r in counts.collect())
+    path, pattern = token_lengths.default_tokenizer()
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    assert n == sorted(len(plain_bpe(ranks, pattern, t)) for _, t in texts(odd_docs))
     assert len(n) == 10 and n[:2] == [0, 0]
-    sums = token_lengths.suffix_sums(token_lengths.histogram(counts), block=16).cache()
+    sums = token_lengths.suffix_sums(token_lengths.stored_histogram(counts), block=16).cache()
     for r in sums.collect():
         k = r["n_tokens"]
         assert (r["n_docs"], r["docs_at_least"], r["tokens_at_least"]) == (n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k))
