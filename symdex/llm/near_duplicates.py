@@ -7,21 +7,28 @@
 2. Texts with equal sets are one class from here on, named by the smallest doc_id. A class has one row of band keys.
 3. Classes that share a band key are members of its bucket. Each class is first verified against its smallest
    bucket mate, which already joins most groups of copies: one pair a class. Buckets that then still hold several
-   components make families (components of the candidate graph). In a family every class outside the largest
-   component is searched, on full sets, against all members of other components through an inverted index of their
-   shingles: members and searched classes are dealt to blocks of a bounded number of shingles, and a search returns
-   one link to each component it meets, never a row a pair. Pairs inside one component need no test, all other
-   candidate pairs get one, so no link between components is lost.
+   components are searched: every class outside the bucket's largest component, on full sets, against all members of
+   other components, through an inverted index of their shingles. Buckets that share classes make a family
+   (a component of the candidate graph), which is searched as one, so that a pair of classes meets once, if it fits
+   one block or if that is less work than its buckets one by one; a wide family that only chains of shared passages
+   hold together is searched bucket by bucket, so its work grows with its buckets, not with the square of the family.
+   Members and searched classes are dealt to blocks of a bounded number of shingles, and a search returns one link to
+   each component it meets, never a row a pair. Pairs inside one component need no test, all other candidate pairs
+   get one, so no link between components is lost.
 4. Links become components by alternating large-star and small-star contraction after a union-find within partitions.
 
 A pair at the threshold of 0.8 shares one of 45 bands of 6 rows with probability 1 - 1.2e-6, above it more.
 Key counts and pivots are combined before they are shuffled, joins on keys are plain joins that skew handling can
 split. Intermediate tables are written to the shared folder.
 
-Null or empty text, or text without words, has an empty set and is linked with nothing. Fewer words than a shingle
-make one shingle of them all. Equal texts are linked. Rows that repeat a doc_id are one node; a null doc_id keeps a
-null component and is not kept. Ties go to the smallest doc_id. An empty table gives no rows. Further columns are
-not looked at.
+Null or empty text, or text without words, has an empty set and is linked with nothing, also where other rows of its
+doc_id have words. Fewer words than a shingle make one shingle of them all. Equal texts are linked. Rows that repeat a
+doc_id are one node: all their sets are linked through it. A null doc_id keeps a null component and is not kept. Ties
+go to the smallest doc_id. An empty table gives no rows. Further columns are not looked at. The key is of an integer
+type and keeps it; keys of other types are refused.
+
+Shingles are compared by 64-bit hashes: two different ones of a pair of texts with a million shingles each agree by
+chance with a probability below 1e-7.
 """
 
 from __future__ import annotations
@@ -30,13 +37,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from symdex.llm.shared import Workspace, bytes_of, map_texts, table
 from symdex.llm.wordhash import BY_SPACE, U, mix, runs
 
 BANDS, ROWS = 45, 6
-#: Shingles to a block of a family, which bounds what one search task holds.
+#: Shingles to a block of a search, which bounds what one task holds.
 BLOCK_SHINGLES = 1 << 20
+#: Nodes that a task joins before it gives its forest out and starts a new one.
+FOREST_NODES = 1 << 20
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -115,6 +125,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _set_sums(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two sums of mixed shingles, which together with the size name a set."""
+    sums = [np.concatenate(([U(0)], np.cumsum(mix(values ^ U(salt)), dtype=U))) for salt in (0x8CB92BA72F3D8DD7, 0x1B873593CC9E2D51)]
+    return [s[first[1:]] - s[first[:-1]] for s in sums]
+
+
 def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
     """(id, n_shingles, h1, h2, bands): two sums name the set; bands is null for an empty set."""
 
@@ -122,13 +138,11 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, r
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             values, first = shingle_sets(bytes_of(batch, "text"), shingle)
             n = np.diff(first)
-            sums = [np.concatenate(([U(0)], np.cumsum(mix(values ^ U(salt)), dtype=U))) for salt in (0x8CB92BA72F3D8DD7, 0x1B873593CC9E2D51)]
-            sums = [s[first[1:]] - s[first[:-1]] for s in sums]
             keys = band_keys(superminhash(values, first, bands * rows), bands, rows)
             some = np.flatnonzero(n)
             offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, bands, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), _signed(keys[some].reshape(-1)))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(_signed, sums), lists], ["id", "n_shingles", "h1", "h2", "bands"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(_signed, _set_sums(values, first)), lists], ["id", "n_shingles", "h1", "h2", "bands"])
 
         return each
 
@@ -136,20 +150,20 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int, r
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles) of (id, text)."""
+    """(id, h1, h2, shingles) of (id, text)."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             values, first = shingle_sets(bytes_of(batch, "text"), shingle)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _signed(values))], ["id", "shingles"])
+            return pa.RecordBatch.from_arrays([batch.column(0), *map(_signed, _set_sums(values, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), _signed(values))], ["id", "h1", "h2", "shingles"])
 
         return each
 
-    return map_texts(docs, "text", make, "id bigint, shingles array<bigint>")
+    return map_texts(docs, "text", make, "id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
 
 
 def _local_forests(edges: DataFrame) -> DataFrame:
-    """Union-find within each partition: at most one edge a node, to the smallest node of its tree."""
+    """Union-find over up to FOREST_NODES nodes of a partition at a time: at most one edge a node, to the smallest node of its tree."""
 
     def run(batches):
         parent: dict[int, int] = {}
@@ -162,16 +176,22 @@ def _local_forests(edges: DataFrame) -> DataFrame:
                 parent[x], x = top, parent[x]
             return top
 
+        def grown():
+            rows = [(x, root(x)) for x in parent]
+            rows = [x for x in rows if x[0] != x[1]]
+            parent.clear()
+            for i in range(0, len(rows), 50_000):
+                part = rows[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], ["a", "b"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        rows = [(x, root(x)) for x in parent]
-        rows = [x for x in rows if x[0] != x[1]]
-        for i in range(0, len(rows), 50_000):
-            part = rows[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64())], ["a", "b"])
+            if len(parent) >= FOREST_NODES:
+                yield from grown()
+        yield from grown()
 
     return edges.mapInArrow(run, "a bigint, b bigint")
 
@@ -213,21 +233,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold in hundredths."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")  # a repeated id with several texts has several sets
+    both = pairs.join(right, "b").join(left, "a")
     same = F.size(F.array_intersect("sa", "sb"))
     both = both.select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("total"))
     return both.where(100 * F.col("same") >= threshold * (F.col("total") - F.col("same"))).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text: str, shingle: int, threshold: int) -> DataFrame:
-    """Links (a, b) between classes (id, n_shingles, bands) that connect every component; `docs` has the texts."""
+def links(docs: DataFrame, classes: DataFrame, repeated: DataFrame | None, work: Workspace, key: str, text: str, shingle: int, threshold: int) -> DataFrame:
+    """Links (a, b) between classes (id, n_shingles, h1, h2, bands) that connect every component.
+
+    `docs` has the texts; `repeated` has the ids that occur in several rows, if there are any.
+    """
     shared = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("k"))
     buckets = shared.groupBy("k").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = work.write(buckets.select("k", "pivot"), "buckets")
     members = work.write(shared.join(buckets, "k").select("k", "id", "n", "pivot"), "members")
-    ids = members.select("id").distinct()
-    mine = docs.select(docs[key].cast("bigint").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
-    sets = work.write(_sets(mine, shingle), "sets")
+    # stored first, so that its size is known: a small one is sent to the texts, and only a large one moves them
+    ids = work.write(members.select("id").distinct(), "ids")
+    texts = docs.select(docs[key].cast("bigint").alias("id"), docs[text].alias("text"))
+    sets = _sets(texts.join(ids, "id", "left_semi"), shingle)
+    if repeated is not None:  # a class has one row's set: the one that it is named by
+        own = classes.select("id", "h1", "h2").join(repeated, "id", "left_semi")
+        own = sets.join(own, ["id", "h1", "h2"], "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = sets.join(repeated, "id", "left_anti").select("id", "shingles").unionByName(own)
+    sets = work.write(sets.select("id", "shingles"), "sets")
 
     size_ok = 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
     sizes = members.groupBy("id", "n").agg(F.min("pivot").alias("pivot"))
@@ -239,23 +268,38 @@ def links(docs: DataFrame, classes: DataFrame, work: Workspace, key: str, text:
     known = members.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
     mixed = known.groupBy("k").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("k")
     mixed = work.write(mixed, "mixed")
-    family_edges = members.join(mixed, "k", "left_semi").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    families = components(family_edges, work)
+    open_members = work.write(members.join(mixed, "k", "left_semi").select("k", "id", "n", "pivot"), "open")
+    families = components(open_members.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), work)
     families = families.unionByName(families.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("component", "family")
-    rows = families.join(parts, "id", "left").join(members.groupBy("id").agg(F.max("n").alias("n")), "id").select("family", "id", F.coalesce("component", "id").alias("c"), "n")
-    rows = work.write(rows, "families")
-    sizes = rows.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    whole = sizes.groupBy("family").agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("top"), F.max_by("s", F.struct("m", -F.col("c"))).alias("ts"), F.sum("s").alias("s"))
-    blocks = whole.select("family", "top", F.ceil(F.col("s") / BLOCK_SHINGLES).alias("mb"), F.ceil((F.col("s") - F.col("ts")) / BLOCK_SHINGLES).alias("rb"))
-    dealt = rows.join(work.write(blocks, "blocks"), "family").where("rb > 0").join(sets, "id")
+    rows = families.join(parts, "id", "left").select("family", "id", F.coalesce("component", "id").alias("c"))
+    rows = work.write(open_members.join(rows, "id").select("family", "k", "id", "c", "n"), "families")
+    one_each = rows.select("family", F.lit(None).cast("bigint").alias("k"), "id", "c", "n").distinct()
+    both = _blocks(one_each, "family").unionByName(_blocks(rows, "family", "k"))
+    both = both.withColumn("work", F.col("s") * F.col("asked")).withColumn("whole", F.col("k").isNull())
+    ways = both.groupBy("family").agg(F.sum(F.when(F.col("whole"), F.col("work"))).alias("as_one"), F.max(F.when(F.col("whole"), F.col("mb") * F.col("rb"))).alias("pieces"), F.sum(F.when(~F.col("whole"), F.col("work"))).alias("apart"))
+    ways = ways.select("family", ((F.col("pieces") <= 1) | (F.col("as_one") <= F.col("apart"))).alias("as_one"))
+    chosen = both.join(ways, "family").where(F.col("whole") == F.col("as_one")).where("rb > 0")
+    chosen = work.write(chosen.select("family", "k", "top", "mb", "rb"), "blocks")
+    wide = rows.join(chosen.where("k IS NOT NULL"), ["family", "k"]).select("family", "k", "id", "c", "top", "mb", "rb")
+    whole = one_each.drop("k").join(chosen.where("k IS NULL"), "family").select("family", "k", "id", "c", "top", "mb", "rb")
+    dealt = wide.unionByName(whole).join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    held = dealt.select("family", (own % F.col("mb")).cast("int").alias("x"), each("rb").alias("y"), F.lit(False).alias("q"), "id", "c", "shingles")
-    asked = dealt.where("c <> top").select("family", each("mb").alias("x"), (own % F.col("rb")).cast("int").alias("y"), F.lit(True).alias("q"), "id", "c", "shingles")
-    more = held.unionByName(asked).groupBy("family", "x", "y").applyInArrow(_searcher(threshold), "a bigint, b bigint")
+    held = dealt.select("family", "k", (own % F.col("mb")).cast("int").alias("x"), each("rb").alias("y"), F.lit(False).alias("q"), "id", "c", "shingles")
+    asked = dealt.where("c <> top").select("family", "k", each("mb").alias("x"), (own % F.col("rb")).cast("int").alias("y"), F.lit(True).alias("q"), "id", "c", "shingles")
+    more = held.unionByName(asked).groupBy("family", "k", "x", "y").applyInArrow(_searcher(threshold), "a bigint, b bigint")
     return found.unionByName(work.write(more, "links"))
 
 
+def _blocks(rows: DataFrame, *by: str) -> DataFrame:
+    """(family, k, top component, shingles held and asked, blocks of both) of what is searched as one; `rows` are (family, k, id, c, n)."""
+    sizes = rows.groupBy(*by, "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").cast("double").alias("s"))
+    out = sizes.groupBy(*by).agg(F.max_by("c", F.struct("m", -F.col("c"))).alias("top"), F.max_by("s", F.struct("m", -F.col("c"))).alias("ts"), F.sum("s").alias("s"))
+    asked = F.col("s") - F.col("ts")
+    k = F.col("k") if "k" in by else F.lit(None).cast("bigint")
+    return out.select("family", k.alias("k"), "top", "s", asked.alias("asked"), F.ceil(F.col("s") / BLOCK_SHINGLES).alias("mb"), F.ceil(asked / BLOCK_SHINGLES).alias("rb"))
+
+
 def _searcher(threshold: int):
     """Of one block: for each asked class one held class of each other component that reaches the threshold."""
 
@@ -291,16 +335,26 @@ def _searcher(threshold: int):
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row of docs."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{key} is {kind.simpleString()}, not an integer")
     work = Workspace(spark, "near")
     signed = work.write(signatures(docs, key, text, shingle, bands, rows), "signatures")
     name = ["n_shingles", "h1", "h2"]
-    classes = work.write(signed.where("n_shingles > 0 AND id IS NOT NULL").groupBy(*name).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    found = links(docs, classes.select(F.col("rep").alias("id"), "n_shingles", "bands"), work, key, text, shingle, threshold)
+    some = signed.where("n_shingles > 0 AND id IS NOT NULL")
+    classes = work.write(some.groupBy(*name).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    repeated = work.write(some.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*name)).alias("least"), F.max(F.struct(*name)).alias("most")).where("n > 1").select("id", (F.col("least") != F.col("most")).alias("several")), "repeated")
+    any_repeated = not repeated.isEmpty()
+    found = links(docs, classes.select(F.col("rep").alias("id"), *name, "bands"), repeated.select("id") if any_repeated else None, work, key, text, shingle, threshold)
+    if any_repeated:  # the classes of one id's sets are linked through it
+        of_id = work.write(some.select("id", *name).distinct().join(repeated.where("several"), "id", "left_semi").join(classes.select(*name, "rep"), name).select("id", "rep").distinct(), "of_id")
+        found = found.unionByName(of_id.join(of_id.groupBy("id").agg(F.min("rep").alias("least")), "id").where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
     parts = components(found, work)
     named = classes.select(*name, "rep").join(parts, F.col("rep") == F.col("id"), "left").select(*name, F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", *name).join(named, name, "left")
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
+    full, empty = signed.where("n_shingles > 0").select("id", *name), signed.where("n_shingles = 0")
+    out = full.join(named, name, "left").select("id", "n_shingles", "component").unionByName(empty.select("id", "n_shingles", F.lit(None).cast("bigint").alias("component")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).cast(kind)
+    return out.select(F.col("id").cast(kind).alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

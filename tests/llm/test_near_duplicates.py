@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from symdex.llm import near_duplicates as N
 from symdex.llm.shared import Workspace
@@ -68,8 +69,25 @@ def test_families_near_the_threshold(spark, prose):
     assert len({c for _, c in want.values()}) > 8
 
 
-def test_blocks_give_the_same(spark, prose, monkeypatch):
-    monkeypatch.setattr(N, "BLOCK_SHINGLES", 300)
+def test_repeated_ids_are_one_node(spark, prose):
+    a, b, c, d = (prose(60, 500 + i) for i in range(4))
+    near = b.split()
+    near[30] = "changed"
+    docs = [(5, a), (5, b), (1, a), (3, " ".join(near)), (5, a), (8, c), (8, d), (9, d), (9, d), (7, c), (5, ""), (12, prose(60, 600))]
+    df = spark.createDataFrame(docs, "doc_id int, text string")
+    out = N.near_duplicates(spark, df)
+    assert dict(out.dtypes)["doc_id"] == dict(out.dtypes)["component_id"] == "int"
+    got = sorted(tuple(x) for x in out.select("doc_id", "component_id", "n_shingles", "kept").collect())
+    one = {1: 1, 3: 1, 5: 1, 7: 7, 8: 7, 9: 7, 12: 12}
+    assert got == sorted((i, one[i] if t else i, 57 if t else 0, one[i] == i or not t) for i, t in docs)
+    with pytest.raises(TypeError):
+        N.near_duplicates(spark, df.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"))
+
+
+@pytest.mark.parametrize("block, nodes", [(300, 1 << 20), (3000, 4)])
+def test_blocks_give_the_same(spark, prose, monkeypatch, block, nodes):
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(N, "FOREST_NODES", nodes)
     r = random.Random(9)
     base = prose(80, 5).split()
     docs = []
@@ -82,6 +100,21 @@ def test_blocks_give_the_same(spark, prose, monkeypatch):
     assert got == plain(docs)
 
 
+def test_wide_families_are_searched_by_bucket(spark, prose, monkeypatch):
+    """A chain of texts that overlap with the next by less than the threshold, and some by more."""
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 300)
+    words, r, docs, at, blocks = prose(1500, 77).split(), random.Random(3), [], 0, []
+    for i in range(90):
+        docs.append((i, " ".join(words[at : at + 80])))
+        at += r.choice((8, 9, 10, 11))
+    write = Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name: (out := write(self, df, name), blocks.append(out) if name == "blocks" else None)[0])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in N.near_duplicates(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    want = plain(docs)
+    assert got == want and len({c for _, c in want.values()}) > 20
+    assert blocks[0].where("k IS NOT NULL").count() > 20
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = N.near_duplicates(spark, odd_docs).collect()
     assert len(got) == 10
