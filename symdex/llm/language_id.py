@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from symdex.llm.shared import keyed, held_out, map_texts, table, texts_of
 from symdex.llm.wordhash import U, mix
@@ -171,18 +172,19 @@ def fit(texts: list[str], langs: list[str], families: dict[str, str] = FAMILIES)
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILIES) -> Model:
-    """Fit on up to `per_language` rows of each language, those with the least hashes of their key."""
+    """Fit on up to `per_language` rows of each language, those with the least hashes of their key. Rows beyond a
+    threshold that about twice as many stay under are left out first. A key counts once a language, with its least text."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).agg(F.approx_count_distinct(key)).collect()}
     hashed = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     wanted = F.lit(False)
     for name, n in counts.items():
         wanted = wanted | ((F.col(lang) == name) & (hashed < int((1 << 30) * min(1.0, 2.0 * per_language / n))))
-    found: dict[str, list[tuple[int, str]]] = {}
-    for h, name, t in rows.where(wanted).select(hashed.alias("h"), lang, text).toLocalIterator():
-        found.setdefault(name, []).append((h, t or ""))
-    pairs = [(t, name) for name in sorted(found) for _, t in sorted(found[name])[:per_language]]
-    return fit([t for t, _ in pairs], [name for _, name in pairs], families)
+    rows = rows.where(wanted).select(hashed.alias("h"), F.col(lang).alias("lang"), F.coalesce(text, F.lit("")).alias("t"))
+    rows = rows.groupBy("lang", "h").agg(F.min("t").alias("t"))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("n") <= per_language)
+    found = sorted((name, n, t) for name, n, t in rows.select("lang", "n", "t").toLocalIterator())
+    return fit([t for _, _, t in found], [name for name, _, _ in found], families)
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from symdex.llm.shared import keyed, bytes_of, held_out, map_texts, table
 from symdex.llm.wordhash import BY_SPACE
 
 #: Labelled documents that are learnt from.
-MAX_DOCS = 2000
+MAX_DOCS, MAX_BYTES = 2000, 64 << 20
 
 #: Byte classes that lines are described by.
 _UPPER = np.array([65 <= b < 91 for b in range(256)])
@@ -198,18 +198,22 @@ def fit(raws: list[bytes], labels: list[int], rounds: int = 150, l2: float = 1e-
     return Model(w, stay, float(s), float(-c / s))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = MAX_DOCS) -> Model:
-    """Fit on up to `max_docs` labelled documents; a key with several labels counts as its largest."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
+    """Fit on up to `max_docs` labelled documents, and of those on as many as have `max_bytes` of text together; a key
+    with several labels counts as its largest, and one with several texts as the least."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     least = known.select(key, "label", F.xxhash64(key).alias("h")).orderBy("h", key).limit(max_docs)
-    rows = docs.select(key, text).join(F.broadcast(least), key).select("h", key, text, "label")
-    found = {}
-    for h, k, t, y in rows.toLocalIterator():
-        kept = found.get(k)
-        if kept is None or (t or "") < kept[1]:
-            found[k] = (h, t or "", int(y > 0))
-    rows = [found[k] for k in sorted(found, key=lambda k: (found[k][0], k))]
-    return fit([t.encode() for _, t, _ in rows], [y for _, _, y in rows])
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(least), key)
+    rows = rows.groupBy("h", key).agg(F.min("t").alias("t"), F.max("label").alias("label")).orderBy("h", key)
+    texts, labelled, size = [], [], 0
+    for r in rows.toLocalIterator():
+        raw = r["t"].encode()
+        size += len(raw)
+        if size > max_bytes:
+            break
+        texts.append(raw)
+        labelled.append(int(r["label"] > 0))
+    return fit(texts, labelled)
 
 
 def scores(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

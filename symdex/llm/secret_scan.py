@@ -215,14 +215,15 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", margin: fl
     names, schema = df.columns, df.schema
     at = names.index(text)
 
-    def run(batches):
+    def make():
         own = scanner(margin)
-        for batch in batches:
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             raws = batch.column(at).cast(pa.binary()).to_pylist()
             texts = []
             for raw, spans in zip(raws, own.scan([x or b"" for x in raws]), strict=True):
                 if raw is None or not spans:
-                    texts.append(raw and raw.decode() if raw is not None else None)
+                    texts.append(None if raw is None else raw.decode())
                     continue
                 whole, parts, done = raw.decode(), [], 0
                 for s, _, e in spans:
@@ -231,10 +232,12 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]", margin: fl
                     done = max(done, e)
                 texts.append("".join(parts) + whole[done:])
             columns = list(batch.columns)
-            columns[at] = pa.array([x.decode() if isinstance(x, bytes) else x for x in texts], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            columns[at] = pa.array(texts, pa.string())
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        return each
 
-    return df.mapInArrow(run, schema)
+    return map_texts(df, text, make, schema)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

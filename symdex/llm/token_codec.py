@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symdex.llm.shared import keyed, map_texts, table, texts_of
 
-#: Bound on remembered parts of texts per worker; beyond it the memory starts anew (results are the same).
-CACHE_PARTS = 400_000
+#: Bounds on remembered parts of texts per worker and on their characters; beyond one the memory starts anew (results are the same).
+CACHE_PARTS, CACHE_CHARS = 400_000, 8 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -74,13 +74,14 @@ class ByteBpe:
         import regex
         import sentencepiece
 
-        self.vocabulary, self.cache_parts = vocabulary, cache_parts
+        self.vocabulary, self.cache_parts, self.held = vocabulary, cache_parts, 0
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(vocabulary))
         self.parts_of = regex.compile(pattern).findall
         self.whole = {x: struct.pack("<I", i) for i, x in enumerate(vocabulary)}
         self.cache: dict[str, bytes] = {}
 
     def _learn(self, parts: set[str]) -> None:
+        self.held += sum(map(len, parts))
         raws = [p.encode() for p in parts]
         known = list(map(self.whole.get, raws))
         self.cache.update((p, k) for p, k in zip(parts, known, strict=True) if k is not None)
@@ -90,10 +91,11 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > self.cache_parts:
-            self.cache.clear()
         out = []
         for text in texts:
+            if len(self.cache) > self.cache_parts or self.held > CACHE_CHARS:
+                self.cache.clear()
+                self.held = 0
             parts = self.parts_of(text)
             found = list(map(self.cache.get, parts))
             if None in found:
@@ -155,8 +157,10 @@ def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str |
         vocabulary = None
         for batch in batches:
             vocabulary = vocabulary or get().vocabulary
-            rows = [b"".join(vocabulary[i] for i in x or ()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["key", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [b"".join(map(vocabulary.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["key", "text"])
 
     return df.select(df[key].alias("key"), df[ids].alias("ids")).mapInArrow(run, keyed(df, key, "text binary")).withColumnRenamed("key", key)
 

@@ -45,3 +45,20 @@ def test_rows_that_share_an_id_but_not_the_text(spark, prose):
     rows = [(5, a, "s"), (5, b, "s"), (5, b, "r"), (9, b, "s"), (7, a, "s"), (8, c, "s"), (8, d, "s"), (None, d, "s"), (3, c, "s")]
     got = P.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, source string"), "").collect()
     assert sorted(map(tuple, got)) == sorted([(5, a, "s"), (5, b, "r"), (3, c, "s"), (8, d, "s")])
+
+
+def test_columns_with_the_stages_own_names_and_long_texts(spark, prose, tmp_path):
+    """Extra columns called as the stages call theirs, repeated ids with other texts, a very long text."""
+    names = ["__lang", "__score", "__own", "__hash", "__first", "__last", "__id", "__n", "row", "key", "spans", "items", "digest", "shingles", "component_id"]
+    long = "\n".join(prose(15, 9000 + i) for i in range(4000))
+    texts = [(1, prose(60, 1)), (1, prose(60, 2)), (2, prose(60, 1)), (3, long), (4, long + " more"), (None, prose(60, 5)), (5, None), (6, "")]
+    rows = [(i, t, "en", "s", 1, *["x"] * len(names)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "never said")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.schema.names == docs.schema.names
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in df.select("doc_id", "text").collect()))
+    assert got == sorted([(1, texts[0][1]), (1, texts[1][1]), (3, long), (0, texts[5][1])])

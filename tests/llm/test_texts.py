@@ -107,6 +107,9 @@ def test_op2_field_marginals_and_held_out(spark, odd_docs, no_docs, prose):
     assert all(0 <= r["score"] <= 1 for r in quality_crf.scores(odd_docs, model).collect()) and quality_crf.scores(odd_docs, model).count() == 10
     assert quality_crf.scores(no_docs, model).collect() == []
     assert by_id(quality_crf.scores(docs, quality_crf.train(docs, labels.limit(0))))[0]["score"] == 0.5
+    again = quality_crf.train(docs.unionByName(docs).unionByName(docs.selectExpr("doc_id", "text || 'z' AS text")), labels, max_docs=100)
+    assert np.allclose(again.weights, model.weights)
+    assert by_id(quality_crf.scores(docs, quality_crf.train(docs, labels, max_bytes=3)))[0]["score"] == 0.5
 
 
 def test_op3_languages(spark, odd_docs, no_docs):
@@ -126,6 +129,41 @@ def test_op3_languages(spark, odd_docs, no_docs):
     assert set(language_id.label_rows(odd_docs, model).columns) == {*odd_docs.columns, "lang_pred", "lang_score"}
 
 
+def test_op3_vote_letters_and_repeated_keys(spark):
+    """The prediction from the machines' weights by hand; letters beyond U+FFFF; one key in many rows."""
+    own = {"en": "the of and that", "de": "der die und nicht", "nl": "het een van niet", "fr": "le la est que", "es": "el los que una"}
+    r = random.Random(31)
+    data = [(" ".join(r.choices(own[k].split(), k=12)), k) for k in own for _ in range(12)]
+    model = language_id.fit([t for t, _ in data], [k for _, k in data])
+    sigmoid = lambda v: 1 / (1 + np.exp(-3 * v))
+    tests = [" ".join(r.choices(" ".join(own.values()).split(), k=9)) for _ in range(40)]
+    for text, lang, score in zip(tests, *model.predict(tests)):
+        x = language_id.features([text])[0][0]
+        each = {f: sigmoid(x @ model.family_w[:, i] + model.family_b[i]) for i, f in enumerate(model.families)}
+        family = max(each, key=each.get)
+        members = model.families[family]
+        votes = dict.fromkeys(members, 0.0)
+        for i, (a, b) in enumerate(model.pairs[family]):
+            q = sigmoid(x @ model.pair_w[family][:, i] + model.pair_b[family][i])
+            votes[members[a]] += q / (len(members) - 1)
+            votes[members[b]] += (1 - q) / (len(members) - 1)
+        best = max(votes, key=votes.get)
+        assert lang == best and np.isclose(score, each[family] / sum(each.values()) * votes[best], atol=1e-5)
+    langs, scores = model.predict(["😀😀 🎉!", "𝒽𝑒 𐐷", "１２", "", "Ⅷ"])
+    assert langs[0] == langs[2] == langs[3] == "und" and scores[0] == 0 and langs[1] != "und"
+    x, n = language_id.features(["𐐷", "𐐸", "𠀀"])
+    assert n.tolist() == [1, 1, 1] and not np.array_equal(x[1], x[2])
+    rows = [(1, f"word{i} the of", "en") for i in range(300)] + [(2 + i, t, k) for i, (t, k) in enumerate(data)]
+    seen = []
+    fit = language_id.fit
+    try:
+        language_id.fit = lambda texts, langs, families: seen.append(list(zip(langs, texts))) or fit(texts, langs, families)
+        language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=10)
+    finally:
+        language_id.fit = fit
+    assert {k: sum(x == k for x, _ in seen[0]) for k in own} == dict.fromkeys(own, 10)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
 def test_op4_against_plain_version(spark, odd_docs, no_docs, prose, block_bytes):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
