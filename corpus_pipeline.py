@@ -15,10 +15,22 @@ from symdex.llm import decontaminate, language_id, near_duplicates, secret_scan,
 from symdex.llm.shared import Workspace, table
 
 
+def _free(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names that docs don't have."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that operator 3 gives a language, however low its score; the machines learn from the labelled ones among them."""
-    found = language_id.label_rows(docs, language_id.train(docs), name="__lang", score="__score")
-    return found.where("__lang <> 'und'").drop("__lang", "__score")
+    lang, score = _free(docs, "__lang", "__score")
+    found = language_id.label_rows(docs, language_id.train(docs), name=lang, score=score)
+    return found.where(F.col(lang) != "und").drop(lang, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +40,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     least by all columns is kept.
     """
     work, low = Workspace(spark, "near-rows"), F.lit((1 << 61) - 1)
-    own = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text").bitwiseAND(low) + F.lit(1 << 61))
-    rows = docs.withColumn("__own", own).withColumn("__hash", F.xxhash64("text"))
-    several = rows.groupBy("__own").agg(F.min("__hash").alias("__first"), F.max("__hash").alias("__last")).where("__first <> __last")
-    several = work.write(several.select("__own", "__first"), "several")  # texts are shuffled to it only if it is large
-    other = F.xxhash64("__own", "text").bitwiseAND(low) + F.lit(1 << 62)
-    rows = rows.join(several, "__own", "left").withColumn("__id", F.when(F.col("__hash") != F.col("__first"), other).otherwise(F.col("__own")))
-    rows = rows.select(*docs.columns, "__own", "__id")
-    others = work.write(rows.where("__id <> __own").select("__id", "__own").distinct(), "others")
-    found = near_duplicates.near_duplicates(spark, rows.select("__id", "text"), "__id").join(others, "__id", "left")
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("__own", "__id"), "__id")).alias("least")).select("least.__id")
-    first = W.partitionBy("__id").orderBy(*docs.columns)
-    return rows.join(kept, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    own, hashed, first, last, node, n = _free(docs, "__own", "__hash", "__first", "__last", "__id", "__n")
+    rows = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text").bitwiseAND(low) + F.lit(1 << 61))).withColumn(hashed, F.xxhash64("text"))
+    several = rows.groupBy(own).agg(F.min(hashed).alias(first), F.max(hashed).alias(last)).where(F.col(first) != F.col(last))
+    several = work.write(several.select(own, first), "several")  # texts are shuffled to it only if it is large
+    other = F.xxhash64(own, "text").bitwiseAND(low) + F.lit(1 << 62)
+    rows = rows.join(several, own, "left").withColumn(node, F.when(F.col(hashed) != F.col(first), other).otherwise(F.col(own)))
+    rows = rows.select(*docs.columns, own, node)
+    others = work.write(rows.where(F.col(node) != F.col(own)).select(node, own).distinct(), "others")
+    found = near_duplicates.near_duplicates(spark, rows.select(node, "text"), node).join(others, node, "left")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(own, node), node)).alias("least")).select(F.col("least")[node].alias(node))
+    order = W.partitionBy(node).orderBy(*docs.columns)
+    return rows.join(kept, node, "left_semi").withColumn(n, F.row_number().over(order)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
