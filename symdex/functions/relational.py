@@ -1,4 +1,4 @@
-"""Relational building blocks that the named operators share. All take and return DataFrames and run nothing."""
+"""Relational building blocks that the named operators share. All take and return DataFrames; only `closure` runs jobs."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from symdex.functions.workdir import stored
+
 
 def optional(column: str | Column, value) -> Column:
     """An equality that a missing argument switches off."""
@@ -57,11 +59,26 @@ def asof_last(probes: DataFrame, history: DataFrame, by: Sequence[str], at: str,
     return out.select(*by, at, *[F.col(f"__p.{c}").alias(c) for c in keep], *[F.col(f"__seen.{c}").alias(c) for c in value])
 
 
-def nearest(probes: DataFrame, values: DataFrame, by: Sequence[str], probe: str, value: str, tie: Sequence) -> DataFrame:
-    """Each probe with the row of its group whose value is nearest."""
-    both = probes.join(values, list(by))
-    keys = list(probes.columns)
-    return top_k(both.withColumn("__d", F.abs(F.col(value) - F.col(probe))), keys, [F.col("__d"), *tie], 1).drop("__d")
+def nearest(probes: DataFrame, values: DataFrame, by: Sequence[str], probe: str, value: str, tie: Sequence[str]) -> DataFrame:
+    """Each probe with the row of its group whose value is nearest, of equally near ones the least by `tie`.
+
+    The nearest value is the last at or below the probe or the first above it. Both are found by one sort of probes and
+    values together, so a group of n values and m probes takes n + m rows, never n * m. Values that are alike are cut
+    to their least row by `tie` first, which columns of `tie` must be.
+    """
+    keep, names = list(probes.columns), [c for c in values.columns if c not in by]
+    some = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.min_by(F.struct(*names), F.struct(*tie)).alias("__v"))
+    left = probes.select(*by, F.col(probe).cast("double").alias("__at"), F.struct(*keep).alias("__p"))
+    right = some.select(*by, F.col(value).cast("double").alias("__at"), "__v")
+    both = left.unionByName(right, allowMissingColumns=True)
+    # a probe stands after the values equal to it going up, and before them going down
+    order = W.partitionBy(*by).orderBy("__at", F.col("__p").isNotNull())
+    below = F.last("__v", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    above = F.first("__v", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    found = both.withColumn("__below", below).withColumn("__above", above).where("__p IS NOT NULL")
+    near = lambda c: F.struct(F.abs(F.col(f"{c}.{value}") - F.col("__at")).alias("d"), *[F.col(f"{c}.{t}") for t in tie], F.col(c).alias("v"))
+    one = F.least(*[F.when(F.col(c).isNotNull(), near(c)) for c in ("__below", "__above")])
+    return found.withColumn("__n", one).where("__n IS NOT NULL").select(*[F.col(f"__p.{c}").alias(c) for c in keep], *[F.col(f"__n.v.{c}").alias(c) for c in names])
 
 
 def stabbing(points: DataFrame, ranges: DataFrame, by: Sequence[str], point: str, low: str, high: str, width: int = 64) -> DataFrame:
@@ -86,27 +103,21 @@ def listed(column: str | Column, order: Sequence[str], sep: str = ", ") -> Colum
     return F.array_join(F.transform(rows, lambda x: x["v"]), sep)
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int, checkpoint_every: int = 4) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """(root, node, depth): nodes within max_depth edges of each root, with their least depth; roots have depth 0.
 
     `edges` is (child, parent), `roots` (node). A frontier only holds nodes that no earlier level reached, so cycles
-    end and diamonds count once. The lineage is cut with checkpoint() where a checkpoint folder is set.
+    end and diamonds count once. Each level is one job whose rows are stored in the shared folder: the plan of a level
+    doesn't hold the levels before, and the search ends with the first level that finds nothing new.
     """
-    edges = edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p")).distinct()
-    seen = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    sc = edges.sparkSession.sparkContext
-    can_cut = sc._jsc.sc().getCheckpointDir().isDefined()
+    edges = stored(edges.select(F.col("child").alias("__c"), F.col("parent").alias("__p")).where("__c IS NOT NULL AND __p IS NOT NULL").distinct())
+    seen = frontier = stored(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         step = frontier.join(edges, frontier["node"] == edges["__c"]).select("root", F.col("__p").alias("node")).distinct()
-        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        if can_cut and depth % checkpoint_every == 0:
-            frontier = frontier.checkpoint()
-            if frontier.isEmpty():
-                break
+        frontier = stored(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-        if can_cut and depth % checkpoint_every == 0:
-            seen = seen.checkpoint()
     return seen
 
 

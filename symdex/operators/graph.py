@@ -35,15 +35,16 @@ def includers(f: Facts, name: str, offset: int = 0, limit: int = 50) -> DataFram
     return R.page(hit.select("name", "path", f.symbols["line"]).distinct(), ["name", "path", "line"], limit, offset)
 
 
-def type_hierarchy(f: Facts, name: str, limit: int = 50) -> DataFrame:
-    """Ancestors by depth, and direct descendants, tagged by direction."""
-    up = ancestors(f, name, limit=limit).select(F.lit("ancestor").alias("direction"), "name", "depth")
-    down = R.page(edges(f).where(F.col("parent") == name).select(F.col("child").alias("name")).distinct(), ["name"], limit)
+def type_hierarchy(f: Facts, name: str, ancestors_offset: int = 0, descendants_offset: int = 0, limit: int = 50) -> DataFrame:
+    """Ancestors by depth, and the classes and modules that mix it in, tagged by direction."""
+    up = ancestors(f, name, offset=ancestors_offset, limit=limit).select(F.lit("ancestor").alias("direction"), "name", "depth")
+    mixed = f.symbols.where(F.col("kind").isin("class", "module")).join(f.mixins.where(F.col("module_name") == name).select(F.col("class_id").alias("id")), "id", "left_semi")
+    down = R.page(mixed.select("name").distinct(), ["name"], limit, descendants_offset)
     return up.unionByName(down.select(F.lit("descendant").alias("direction"), "name", F.lit(1).alias("depth")))
 
 
 def prepare_type(f: Facts, name: str) -> DataFrame:
-    hit = f.symbols.where((F.col("name") == name) & F.col("kind").isin("class", "module")).join(f.paths(), "file_id")
+    hit = f.symbols.where((F.col("name") == name) & F.col("kind").isin("class", "module", "classdef")).join(f.paths(), "file_id")
     return R.page(hit.select("id", "name", "kind", "path", "line", "col"), ["path", "line", "id"], 1)
 
 
@@ -101,14 +102,13 @@ def related_classes(f: Facts, name: str, depth: int = 4) -> DataFrame:
 
 
 def rename_occurrences(f: Facts, name: str, owner: str | None = None, depth: int = 4) -> DataFrame:
-    """Places to edit when a method is renamed: definitions in related classes, and references in their files."""
+    """Places to edit when a method is renamed: definitions and references in the files of related classes."""
     sym = f.symbols.where(F.col("name") == name)
     refs = f.refs.where(F.col("name") == name)
     if owner is not None:
         classes = related_classes(f, owner, depth)
-        sym = sym.join(classes.select(F.col("name").alias("parent_name")), "parent_name", "left_semi")
-        files = f.symbols.join(classes.select("name"), "name", "left_semi").select("file_id").union(sym.select("file_id")).distinct()
-        refs = refs.join(files, "file_id", "left_semi")
+        files = f.symbols.where(F.col("kind").isin("class", "module", "classdef", "def")).join(classes.select("name"), "name", "left_semi").select("file_id").distinct()
+        sym, refs = sym.join(files, "file_id", "left_semi"), refs.join(files, "file_id", "left_semi")
     both = sym.select("file_id", "line", "col").union(refs.select("file_id", "line", "col")).distinct()
     return both.join(f.workspace(), "file_id").select("path", "line", "col").orderBy("path", "line", "col")
 
@@ -122,7 +122,10 @@ def rename_local(f: Facts, path: str, name: str, scope_id: int | None) -> DataFr
     return v.union(r).distinct().orderBy("line", "col")
 
 
-linked_editing_ranges = rename_local
+def linked_editing_ranges(f: Facts, path: str, name: str, scope_id: int | None) -> DataFrame:
+    """Bindings of a local variable within its scope."""
+    v = f.local_vars.join(f.file(path), "file_id").where((F.col("name") == name) & F.col("scope_id").eqNullSafe(F.lit(scope_id).cast("bigint")))
+    return v.select("path", "line", "col").distinct().orderBy("line", "col")
 
 
 def can_rename(f: Facts, name: str) -> DataFrame:

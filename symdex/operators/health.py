@@ -26,15 +26,16 @@ def kind_histogram(f: Facts) -> DataFrame:
 
 
 def workspace_summary(f: Facts) -> DataFrame:
-    own = f.workspace().select("file_id")
-    s = f.symbols.join(own, "file_id", "left_semi").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(F.col("kind").isin("class", "module")).alias("classes"), F.count_if(F.col("kind").isin(*METHOD_KINDS)).alias("methods"))
-    return s.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("files"))))
+    """One row: workspace and package files, symbols, and the version of the schema."""
+    gem = F.coalesce("is_gem", F.lit(False))
+    files = f.files.agg(F.count_if(~gem).alias("files"), F.count_if(gem).alias("gem_files"))
+    version = f.meta.where(F.col("key") == "schema_version").agg(F.max("value").alias("schema_version"))
+    return files.join(F.broadcast(f.symbols.agg(F.count(F.lit(1)).alias("symbols")))).join(F.broadcast(version))
 
 
 def workspace_health(f: Facts) -> DataFrame:
     """(what, n): files, symbols, methods, typed and all variables, unused public methods, findings by severity."""
-    own = f.workspace().select("file_id")
-    sym = f.symbols.join(own, "file_id", "left_semi")
+    own, sym = f.workspace().select("file_id"), f.symbols
     public = sym.where((F.col("kind") == "def") & (F.coalesce("visibility", F.lit("public")) == "public"))
     one = lambda df, what, n=None: df.agg(F.lit(what).alias("what"), (n if n is not None else F.count(F.lit(1))).cast("double").alias("n"))
     typed = F.count(present("type_hint"))
@@ -53,7 +54,7 @@ def workspace_health(f: Facts) -> DataFrame:
 
 def type_coverage(f: Facts, path: str | None = None, max_pct: float = 100.0) -> DataFrame:
     """Methods and typed methods of each file with any, up to a percentage; the row without path sums the files kept."""
-    m = f.symbols.where(F.col("kind").isin(*METHOD_KINDS)).join(f.workspace(), "file_id").where(R.optional("path", path))
+    m = f.symbols.where(F.col("kind") == "def").join(f.workspace(), "file_id").where(R.optional("path", path))
     per = m.groupBy("path").agg(F.count(F.lit(1)).alias("total"), F.count(present("return_type")).alias("typed"))
     per = per.withColumn("pct", 100.0 * F.col("typed") / F.col("total")).where(F.col("pct") <= max_pct)
     total = per.agg(F.lit(None).cast("string").alias("path"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("typed"), F.lit(0)).alias("typed"))
@@ -62,7 +63,7 @@ def type_coverage(f: Facts, path: str | None = None, max_pct: float = 100.0) ->
 
 def suggest_types(f: Facts, path: str, limit: int = 20) -> DataFrame:
     """Untyped methods of a file, each with the surest type of any variable of its name."""
-    defs = f.symbols.where(F.col("kind").isin(*METHOD_KINDS) & present("return_type").isNull()).join(f.file(path), "file_id")
+    defs = f.symbols.where((F.col("kind") == "def") & present("return_type").isNull()).join(f.file(path), "file_id")
     defs = R.page(defs.select("name", "parent_name", "line", "id"), ["line", "id"], min(limit, 100))
     best = f.local_vars.where(present("type_hint").isNotNull()).join(defs.select("name"), "name", "left_semi").groupBy("name").agg(F.max_by("type_hint", F.struct("confidence", "type_hint")).alias("type"), F.max("confidence").alias("confidence"))
     return defs.join(best, "name", "left").select("name", "parent_name", "line", F.coalesce("type", F.lit("untyped")).alias("suggested"), "confidence").orderBy("line", "name")

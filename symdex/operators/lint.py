@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from symdex.facts import Facts
 from symdex.functions import relational as R
+from symdex.functions.workdir import stored
 from symdex.operators.graph import edges
 from symdex.schema import present
 
@@ -56,9 +56,9 @@ def unused_methods(f: Facts) -> DataFrame:
 
 def duplicate_methods(f: Facts) -> DataFrame:
     """Methods that a file defines more than once for one owner; keys are counted, rows aren't paired."""
-    own = f.symbols.where(F.col("kind").isin("def", "classdef")).withColumn("owner", F.coalesce("parent_name", F.lit("")))
-    n = F.count(F.lit(1)).over(W.partitionBy("file_id", "name", "kind", "owner"))
-    return _finding(own.withColumn("n", n).where("n > 1"), "duplicate-method", 2, F.format_string("%s is defined more than once", "name"))
+    own = f.symbols.where(F.col("kind") == "def").withColumn("owner", F.coalesce("parent_name", F.lit("")))
+    twice = own.groupBy("file_id", "name", "owner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return _finding(own.join(twice, ["file_id", "name", "owner"], "left_semi"), "duplicate-method", 2, F.format_string("%s is defined more than once", "name"))
 
 
 def nil_receivers(f: Facts) -> DataFrame:
@@ -67,40 +67,42 @@ def nil_receivers(f: Facts) -> DataFrame:
 
 def wrong_arity(f: Facts) -> DataFrame:
     """Calls with more arguments than the one method they can mean takes, if that takes a fixed number."""
-    defs = f.symbols.where(F.col("kind").isin("def", "classdef")).select("id", "name", F.col("parent_name").alias("receiver_type"))
+    defs = f.symbols.where(F.col("kind").isin("def", "classdef") & present("parent_name").isNotNull()).select("id", "name", F.col("parent_name").alias("receiver_type"))
     only = defs.groupBy("name", "receiver_type").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("symbol_id")).where("n = 1").drop("n")
-    variadic = F.col("kind").isin("rest", "keyword", "keyword_rest", "block")
+    variadic = F.coalesce(F.col("kind").isin("rest", "keyword_rest", "block"), F.lit(False))
     arity = f.params.groupBy("symbol_id").agg(F.count_if(variadic).alias("variadic"), F.count_if(~variadic).alias("fixed")).where("variadic = 0 AND fixed > 0")
-    calls = f.refs.where((F.col("arg_count") > 0) & present("receiver_type").isNotNull())
+    calls = f.refs.where((F.col("arg_count") > 0) & present("receiver_type").isNotNull() & (F.col("receiver_type") != "NilClass"))
     hit = calls.join(only, ["name", "receiver_type"]).join(arity, "symbol_id").where("arg_count > fixed")
     return _finding(hit, "wrong-arity", 2, F.format_string("%s takes %d arguments, not %d", "name", "fixed", "arg_count"))
 
 
 def undefined_methods(f: Facts, depth: int = 32, known: Iterable[str] = KNOWN_CALLS) -> DataFrame:
-    """Calls whose name nothing defines, unless an ancestor of the class around them is outside the index.
+    """Calls inside a class whose name nothing defines though a method's name is the same but for one or two characters
+    more at its ends, unless an ancestor of the class around them is outside the index.
 
-    Around a call is the innermost class of its file whose lines hold it. A close name that exists is proposed.
+    Around a call is the innermost class of its file whose lines hold it; calls outside classes are left alone. Names
+    that begin with a capital or an underscore aren't looked at. Close names meet through their inner parts: each
+    method name gives at most six, so no two sets of names are paired.
     """
-    calls = f.refs.where(~F.col("name").isin(*known) & F.col("name").rlike("^[a-z_]"))
+    calls = f.refs.where(~F.col("name").isin(*known) & ~F.col("name").rlike("^[A-Z_]") & (F.col("name") != ""))
     calls = R.without_match(calls, f.symbols, ["name"])
-    calls = R.without_match(calls, f.local_vars, ["name"])
-    calls = calls.join(f.workspace().select("file_id"), "file_id", "left_semi").select("file_id", "name", "line", "col")
-    classes = f.symbols.where(F.col("kind").isin("class", "module")).select("file_id", F.col("name").alias("cls"), F.col("line").alias("lo"), F.coalesce("end_line", "line").alias("hi"))
-    inside = R.stabbing(calls, classes, ["file_id"], "line", "lo", "hi").groupBy("file_id", "name", "line", "col").agg(F.max_by("cls", F.struct("lo", -F.col("hi"))).alias("cls"))
-    e = edges(f)
-    reach = R.closure(e, inside.select(F.col("cls").alias("node")).distinct(), depth)
-    there = f.symbols.where(F.col("kind").isin("class", "module")).select(F.col("name").alias("node")).distinct().withColumn("indexed", F.lit(True))
-    unknown = reach.where("depth > 0").join(there, "node", "left").where("indexed IS NULL").select(F.col("root").alias("cls")).distinct()
-    bad = calls.join(inside, ["file_id", "name", "line", "col"], "left").join(unknown.withColumn("u", F.lit(True)), "cls", "left").where("u IS NULL").drop("u")
-    names = f.symbols.where(F.col("kind").isin("def", "classdef")).select(F.col("name").alias("other")).distinct().withColumn("n", F.char_length("other"))
-    # a candidate differs by at most two in length and shares the first letter, which keys the join
-    word = bad.select("name").distinct().withColumn("len", F.explode(F.sequence(F.char_length("name") - 2, F.char_length("name") + 2))).withColumn("c", F.substring("name", 1, 1))
-    near = word.join(names.select("other", F.col("n").alias("len"), F.substring("other", 1, 1).alias("c")), ["len", "c"])
+    calls = R.without_match(calls, f.local_vars, ["file_id", "name"]).select("file_id", "name", "line", "col")
+    names = f.symbols.where(F.col("kind").isin("def", "classdef") & F.col("name").rlike("^[a-z_]")).select(F.col("name").alias("other")).distinct()
+    n = F.char_length("other")
+    parts = [F.struct((n - cut).alias("length"), F.substring("other", F.lit(at + 1), n - cut).alias("part")) for cut in range(3) for at in range(cut + 1)]
+    parts = names.select("other", F.inline(F.array(*parts))).where("length > 0").select("other", R.ascii_lower("part").alias("low")).distinct()
+    word = calls.select("name").distinct().withColumn("low", R.ascii_lower("name"))
     d = R.edit_distance(F.col("name"), F.col("other"))
-    near = near.withColumn("d", d).where((F.col("d") > 0) & (F.col("d") <= F.least(F.lit(2), F.floor(F.char_length("name") / 2) + 1)))
+    near = word.join(parts, "low").withColumn("d", d).where((F.col("d") > 0) & (F.col("d") <= F.least(F.lit(2), F.floor(F.octet_length("name") / 2) + 1)))
     best = near.groupBy("name").agg(F.min_by("other", F.struct("d", "other")).alias("best"))
-    out = bad.join(best, "name", "left")
-    return _finding(out, "undefined-method", 2, F.concat(F.lit("undefined method "), F.col("name"), F.coalesce(F.concat(F.lit(", did you mean "), F.col("best"), F.lit("?")), F.lit(""))))
+    calls = stored(calls.join(best, "name"))
+    classes = f.symbols.where(F.col("kind").isin("class", "module")).select("file_id", F.col("name").alias("cls"), F.col("line").alias("lo"), F.coalesce("end_line", "line").alias("hi"))
+    inside = R.stabbing(calls, classes, ["file_id"], "line", "lo", "hi").groupBy("file_id", "name", "line", "col", "best").agg(F.max_by("cls", F.struct("lo", -F.col("hi"), "cls")).alias("cls"))
+    reach = R.closure(edges(f), inside.select(F.col("cls").alias("node")).distinct(), depth)
+    there = f.symbols.where(F.col("kind").isin("class", "module")).select(F.col("name").alias("node")).distinct()
+    unknown = reach.where("depth > 0").join(there, "node", "left_anti").select(F.col("root").alias("cls")).distinct()
+    bad = inside.join(unknown, "cls", "left_anti")
+    return _finding(bad, "undefined-method", 2, F.format_string("undefined method %s, did you mean %s?", "name", "best"))
 
 
 CHECKS = {

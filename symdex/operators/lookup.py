@@ -83,16 +83,19 @@ def methods(f: Facts, owner: str | None, name: str) -> DataFrame:
     return f.symbols.where((F.col("name") == name) & F.col("kind").isin(*METHOD_KINDS) & R.optional("parent_name", owner))
 
 
-def _with_params(f: Facts, symbols: DataFrame) -> DataFrame:
+def with_params(f: Facts, symbols: DataFrame) -> DataFrame:
     p = f.params.groupBy(F.col("symbol_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "name", "kind", "type_hint", "confidence"))).alias("params"))
     return symbols.join(p, "id", "left").withColumn("params", F.coalesce("params", F.array().cast(p.schema["params"].dataType)))
 
 
-def signature_text(params: str | Column = "params") -> Column:
-    """A parameter list as written, by kind."""
+def signature_text(params: str | Column = "params", typed: bool = False) -> Column:
+    """A parameter list as written, by kind; on request with types of which one can be fairly sure."""
+
     def one(p: Column) -> Column:
         name, kind = p["name"], p["kind"]
-        return F.when(kind == "optional", F.concat(name, F.lit(" = …"))).when(kind == "rest", F.concat(F.lit("*"), name)).when(kind == "keyword", F.concat(name, F.lit(":"))).when(kind == "keyword_rest", F.concat(F.lit("**"), name)).when(kind == "block", F.concat(F.lit("&"), name)).otherwise(name)
+        sure = typed & present(p["type_hint"]).isNotNull() & (F.coalesce(p["confidence"], F.lit(50)) >= 50)
+        said = lambda sep: F.when(sure, F.concat(F.lit(sep), p["type_hint"])).otherwise(F.lit(""))
+        return F.when(kind == "keyword", F.concat(name, F.lit(":"), said(" "))).when(kind == "rest", F.concat(F.lit("*"), name, said(": "))).when(kind == "keyword_rest", F.concat(F.lit("**"), name)).when(kind == "block", F.concat(F.lit("&"), name)).otherwise(F.concat(name, said(": ")))
 
     return F.array_join(F.transform(params, one), ", ")
 
@@ -100,7 +103,7 @@ def signature_text(params: str | Column = "params") -> Column:
 def method_signature(f: Facts, qualified: str) -> DataFrame:
     owner, name = split_qualified(qualified)
     one = R.page(methods(f, owner, name), ["file_id", "line", "col", "id"], 1)
-    return _with_params(f, one).select("name", "parent_name", present("return_type").alias("return_type"), "params", signature_text().alias("signature"), "visibility", present("doc").alias("doc"))
+    return with_params(f, one).select("name", "parent_name", present("return_type").alias("return_type"), "params", signature_text().alias("signature"), "visibility", present("doc").alias("doc"))
 
 
 signature_help = method_signature
@@ -109,7 +112,7 @@ signature_help = method_signature
 def explain_symbol(f: Facts, qualified: str, samples: int = 3, findings: int = 10) -> DataFrame:
     """One row: signature, parameters, number of references with samples, and findings of the defining file."""
     owner, name = split_qualified(qualified)
-    one = _with_params(f, R.page(methods(f, owner, name), ["file_id", "line", "col", "id"], 1)).join(f.paths(), "file_id")
+    one = with_params(f, R.page(methods(f, owner, name), ["file_id", "line", "col", "id"], 1)).join(f.paths(), "file_id")
     refs = f.refs.where(F.col("name") == name)
     count = refs.agg(F.count(F.lit(1)).alias("n_refs"))
     some = R.page(refs.join(f.paths(), "file_id").select("path", "line", "col"), ["path", "line", "col"], samples).agg(F.array_sort(F.collect_list(F.struct("path", "line", "col"))).alias("samples"))
@@ -124,12 +127,12 @@ def class_summary(f: Facts, name: str) -> DataFrame:
     cls = f.symbols.where((F.col("name") == name) & F.col("kind").isin("class", "module"))
     shape = lambda df, section, *cols: df.select(F.lit(section).alias("section"), *cols)
     row = ("name", "kind", "line", present("return_type").alias("return_type"))
-    members = R.page(own.where(~F.col("kind").isin("callback")), ["line", "name", "id"], 200)
+    members = R.page(own.where(F.col("kind").isin(*METHOD_KINDS, "constant")), ["kind", "name", "id"], 200)
     mixed = R.page(f.mixins.join(cls, f.mixins["class_id"] == cls["id"]).select(F.col("module_name").alias("name"), f.mixins["kind"].alias("kind"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("return_type")).distinct(), ["name", "kind"], 50)
     ivars = f.local_vars.where(F.col("name").startswith("@")).join(cls.select(F.col("id").alias("class_id")), "class_id", "left_semi")
     ivars = R.page(ivars.select("name", F.lit("ivar").alias("kind"), F.lit(None).cast("int").alias("line"), present("type_hint").alias("return_type")).distinct(), ["name", "return_type"], 100)
     callbacks = R.page(own.where(F.col("kind") == "callback"), ["line", "name", "id"], 50)
-    scopes = R.page(own.where(F.col("kind") == "classdef"), ["line", "name", "id"], 50)
+    scopes = R.page(own.where(F.col("kind") == "classdef"), ["name", "id"], 50)
     parts = [shape(members, "members", *row), mixed.select(F.lit("mixins").alias("section"), *mixed.columns), ivars.select(F.lit("ivars").alias("section"), *ivars.columns), shape(callbacks, "callbacks", *row), shape(scopes, "scopes", *row)]
     out = parts[0]
     for p in parts[1:]:
@@ -161,7 +164,7 @@ def other_implementations(f: Facts, method: str, owner: str, limit: int = 50) ->
 
 def association_graph(f: Facts, owner: str, offset: int = 0, limit: int = 100) -> DataFrame:
     hit = f.symbols.where((F.col("parent_name") == owner) & F.col("kind").isin("association", "scope"))
-    return R.page(hit.select("name", F.coalesce(present("doc"), F.col("kind")).alias("type"), present("return_type").alias("target"), present(F.regexp_extract("value_snippet", "^through:(.*)", 1)).alias("through"), "line"), ["line", "name", "type"], limit, offset)
+    return R.page(hit.select("name", F.coalesce(present("doc"), F.col("kind")).alias("type"), present("return_type").alias("target"), present(F.regexp_extract("value_snippet", "^through:(.*)", 1)).alias("through"), "line"), ["name", "type", "line"], limit, offset)
 
 
 def list_callbacks(f: Facts, owner: str, callback_type: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -195,20 +198,29 @@ def document_symbols(f: Facts, path: str) -> DataFrame:
     return rows.select("id", "name", "kind", "line", F.greatest(end, F.col("line")).alias("end_line"), F.when(~F.col("kind").isin("class", "module"), box).alias("container_id"))
 
 
+#: Kinds that are found by the last part of a qualified name as well (fixed values).
+BY_LAST_PART = ("class", "module", "association", "scope", "validation", "callback")
+
+
+def _named(name: str) -> Column:
+    return (F.col("name") == name) | (F.col("name").endswith("::" + name) & F.col("kind").isin(*BY_LAST_PART))
+
+
 def definitions(f: Facts, name: str, limit: int = 10) -> DataFrame:
-    """Exact names, names that end in ::name, and methods of modules mixed in under that name."""
-    kinds = ("class", "module", "def", "classdef", "constant")
-    own = f.symbols.where(((F.col("name") == name) | F.col("name").endswith("::" + name)) & F.col("kind").isin(*kinds))
-    mixed = f.symbols.where(F.col("kind").isin(*METHOD_KINDS) & (F.col("name") == name)).join(f.mixins.select(F.col("module_name").alias("parent_name")).distinct(), "parent_name", "left_semi")
+    """Exact names, names of some kinds that end in ::name, and methods in files that hold a module which anything mixes in."""
+    own = f.symbols.where(_named(name))
+    used = f.mixins.select(F.col("module_name").alias("name")).distinct()
+    homes = f.symbols.where(F.col("kind").isin("class", "module")).join(used, "name", "left_semi").select("file_id").distinct()
+    mixed = f.symbols.where((F.col("kind") == "def") & (F.col("name") == name)).join(homes, "file_id", "left_semi")
     cols = ["name", "kind", "file_id", "line", "col"]
     both = own.select(*cols).union(mixed.select(*cols)).distinct().join(f.paths(), "file_id").drop("file_id")
     return R.page(both, [F.col("name") != name, "path", "line", "col"], limit)
 
 
 def variable_at(f: Facts, path: str, name: str, line: int, scope_id: int | None = None) -> DataFrame:
-    """The latest binding of a local at or before a line, the scope's own before others."""
-    hit = f.local_vars.join(f.file(path), "file_id").where((F.col("name") == name) & (F.col("line") <= line))
-    own = F.coalesce(F.col("scope_id") == scope_id, F.lit(False)) if scope_id is not None else F.lit(True)
+    """The latest binding of a local in its scope, or else the latest at or before a line."""
+    own = F.coalesce(F.col("scope_id") == scope_id, F.lit(False)) if scope_id is not None else F.lit(False)
+    hit = f.local_vars.join(f.file(path), "file_id").where((F.col("name") == name) & (own | (F.col("line") <= line)))
     return R.page(hit, [F.desc(own), F.desc("line"), F.desc("col")], 1).select("path", "name", "line", "col", "type_hint", "confidence", "scope_id")
 
 
@@ -226,7 +238,7 @@ def type_definition(f: Facts, path: str, name: str, line: int, limit: int = 5) -
     cls = f.symbols.where(F.col("kind").isin("class", "module")).withColumn("t", F.element_at(F.split("name", "::"), -1))
     want = kind.withColumn("full", F.col("t")).withColumn("t", F.element_at(F.split("t", "::"), -1))
     hit = cls.join(F.broadcast(want), "t").where((F.col("name") == F.col("full")) | F.expr("endswith(name, concat('::', full))"))
-    return R.page(hit.join(f.paths(), "file_id").select("name", "full", "path", "line", "col"), [F.col("name") != F.col("full"), "name", "path", "line"], limit)
+    return R.page(hit.join(f.paths(), "file_id").select("name", "full", "path", "line", "col", "id"), [F.col("name") != F.col("full"), "id"], limit).drop("id")
 
 
 def hover_local(f: Facts, path: str, name: str, line: int, k: int = 10) -> DataFrame:
@@ -237,23 +249,25 @@ def hover_local(f: Facts, path: str, name: str, line: int, k: int = 10) -> DataF
 
 
 def hover_method(f: Facts, owner: str, name: str) -> DataFrame:
-    """A method for a receiver class: its own before others, documented before not."""
-    hit = f.symbols.where((F.col("name") == name) & F.col("kind").isin(*METHOD_KINDS))
+    """A method of a receiver class, or one without an owner in a file that holds the class; documented before not."""
+    homes = f.symbols.where(F.col("kind").isin("class", "module") & (F.col("name") == owner)).select("file_id").distinct().withColumn("home", F.lit(True))
+    hit = f.symbols.where((F.col("name") == name) & F.col("kind").isin(*METHOD_KINDS)).join(homes, "file_id", "left")
+    hit = hit.where((F.col("parent_name") == owner) | (F.col("parent_name").isNull() & F.col("home")))
     one = R.page(hit, [F.coalesce(F.col("parent_name") != owner, F.lit(True)), present("doc").isNull(), "id"], 1)
-    return _with_params(f, one).select("name", "parent_name", "return_type", "doc", signature_text().alias("signature"))
+    return with_params(f, one).select("name", "parent_name", "return_type", "doc", signature_text().alias("signature"))
 
 
 def hover_name(f: Facts, name: str, path: str) -> DataFrame:
     """A symbol by name: the same file's first, then exact names, with signature and mixins."""
-    hit = f.symbols.where((F.col("name") == name) | F.col("name").endswith("::" + name)).join(f.paths(), "file_id")
+    hit = f.symbols.where(_named(name)).join(f.paths(), "file_id")
     one = R.page(hit, [F.col("path") != path, F.col("name") != name, "id"], 1)
     mixed = f.mixins.groupBy(F.col("class_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("kind", "module_name"))).alias("mixins"))
-    return _with_params(f, one).join(mixed, "id", "left").select("name", "kind", "path", "line", "return_type", "doc", signature_text().alias("signature"), "params", "mixins")
+    return with_params(f, one).join(mixed, "id", "left").select("name", "kind", "path", "line", "return_type", "doc", signature_text(typed=True).alias("signature"), "params", "mixins")
 
 
-def class_methods(f: Facts, owner: str, limit: int = 10) -> DataFrame:
-    """How many methods a class has, and some names, documented ones first."""
-    own = f.symbols.where((F.col("parent_name") == owner) & F.col("kind").isin(*METHOD_KINDS))
+def class_methods(f: Facts, owner: str, kind: str = "def", limit: int = 10) -> DataFrame:
+    """How many methods of a kind a class has that aren't private, and some names, documented ones first."""
+    own = f.symbols.where((F.col("parent_name") == owner) & (F.col("kind") == kind) & (F.coalesce("visibility", F.lit("")) != "private"))
     count = own.agg(F.count_distinct("name").alias("n_methods"))
     names = own.groupBy("name").agg(F.max(present("doc").isNotNull()).alias("documented"))
     return R.page(names, [F.desc("documented"), "name"], limit).join(F.broadcast(count))
@@ -267,7 +281,7 @@ def enclosing(f: Facts, path: str, line: int) -> DataFrame:
 
 def symbol_source(f: Facts, owner: str, method: str, most: int = 200) -> DataFrame:
     """A method's lines, numbered, as one text."""
-    one = R.page(f.symbols.where((F.col("name") == method) & (F.col("parent_name") == owner)), ["file_id", "line", "id"], 1).select("id", "file_id", F.col("line").alias("lo"), F.least(F.coalesce("end_line", F.col("line")), F.col("line") + most - 1).alias("hi"))
+    one = R.page(f.symbols.where((F.col("name") == method) & (F.col("parent_name") == owner) & F.col("kind").isin(*METHOD_KINDS)), ["file_id", "line", "id"], 1).select("id", "file_id", F.col("line").alias("lo"), F.least(F.coalesce("end_line", F.col("line")), F.col("line") + most - 1).alias("hi"))
     rows = f.lines.join(F.broadcast(one), "file_id").where("n BETWEEN lo AND hi")
     return rows.groupBy("id", "lo", "hi").agg(R.listed(F.concat(F.col("n").cast("string"), F.lit(": "), F.col("text")), ["n"], "\n").alias("source"))
 
@@ -276,7 +290,7 @@ def inlay_hints(f: Facts, path: str, first: int, last: int) -> DataFrame:
     """Types of variables and methods within lines."""
     here = f.file(path)
     v = f.local_vars.join(here, "file_id").where(present("type_hint").isNotNull() & F.col("line").between(first, last)).select("line", (F.col("col") + F.char_length("name")).alias("col"), F.concat(F.lit(": "), F.col("type_hint")).alias("label"))
-    s = f.symbols.join(here, "file_id").where(present("return_type").isNotNull() & F.col("kind").isin(*METHOD_KINDS) & F.col("line").between(first, last)).select("line", F.col("col"), F.concat(F.lit(" -> "), F.col("return_type")).alias("label"))
+    s = f.symbols.join(here, "file_id").where(present("return_type").isNotNull() & (F.col("kind") == "def") & F.col("line").between(first, last)).select("line", F.col("col"), F.concat(F.lit(" -> "), F.col("return_type")).alias("label"))
     return v.unionByName(s).distinct().orderBy("line", "col", "label")
 
 

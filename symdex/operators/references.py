@@ -50,8 +50,8 @@ def highlights(f: Facts, path: str, name: str, scope_id: int | None = None) -> D
 
 
 def prepare_call(f: Facts, name: str) -> DataFrame:
-    hit = f.symbols.where((F.col("name") == name) & F.col("kind").isin(*METHOD_KINDS)).join(f.paths(), "file_id")
-    return R.page(hit.select("id", "name", "parent_name", "path", "line", "end_line"), ["path", "line", "id"], 1)
+    hit = f.symbols.where(F.col("name") == name).join(f.paths(), "file_id")
+    return R.page(hit.select("id", "name", "kind", "path", "line", "col"), ["path", "line", "id"], 1)
 
 
 def incoming_calls(f: Facts, name: str, limit: int = 100) -> DataFrame:
@@ -63,11 +63,11 @@ def incoming_calls(f: Facts, name: str, limit: int = 100) -> DataFrame:
 
 
 def outgoing_calls(f: Facts, path: str, name: str) -> DataFrame:
-    """Names called within a method's lines, each with where it is first defined."""
+    """Calls within a method's lines, each with where a method of that name is first defined."""
     me = f.symbols.join(f.file(path), "file_id").where((F.col("name") == name) & F.col("kind").isin(*METHOD_KINDS)).select("file_id", F.col("line").alias("lo"), F.coalesce("end_line", "line").alias("hi"))
-    called = R.stabbing(f.refs.join(me.select("file_id"), "file_id", "left_semi"), me, ["file_id"], "line", "lo", "hi").select("name").distinct()
-    target = f.symbols.where(F.col("kind").isin(*METHOD_KINDS)).join(called, "name", "left_semi").join(f.paths(), "file_id").groupBy("name").agg(F.min(F.struct("path", "line", "parent_name")).alias("t"))
-    return called.join(target, "name", "left").select("name", "t.path", "t.line", "t.parent_name").orderBy("name")
+    called = R.stabbing(f.refs.join(me.select("file_id"), "file_id", "left_semi"), me, ["file_id"], "line", "lo", "hi").select("name", "line", "col").distinct()
+    target = f.symbols.where(F.col("kind") == "def").join(called.select("name").distinct(), "name", "left_semi").join(f.paths(), "file_id").groupBy("name").agg(F.min(F.struct("path", "line", "id")).alias("t"))
+    return called.join(target, "name", "left").select("name", "line", "col", F.col("t.path").alias("target_path"), F.col("t.line").alias("target_line")).orderBy("line", "col", "name")
 
 
 def code_lens(f: Facts, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from symdex.functions import relational as R
+from symdex.streaming.changes import accepted, rate_limited
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,7 +57,6 @@ _sql(
     "ranked_name_search", "part",
     "SELECT p_partkey, p_name, CAST(CASE WHEN lower(p_name) = 'blue' THEN 0 WHEN lower(p_name) LIKE 'blue%' THEN 1 ELSE 2 END AS INT) AS tier FROM {part} WHERE lower(p_name) LIKE '%blue%' ORDER BY tier, length(p_name), p_name, p_partkey LIMIT 50",
 )
-_sql("subsequence_search", "part", "SELECT DISTINCT p_name FROM {part} WHERE p_name RLIKE 'b.*o.*t'", "SELECT DISTINCT p_name FROM part WHERE regexp_matches(p_name, 'b.*o.*t')")
 _sql("orders_without_lineitem", "orders lineitem", "SELECT o_orderkey, o_custkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)")
 _sql("customers_no_pending", "customer orders", "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 _sql("documents_unlabelled", "documents labels", "SELECT doc_id, lang FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
@@ -68,7 +68,7 @@ _sql(
     "over_quota_orders", "lineitem",
     "SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty FROM {lineitem} GROUP BY l_orderkey HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 0 AND sum(l_quantity) > 150 AND count(*) > 3",
 )
-_sql("flagged_events", "events", "SELECT event_id, user_id, value FROM {events} WHERE event_type = 'error' AND value > 50 AND user_id % 2 = 0")
+_sql("flagged_events", "events", "SELECT event_id, user_id, value FROM {events} WHERE event_type = 'error' AND value > 50")
 _sql(
     "label_coverage_by_source", "documents labels",
     "SELECT d.source, count(*) AS n_docs, count(l.quality) AS n_labelled, CAST(100.0 * count(l.quality) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS pct FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source",
@@ -78,7 +78,7 @@ _sql(
     "SELECT coalesce(d.source, '<all>') AS source, count(*) AS n_docs, count(l.quality) AS n_labelled FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY GROUPING SETS ((d.source), ())",
 )
 _sql(
-    "workspace_health", "customer orders part documents",
+    "table_counts", "customer orders part documents",
     "SELECT 'customers' AS what, count(*) AS n FROM {customer} UNION ALL SELECT 'orders', count(*) FROM {orders} UNION ALL SELECT 'parts', count(*) FROM {part} UNION ALL SELECT 'documents', count(*) FROM {documents}",
 )
 _sql("kind_histogram", "events", "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type ORDER BY n DESC, event_type")
@@ -99,8 +99,6 @@ _sql(
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 200 OFFSET 100",
 )
 _sql("distinct_implementations", "part", "SELECT DISTINCT coalesce(nullif(p_type, ''), '<top-level>') AS owner, p_name FROM {part}")
-_sql("suffix_match", "pages", "SELECT page_id, url FROM {pages} WHERE url LIKE '%#top'")
-_sql("rate_limited_events", "events", "SELECT user_id, CAST(unix_seconds(CAST(ts AS TIMESTAMP)) DIV 3600 AS BIGINT) AS hour, count(*) AS n FROM {events} GROUP BY 1, 2 HAVING count(*) > 1", "SELECT user_id, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
 _sql(
     "union_of_occurrences", "orders lineitem events",
     "SELECT DISTINCT key, kind FROM (SELECT o_custkey AS key, 'order' AS kind FROM {orders} WHERE o_totalprice > 200000 UNION ALL SELECT l_suppkey, 'line' FROM {lineitem} WHERE l_quantity > 49 UNION ALL SELECT user_id, 'event' FROM {events} WHERE event_type = 'signup')",
@@ -158,21 +156,21 @@ def clicks_within_signup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.stabbing(points, spans, ["user_id"], "us", "lo", "hi", 24 * hours).select("signup_id", "click_id")
 
 
-@query("last_k_events", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 2")
+@query("last_k_events", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
 def last_k_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_k(read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 2).select("user_id", "event_id")
+    return R.top_k(read(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id")
 
 
 @query(
     "reachability_min_depth",
     """WITH RECURSIVE e AS (SELECT DISTINCT a.user_id AS child, b.user_id AS parent FROM events a JOIN events b ON b.event_id = a.event_id + 1),
-    r(root, node, depth) AS (SELECT user_id, user_id, 0 FROM (SELECT min(user_id) AS user_id FROM events) UNION SELECT root, parent, depth + 1 FROM r JOIN e ON r.node = e.child WHERE depth < 3)
+    r(root, node, depth) AS (SELECT user_id, user_id, 0 FROM (SELECT min(user_id) AS user_id FROM events) UNION SELECT root, parent, depth + 1 FROM r JOIN e ON r.node = e.child WHERE depth < 8)
     SELECT root, node, CAST(min(depth) AS INT) AS depth FROM r GROUP BY root, node""",
 )
 def reachability_min_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", "user_id")
     edges = e.alias("a").join(e.alias("b"), F.col("b.event_id") == F.col("a.event_id") + 1).select(F.col("a.user_id").alias("child"), F.col("b.user_id").alias("parent"))
-    return R.closure(edges, e.agg(F.min("user_id").alias("node")), 3)
+    return R.closure(edges, e.agg(F.min("user_id").alias("node")), 8)
 
 
 @query("first_wins_merge", "SELECT p_name, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) = 1")
@@ -287,11 +285,59 @@ def innermost_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "batch_resolve",
-    "WITH p AS (SELECT user_id, event_id AS probe, value AS want FROM events WHERE event_type = 'error') SELECT probe, event_id FROM p LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') e USING (user_id) QUALIFY row_number() OVER (PARTITION BY probe ORDER BY abs(value - want) NULLS LAST, event_id) = 1",
+    "nearest_purchase",
+    "WITH p AS (SELECT user_id, event_id AS probe, value AS want FROM events WHERE event_type = 'error') SELECT probe, event_id FROM p JOIN (SELECT * FROM events WHERE event_type = 'purchase') e USING (user_id) QUALIFY row_number() OVER (PARTITION BY probe ORDER BY abs(value - want), event_id) = 1",
 )
-def batch_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     p = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("probe"), F.col("value").alias("want"))
     v = e.where("event_type = 'purchase'").select("user_id", "event_id", "value")
-    return p.join(v, "user_id", "left").groupBy("probe").agg(F.min_by("event_id", F.struct(F.abs(F.col("value") - F.col("want")), "event_id")).alias("event_id"))
+    return R.nearest(p, v, ["user_id"], "want", "value", ["event_id"]).select("probe", "event_id")
+
+
+@query("subsequence_search", "SELECT DISTINCT p_name FROM part WHERE regexp_matches(lower(p_name), 'b.*o.*t')")
+def subsequence_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").where(R.subsequence("p_name", "BoT")).select("p_name").distinct()
+
+
+@query("like_without_case", "SELECT page_id, url FROM pages WHERE contains(url, '_top') OR ends_with(lower(url), '#top')")
+def like_without_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LIKE for ASCII letters in either case, with an escaped wildcard and with a suffix."""
+    return read(spark, sf_dir, "pages").where(R.like_ascii("url", "%!_TOP%", "!") | R.like_ascii("url", "%#TOP")).select("page_id", "url")
+
+
+@query("greatest_and_lists", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(l_discount, l_tax) AS most FROM lineitem WHERE l_returnflag IN ('R', 'A') AND l_linenumber IN (1, 3, 5, 7, 11, 13, 17) AND greatest(l_discount, l_tax) > 0.08")
+def greatest_and_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    most = F.greatest("l_discount", "l_tax")
+    rows = read(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "A") & F.col("l_linenumber").isin(1, 3, 5, 7, 11, 13, 17) & (most > 0.08))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", most.alias("most"))
+
+
+@query(
+    "grep_documents",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), x AS (SELECT *, CASE WHEN length(line) > 80 THEN left(line, 80) || '…' ELSE line END AS c FROM l)
+    SELECT doc_id, CAST(n AS INT) AS n, c AS line, coalesce((SELECT string_agg(c, '⏎' ORDER BY n) FROM x y WHERE y.doc_id = x.doc_id AND y.n BETWEEN x.n - 2 AND x.n - 1), '') AS before, coalesce((SELECT string_agg(c, '⏎' ORDER BY n) FROM x y WHERE y.doc_id = x.doc_id AND y.n BETWEEN x.n + 1 AND x.n + 2), '') AS after
+    FROM x WHERE contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'token')""",
+)
+def grep_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = R.grep(read(spark, sf_dir, "documents"), ["doc_id"], "text", literal="ToKen", context=2, width=80)
+    return hits.withColumn("before", F.array_join("before", "⏎")).withColumn("after", F.array_join("after", "⏎"))
+
+
+@query(
+    "rate_limited_events",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms FROM events),
+    w(user_id, s) AS (SELECT user_id, min(ms) FROM e GROUP BY user_id UNION ALL SELECT w.user_id, (SELECT min(ms) FROM e WHERE e.user_id = w.user_id AND e.ms - w.s > 86400000) FROM w WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = w.user_id AND e.ms - w.s > 86400000))
+    SELECT e.user_id, e.event_id, row_number() OVER (PARTITION BY e.user_id, w.s ORDER BY e.ms, e.event_id) <= 3 AS allowed FROM e ASOF JOIN w ON e.user_id = w.user_id AND e.ms >= w.s""",
+)
+def rate_limited_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three events of a user a day, where a day begins with the first event after the last day's end."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").alias("seq"))
+    return rate_limited(rows, 3, 86_400_000).select(F.col("client").alias("user_id"), F.col("seq").alias("event_id"), "allowed")
+
+
+@query("latest_changes", "SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, event_type, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before IS NULL OR value > before")
+def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version gate on events: those whose value is above all that came before for their user."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("uri"), F.col("value").alias("version"), F.col("event_id").alias("seq"))
+    return accepted(rows).select(F.col("uri").alias("user_id"), F.col("seq").alias("event_id"))

@@ -37,12 +37,12 @@ EDITOR: dict[str, Callable[..., DataFrame]] = {
 ADMIN: dict[str, Callable[..., DataFrame]] = {"stats": health.stats, "kinds": health.kind_histogram, "summary": health.workspace_summary, "dump-symbols": health.dump_symbols, "check": health.check, "lint": lint.run_checks}
 
 
-def run(facts: Facts, name: str, **arguments) -> DataFrame:
+def run(facts: Facts, operator: str, /, **arguments) -> DataFrame:
     """The DataFrame of a named operator; nothing is executed yet."""
     for table in (TOOLS, EDITOR, ADMIN):
-        if name in table:
-            return table[name](facts, **arguments)
-    raise KeyError(name)
+        if operator in table:
+            return table[operator](facts, **arguments)
+    raise KeyError(operator)
 
 
 #: Compositions for a client's prompts: the parts of each, by name.

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
 
@@ -52,40 +54,83 @@ def new_contents(changes: DataFrame, watermark: str = "1 hour") -> DataFrame:
 def rate_limited(requests: DataFrame, most: int = 100, window_ms: int = 1000) -> DataFrame:
     """(client, ts_ms, seq, allowed): a window begins with the first request after the one before has ended.
 
-    Where windows begin depends on the request before, so each client's requests are folded in order by one array
-    expression; within a window all beyond `most` are refused.
+    Where windows begin depends on the request before. Requests are dealt by client and sorted, and a task goes through
+    them once, holding only the client's window and count; within a window all beyond `most` are refused.
     """
-    rows = requests.groupBy("client").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "seq"))).alias("r"))
-    fold = f"""aggregate(r, struct(CAST(NULL AS BIGINT) AS s, 0 AS n, CAST(array() AS ARRAY<STRUCT<ts_ms: BIGINT, seq: BIGINT, allowed: BOOLEAN>>) AS out),
-        (a, x) -> IF(a.s IS NULL OR x.ts_ms - a.s > {window_ms},
-            struct(x.ts_ms AS s, 1 AS n, concat(a.out, array(struct(x.ts_ms AS ts_ms, x.seq AS seq, {1 <= most} AS allowed))) AS out),
-            struct(a.s AS s, a.n + 1 AS n, concat(a.out, array(struct(x.ts_ms AS ts_ms, x.seq AS seq, a.n + 1 <= {most} AS allowed))) AS out)),
-        a -> a.out)"""
-    return rows.select("client", F.inline(F.expr(fold)))
+    rows = requests.select("client", "ts_ms", "seq")
+    schema = T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def run(batches):
+        now, start, n = None, None, 0
+        for batch in batches:
+            allowed = []
+            for client, ts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if start is None or client != now or ts - start > window_ms:
+                    now, start, n = client, ts, 0
+                n += 1
+                allowed.append(n <= most)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], schema.names)
+
+    return rows.repartition("client").sortWithinPartitions("client", "ts_ms", "seq").mapInArrow(run, schema)
+
+
+#: Batches between two snapshots of the stored versions.
+SNAPSHOT_EVERY = 16
 
 
 def run_gate(changes: DataFrame, state_path: str, checkpoint: str, apply: Callable[[DataFrame, int], None], trigger: dict | None = None) -> StreamingQuery:
     """Start a stream of changes: each micro-batch is gated by the stored versions, applied, and its versions stored.
 
-    Versions are kept one folder a batch, so a batch that runs twice overwrites its own and no other.
+    Versions are kept one folder a batch, so a batch that runs twice overwrites its own and no other. Every
+    SNAPSHOT_EVERY batches all versions before are put into one snapshot; what is older than the snapshot before goes,
+    so a batch reads one snapshot and at most twice as many small folders, however long the stream has run.
     """
 
     def each(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        stored = _stored(spark, state_path, n)
-        ok = accepted(batch, stored).persist()
+        if n and n % SNAPSHOT_EVERY == 0:
+            _snapshot(spark, state_path, n)
+        ok = accepted(batch, _stored(spark, state_path, n)).persist()
         try:
             apply(ok, n)
-            ok.groupBy("uri").agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{state_path}/batch={n}")
+            ok.groupBy("uri").agg(F.max("version").alias("version")).write.mode("overwrite").parquet(f"{state_path}/changes/batch={n}")
         finally:
             ok.unpersist()
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[list[int], Callable[[int], None]]:
+    """(numbers of the finished batch folders in a folder, a function that deletes one)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    found = [s.getPath() for s in fs.listStatus(root) if s.isDirectory()] if fs.exists(root) else []
+    numbers = sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("batch=") and done(p))
+    return numbers, lambda n: fs.delete(jvm.org.apache.hadoop.fs.Path(root, f"batch={n}"), True)
+
+
+def _snapshot(spark: SparkSession, state_path: str, n: int) -> None:
+    state = _stored(spark, state_path, n)
+    if state is not None:
+        state.write.mode("overwrite").parquet(f"{state_path}/snapshots/batch={n}")
+    snapshots, drop_snapshot = _folders(spark, f"{state_path}/snapshots")
+    keep = max([s for s in snapshots if s < n], default=0)  # a batch that is run again may still need it
+    changes, drop_changes = _folders(spark, f"{state_path}/changes")
+    for s in snapshots:
+        if s < keep:
+            drop_snapshot(s)
+    for c in changes:
+        if c < keep:
+            drop_changes(c)
+
+
 def _stored(spark: SparkSession, state_path: str, before: int) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path) or not any(s.isDirectory() for s in fs.listStatus(path)):
+    """(uri, version) after all batches before one: the last snapshot before it and the changes since."""
+    snapshot = max([s for s in _folders(spark, f"{state_path}/snapshots")[0] if s < before], default=None)
+    changes = [c for c in _folders(spark, f"{state_path}/changes")[0] if (snapshot or 0) <= c < before]
+    paths = [f"{state_path}/snapshots/batch={snapshot}"] * (snapshot is not None) + [f"{state_path}/changes/batch={c}" for c in changes]
+    if not paths:
         return None
-    return spark.read.schema("uri string, version bigint, batch int").parquet(state_path).where(F.col("batch") < before).groupBy("uri").agg(F.max("version").alias("version"))
+    return spark.read.schema("uri string, version bigint").parquet(*paths).groupBy("uri").agg(F.max("version").alias("version"))
