@@ -1,4 +1,4 @@
-"""Line-oriented parsers of single files: locale files, signatures, routes, templates and a subset of Ruby.
+"""Parsers of single files: locale files, signatures, routes, templates and Ruby.
 
 Each takes a text and gives rows as dicts for the fact tables, without ids; `extract` gives them ids.
 """
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from symdex.sources.ruby_text import openings, statements
+
 # --- locale files
 
 _KEY = re.compile(r"^\s*[\"']?&?([^\s:!*&\"'][^:]*?)[\"']?\s*:(.*)$")
@@ -145,11 +147,16 @@ _ATTR = re.compile(r"^attr_(reader|writer|accessor)\s+(self\.)?(\w+)\s*(?:\([^)]
 
 
 def _outer(text: str, sep: str = ",") -> list[str]:
-    """Parts between separators that are outside brackets."""
-    parts, deep, now = [], 0, ""
-    for c in text:
-        deep += (c in "([{") - (c in ")]}")
-        if c == sep and not deep:
+    """Parts between separators that are outside brackets and quotes."""
+    parts, deep, now, quote = [], 0, "", ""
+    for k, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote and text[k - 1] != "\\" else quote
+        elif c in "\"'" and (c == '"' or not text[k - 1 : k].isalnum() or not k) and text.find(c, k + 1) > 0:
+            quote = c
+        else:
+            deep += (c in "([{") - (c in ")]}")
+        if c == sep and not deep and not quote:
             parts.append(now)
             now = ""
         else:
@@ -247,16 +254,13 @@ def template_code(text: str) -> str:
     return "".join(out)
 
 
-# --- a subset of Ruby
+# --- Ruby
 
 _LITERALS = (
     (re.compile(r"^(\"[^\"]*\"|'[^']*')$"), "String"), (re.compile(r"^-?\d[\d_]*$"), "Integer"), (re.compile(r"^-?\d[\d_]*\.\d+$"), "Float"), (re.compile(r"^\[.*\]$"), "Array"),
     (re.compile(r"^\{.*\}$"), "Hash"), (re.compile(r"^:\w+[?!]?$"), "Symbol"), (re.compile(r"^/.*/\w*$"), "Regexp"), (re.compile(r"^(true)$"), "TrueClass"), (re.compile(r"^(false)$"), "FalseClass"), (re.compile(r"^nil$"), "NilClass"),
 )
-_OPENS = re.compile(r"^(if|unless|while|until|case|for|begin)\b|\bdo\b\s*(\|[^|]*\|)?$|=\s*(if|case|begin)\b")
-_CALLS = re.compile(r"(?:([A-Z]\w*(?:::[A-Z]\w*)*|[a-z_@$]\w*)\.)?([a-z_]\w*[?!]?)(\()?")
 _WORDS = frozenset("alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield".split())
-ASSOCIATIONS = ("has_many", "has_one", "belongs_to", "has_and_belongs_to_many")
 _CALLBACK = re.compile(r"^(before|after|around)_\w+$")
 
 
@@ -265,6 +269,10 @@ def literal_type(text: str) -> str | None:
     for pattern, kind in _LITERALS:
         if pattern.match(text):
             return kind
+    if text.startswith(("<<~", "<<-", "<<")) and text[2:3] not in (" ", ""):
+        return "String"
+    if re.match(r"^%[wWiI]", text):
+        return "[Symbol]" if text[1] in "iI" else "[String]"
     m = re.match(r"^([A-Z]\w*(?:::\w+)*)\.new\b", text)
     return m[1] if m else None
 
@@ -293,111 +301,328 @@ def _tags(doc: str | None) -> tuple[dict[str, str], str | None]:
     return params, result[1].replace(", ", " | ") if result else None
 
 
+#: What one declaration stands for: suffixes or patterns of the methods it makes, with their types (fixed values).
+ATTACHED = {
+    "has_one_attached": (("{}", "ActiveStorage::Attached::One"), ("{}=", None), ("{}_attachment", "ActiveStorage::Attachment"), ("{}_blob", "ActiveStorage::Blob")),
+    "has_many_attached": (("{}", "ActiveStorage::Attached::Many"), ("{}=", None), ("{}_attachments", "[ActiveStorage::Attachment]"), ("{}_blobs", "[ActiveStorage::Blob]")),
+    "has_rich_text": (("{}", "ActionText::RichText"), ("{}=", None), ("{}?", "TrueClass | FalseClass")),
+    "has_secure_token": (("{}", "String"), ("{}=", "String"), ("regenerate_{}", "String")),
+}
+#: Declarations whose first name is a symbol of a kind (fixed values).
+DECLARED = {
+    **dict.fromkeys("belongs_to has_many has_one has_and_belongs_to_many delegated_type one_to_many many_to_one many_to_many one_to_one one_through_one many_through_many".split(), "association"),
+    **dict.fromkeys("encrypts normalizes".split(), "validation"), **dict.fromkeys("connects_to queue_as retry_on discard_on".split(), "callback"),
+    **dict.fromkeys("shared_examples_for shared_context shared_examples".split(), "module"), **dict.fromkeys("describe context it specify".split(), "test"),
+    **dict.fromkeys("let let! subject".split(), "variable"), **dict.fromkeys("factory trait".split(), "class"), "scope": "scope", "validate": "callback",
+}
+#: Types of attribute declarations and of columns (fixed values).
+ATTRIBUTE_TYPES = {"string": "String", "text": "String", "integer": "Integer", "big_integer": "Integer", "bigint": "Integer", "float": "Float", "decimal": "BigDecimal", "boolean": "TrueClass | FalseClass", "date": "Date", "datetime": "Time", "time": "Time", "json": "Hash", "jsonb": "Hash", "references": "Integer", "uuid": "String"}
+_MANY = ("has_many", "has_and_belongs_to_many", "one_to_many", "many_to_many", "many_through_many")
+_ARGUMENT = re.compile(r"^(?::|[\"'])([\w?!=/: ]+)[\"']?$")
+
+
+def arguments_of(said: str) -> tuple[list[str], dict[str, str]]:
+    """(values, options by name) of a call's argument text."""
+    values, options = [], {}
+    for part in _outer(said):
+        m = re.match(r"^(?:([a-z_]\w*):(?!:)|:([a-z_]\w*)\s*=>|[\"'](\w+)[\"']\s*(?:=>|:))\s*(.*)$", part, re.S)
+        if m:
+            options[m[1] or m[2] or m[3]] = m[4].strip()
+        else:
+            values.append(part.strip())
+    return values, options
+
+
+def named(value: str) -> str | None:
+    m = _ARGUMENT.match(value)
+    return m[1] if m else None
+
+
+def names_in(value: str) -> list[str]:
+    """Symbols and strings of a list, or the keys of a hash."""
+    if m := re.match(r"^%[iwIW][\[({<](.*)[\])}>]$", value, re.S):
+        return m[1].split()
+    inside = value.strip()[1:-1] if value.strip()[:1] in "[{" else value
+    return [m for part in _outer(inside) if (m := (re.match(r"^:?[\"']?(\w+)[\"']?\s*(?:=>|:(?!:)|$)", part) or [None, None])[1])]
+
+
+def declared_symbols(word: str, said: str, owner: str | None) -> list[dict]:
+    """Symbols that one declaration in a class body makes; an empty list for words that make none."""
+    values, options = arguments_of(said)
+    first = named(values[0]) if values else None
+    make = lambda name, kind="def", **more: {"name": name, "kind": kind, "doc": word} | more
+    if word in ATTACHED:
+        first = first or ("token" if word == "has_secure_token" else None)
+        return [make(t.format(first), return_type=kind) for t, kind in ATTACHED[word]] if first else []
+    if word == "has_secure_password":
+        p = first or "password"
+        return [make(n, return_type=t) for n, t in ((f"{p}=", "String"), (f"{p}_confirmation=", "String"), (f"{p}_digest", "String"), ("authenticate" if p == "password" else f"authenticate_{p}", None))]
+    if word == "attribute" and first:
+        kind = ATTRIBUTE_TYPES.get(named(values[1]) or "") if len(values) > 1 else None
+        return [make(first, return_type=kind), make(first + "=", return_type=kind), make(first + "?", return_type="TrueClass | FalseClass")]
+    if word == "store_accessor":
+        return [row for v in values[1:] for name in (names_in(v) if v[:1] in "[%" else [named(v)]) if name for row in (make(name, return_type="Object"), make(name + "="))]
+    if word == "composed_of" and first:
+        kind = named(options.get("class_name", "")) or camel(first)
+        return [make(first, return_type=kind), make(first + "=", return_type=kind)]
+    if word == "accepts_nested_attributes_for":
+        return [make(f"{n}_attributes=") for v in values if (n := named(v))]
+    if word == "enum":
+        groups = [(first, values[1])] if first and len(values) > 1 else [(k, v) for k, v in options.items() if not k.startswith("_") and k not in ("prefix", "suffix", "default", "scopes")]
+        if first and len(values) == 1:
+            groups = [(first, "{" + ", ".join(f"{k}: {v}" for k, v in options.items() if k not in ("prefix", "suffix", "default", "scopes")) + "}")]
+        rows = []
+        for name, said_values in groups:
+            rows.append(make(name))
+            for v in names_in(said_values):
+                rows += [make(v + "?", return_type="TrueClass | FalseClass"), make(v + "!"), make(v, "scope", return_type=f"[{owner}]" if owner else None)]
+        return rows
+    if word in ("delegate", "def_delegators", "def_delegator", "instance_delegate"):
+        names = values if word == "delegate" else values[1:] if word == "def_delegators" else values[-1:]
+        prefix = options.get("prefix")
+        to = named(options.get("to", "")) or ""
+        lead = f"{to}_" if prefix == "true" else f"{named(prefix)}_" if prefix and named(prefix) else ""
+        return [make(lead + n) for v in names if (n := named(v))]
+    kind = DECLARED.get(word) or ("validation" if word.startswith("validates") else "callback" if _CALLBACK.match(word) else None)
+    if kind is None:
+        return []
+    if kind == "association" and first:
+        many = word in _MANY
+        target = named(options.get("class_name", "")) or (None if options.get("polymorphic") == "true" else camel(singular(first) if many else first))
+        rows = [make(first, kind, return_type=(f"[{target}]" if many else target) if target else None, value_snippet=f"through:{named(options['through'])}" if options.get("through") and named(options["through"]) else None)]
+        if word == "delegated_type":
+            for v in names_in(options.get("types", "")):
+                rows += [make(f"{re.sub('(?<!^)(?=[A-Z])', '_', v).lower()}?", return_type="TrueClass | FalseClass"), make(re.sub("(?<!^)(?=[A-Z])", "_", v).lower(), return_type=v)]
+        return rows
+    if kind == "scope" and first:
+        return [make(first, kind, return_type=f"[{owner}]" if owner else None)]
+    if kind in ("validation", "callback"):
+        return [make(n, kind) for v in values if (n := named(v))]
+    return [make(first, kind)] if first else []
+
+
+_DEF_HEAD = re.compile(r"^(?:(private|public|protected|module_function|private_class_method)\s*\(?\s*)?def\s+(self\.)?([\w?!]+=?(?=[\s(;]|$)|[\w?!]+|[<>=\[\]+\-*/%!~^&|]+)\s*(.*)$", re.S)
+_BARE_VISIBILITY = re.compile(r"^(private|public|protected|module_function)\s*$")
+_NAMED_VISIBILITY = re.compile(r"^(private|public|protected|private_class_method|module_function)\s*\(?\s*([:\"'%\[].*?)\)?$", re.S)
+_BODY_CALL = re.compile(r"^(\w+[?!]?)\s*\(?\s*(.*?)\s*\)?(?:\s*\bdo\b.*|(?<=[\w)\]?!\"'])\s*\{.*)?$", re.S)
+_ASSIGN = re.compile(r"^(@@?\w+|\$\w+|[a-z_]\w*)\s*(\|\||&&|\*\*|<<|>>|[+\-*/%|&^])?=\s*(?![=~>])(.+)$", re.S)
+
+
+def _split_parameters(rest: str, code: str) -> tuple[str, str | None]:
+    """(parameter text, value of an endless method or None) of what follows a method's name."""
+    if code.startswith("("):
+        deep = 0
+        for k, c in enumerate(code):
+            deep += (c in "([{") - (c in ")]}")
+            if not deep:
+                break
+        after = rest[k + 1 :].strip()
+        return rest[1:k], after[1:].strip() if after.startswith("=") and after[1:2] not in "=~>" else None
+    if code.startswith("=") and code[1:2] not in "=~>":
+        return "", rest[1:].strip()
+    return rest, None
+
+
 def parse_ruby(text: str) -> dict[str, list[dict]]:
-    """Symbols, parameters, variables, references and mixins that single lines tell.
+    """Symbols, parameters, variables, references, mixins and tokens of a Ruby text.
 
-    Classes, modules, methods, attributes, constants, associations, scopes, validations, callbacks, mixins, visibility,
-    assignments of literals and `new`, and calls. Heredocs and statements over several lines are not understood.
+    Statements may span lines. Understood are classes, modules, methods (with endless and singleton ones), attributes,
+    constants, Struct and Data classes, declarations of the usual frameworks, mixins, aliases, visibility, bindings
+    (assignments, several at once, block, for and rescue variables) with the types of literals, `new` and guards, and calls.
     """
-    symbols, params, variables, refs, mixins, doc = [], [], [], [], [], []
-    stack = []  # (kind, qualified name, index of symbol, visibility)
+    symbols, params, variables, refs, mixins, marks = [], [], [], [], [], []
+    stack: list[list] = []  # [kind, qualified name, index of symbol, visibility]
     scope, sig = 0, ""
-    for n, raw in enumerate(text.split("\n"), 1):
-        line = raw.strip()
-        if line.startswith("#"):
-            doc.append(line.lstrip("# "))
-            continue
-        said, doc = "\n".join(doc) or None, []
-        code = re.sub(r"\s+#(?!\{).*$", "", line)
-        if not code:
-            continue
-        col = len(raw) - len(raw.lstrip())
+    for st in statements(text):
+        said, code = st.said, st.code
+        n, col = st.place(0)
+        doc = "\n".join(st.doc) or None
         owner = next((s for s in reversed(stack) if s[0] in ("class", "module")), None)
-        inside = next((s for s in reversed(stack) if s[0] in ("class", "module", "def")), None)
-        make = lambda name, kind, **more: symbols.append({"name": name, "kind": kind, "line": n, "col": col, "end_line": n, "parent_name": owner and owner[1], "visibility": "public", "doc": said} | more)  # noqa: B023, E731
-        if re.match(r"^end\b", code):
-            if stack:
-                top = stack.pop()
-                if top[2] is not None:
-                    symbols[top[2]]["end_line"] = n
-            continue
+        inside = next((s for s in reversed(stack) if s[0] in ("class", "module", "def", "singleton")), None)
+        events = openings(code)
+
+        def make(name, kind, **more):
+            symbols.append({"name": name, "kind": kind, "line": n, "col": col, "end_line": n, "parent_name": owner and owner[1], "visibility": "public", "doc": doc} | more)  # noqa: B023
+            return len(symbols) - 1
+
+        def bind(name, kind, confidence, at, block=False):
+            line, column = st.place(at)  # noqa: B023
+            variables.append({"name": name, "line": line, "col": column, "type_hint": kind, "confidence": confidence, "scope_id": None if name[0] in "@$" else scope, "symbol": owner[2] if owner and name.startswith("@") and not name.startswith("@@") else None, "is_block_param": block})  # noqa: B023
+
+        pushed = None
         if m := re.match(r"^(class|module)\s+([A-Z][\w:]*)(?:\s*<\s*([\w:]+))?", code):
             name = f"{owner[1]}::{m[2]}" if owner else m[2]
-            make(name, m[1], parent_name=m[3] or (owner and owner[1]))
-            if not re.search(r";\s*end\s*$", code):
-                stack.append((m[1], name, len(symbols) - 1, ["public"]))
-            continue
-        if re.match(r"^class\s*<<\s*self", code):
-            stack.append(("singleton", owner[1] if owner else "", None, ["public"]))
+            at = make(name, m[1], parent_name=m[3] or (owner and owner[1]))
+            marks.append((*st.place(m.start(2)), len(m[2]), 0))
+            pushed = [m[1], name, at, "public"]
+            code_rest = m.end()
+        elif re.match(r"^class\s*<<\s*self\b", code):
+            pushed = ["singleton", owner[1] if owner else "", None, "public"]
+            code_rest = len(code)
+        elif re.match(r"^sig\b", code) and (events or "{" in code):
+            sig = said[3:].strip()
+            code_rest = len(code)
+            stack += [["sig", "", None, "public"]] if events == ["block"] else []
             continue
-        if m := re.match(r"^sig\s*(?:\{(.*)\}|do\s*(.*?)\s*(?:end)?)\s*$", code):
-            sig = m[1] or m[2] or ""
-            if re.match(r"^sig\s+do\s*$", code):
-                stack.append(("block", "", None, ["public"]))
+        elif stack and stack[-1][0] == "sig" and re.match(r"^\.?(params|returns|void|override|abstract)\b", code):
+            sig += "." + said
             continue
-        if re.match(r"^\.?(params\(|returns\(|void\b)", code) and stack and stack[-1][0] == "block":
-            sig += "." + code
-            continue
-        if m := re.match(r"^(private|public|protected)?\s*def\s+(self\.)?([\w?!=]+|[<>=\[\]+\-*/%!~^&|]+)\s*(?:\((.*?)\)|\s+([^=(;].*))?(\s*=\s*.+)?$", code):
-            name = m[3]
-            klass = m[2] or (stack and stack[-1][0] == "singleton")
+        elif m := _DEF_HEAD.match(code):
+            name = said[m.start(3) : m.end(3)]
+            shown, value = _split_parameters(said[m.start(4) :], m[4])
+            klass = m[2] or (inside and inside[0] == "singleton") or m[1] in ("module_function", "private_class_method") or (inside and inside[3] == "module_function")
             kind = "classdef" if klass else "test" if name.startswith("test_") else "def"
-            make(name, kind, visibility=m[1] or (inside[3][0] if inside and inside[0] != "def" else "public"), return_type=literal_type(m[6].strip(" =")) if m[6] else None)
-            by_tag, tagged = _tags(said)
+            level = {"private_class_method": "private", "module_function": "public"}.get(m[1], m[1]) or (inside[3] if inside and inside[0] != "def" and inside[3] != "module_function" else "public")
+            by_tag, tagged = _tags(doc)
             by_sig, declared = _sorbet(sig) if sig else ({}, None)
             sig = ""
-            symbols[-1]["return_type"] = declared or symbols[-1].get("return_type") or tagged
-            for p in _parameters(m[4] or m[5] or ""):
+            at = make(name, kind, visibility=level, return_type=declared or (literal_type(value) if value else None) or tagged)
+            marks.append((*st.place(m.start(3)), len(name), 1))
+            for p in _parameters(re.sub(r"\s+", " ", shown)):
                 hint = by_sig.get(p["name"]) or by_tag.get(p["name"])
-                params.append(p | {"symbol": len(symbols) - 1} | ({"type_hint": hint, "confidence": 90} if hint else {}))
+                params.append(p | {"symbol": at} | ({"type_hint": hint, "confidence": 90} if hint else {}))
             scope += 1
-            if not m[6]:
-                stack.append(("def", name, len(symbols) - 1, ["public"]))
-            continue
-        if m := re.match(r"^(private|public|protected)\s*$", code):
-            if inside:
-                inside[3][0] = m[1]
-            continue
-        if inside is None or inside[0] != "def":
-            if m := re.match(r"^(include|prepend|extend)\s+([A-Z][\w:]*)", code):
-                if owner:
-                    mixins.append({"symbol": owner[2], "module_name": m[2], "kind": m[1]})
-            elif m := re.match(r"^attr_(reader|writer|accessor)\s+(.*)$", code):
-                for name in re.findall(r":(\w+)", m[2]):
-                    for suffix in ("",) * (m[1] != "writer") + ("=",) * (m[1] != "reader"):
-                        make(name + suffix, "def")
-            elif m := re.match(r"^(\w+)\s*\(?\s*:(\w+)(.*)$", code):
-                if m[1] in ASSOCIATIONS:
-                    through = re.search(r"through:\s*:(\w+)", m[3])
-                    target = camel(singular(m[2]) if m[1].endswith("many") else m[2])
-                    make(m[2], "association", doc=m[1], return_type=f"[{target}]" if m[1].endswith("many") else target, value_snippet=f"through:{through[1]}" if through else None)
-                elif m[1] == "scope":
-                    make(m[2], "scope")
-                elif m[1].startswith("validate"):
-                    make(m[2], "validation", doc=m[1])
-                elif _CALLBACK.match(m[1]):
-                    make(m[2], "callback", doc=m[1])
-                elif m[1] == "alias_method" and (other := re.search(r",\s*:(\w+)", m[3])):
-                    make(m[2], "def")
-                    refs.append({"name": other[1], "line": n, "col": col, "arg_count": 0})
-        if m := re.match(r"^([A-Z][A-Z0-9_]*[A-Z0-9a-z_]*)\s*=\s*(?!=)(.+)$", code):
-            make(m[1], "constant", return_type=literal_type(m[2]), value_snippet=m[2][:120])
-        elif m := re.match(r"^(@@?\w+|\$\w+|[a-z_]\w*)\s*(\|\||&&|[+\-*/])?=\s*(?![=~>])(.+)$", code):
-            variables.append({"name": m[1], "line": n, "col": col, "type_hint": literal_type(m[3]), "confidence": {"||": 20, "&&": 15}.get(m[2], 20 if m[2] else 0), "scope_id": None if m[1][0] in "@$" else scope, "symbol": owner[2] if owner and m[1].startswith("@") and not m[1].startswith("@@") else None, "is_block_param": False})
-            code = code[m.start(3) :]
-        bare = re.sub(r"\"[^\"]*\"|'[^']*'", lambda x: " " * len(x[0]), code)
-        for m in _CALLS.finditer(bare):
-            before = bare[: m.start()][-1:]
-            if m[2] in _WORDS or before in ":@$" and before or bare[m.end() : m.end() + 1] == ":" and bare[m.end() : m.end() + 2] != "::":
+            pushed = ["def", name, at, "public"]
+            code_rest = len(code) if value is None else said.rfind(value)
+        else:
+            code_rest = 0
+            if m := _BARE_VISIBILITY.match(code):
+                if inside and inside[0] != "def":
+                    inside[3] = m[1]
                 continue
-            given = 0
-            if m[3]:
-                deep, end = 1, m.end()
-                while end < len(bare) and deep:
-                    deep += (bare[end] == "(") - (bare[end] == ")")
-                    end += 1
-                given = len(_outer(code[m.end() : end - 1]))
-            refs.append({"name": m[2], "line": n, "col": col + m.start(2), "scope_id": scope or None, "arg_count": given, "receiver_type": m[1] if m[1] and m[1][0].isupper() and not m[1].isupper() else None})
-        if _OPENS.search(code) and not re.search(r"\bend\s*$", code):
-            stack.append(("block", "", None, ["public"]))
-    return {"symbols": symbols, "params": params, "local_vars": variables, "refs": refs, "mixins": mixins}
+            if inside is None or inside[0] != "def":
+                code_rest = _declaration(st, owner, inside, make, symbols, mixins, refs)
+        assigned = code_rest
+        body_code, body_said = code[code_rest:], said[code_rest:]
+        if pushed is None or code_rest < len(code):
+            if m := re.match(r"^([A-Z]\w*)\s*(?:\|\|)?=\s*(?![=~>])(.+)$", body_said, re.S):
+                kind, value = "constant", m[2].strip()
+                more = re.match(r"^(Struct\.new|Data\.define)\s*\(?(.*?)\)?(?:\s*do\b.*)?$", value, re.S)
+                full = f"{owner[1]}::{m[1]}" if owner and more else m[1]
+                at = make(full, "class" if more else kind, return_type=None if more else literal_type(value), value_snippet=value[:120])
+                if more:
+                    for v in (x for x in _outer(more[2]) if named(x)):
+                        make(named(v), "def", parent_name=full)
+                        if more[1] == "Struct.new":
+                            make(named(v) + "=", "def", parent_name=full)
+                    if "block" in events:
+                        pushed = ["class", full, at, "public"]
+                assigned = code_rest + m.start(2)
+            elif m := re.match(r"^((?:\*?(?:@@?|\$)?[a-z_]\w*\s*,\s*)+\*?(?:@@?|\$)?[a-z_]\w*)\s*=\s*(?![=~>])(.+)$", body_code, re.S):
+                names, values = _outer(m[1]), _outer(body_said[m.start(2) :])
+                for k, name in enumerate(names):
+                    hint = literal_type(values[k]) if len(values) == len(names) and not name.startswith("*") else "Array" if name.startswith("*") else None
+                    bind(name.lstrip("*"), hint, 0, code_rest + m[1].find(name.lstrip("*")))
+                assigned = code_rest + m.start(2)
+            elif m := _ASSIGN.match(body_code):
+                value = body_said[m.start(3) :]
+                comment = re.search(r"@type\s+\[?([\w:\[\] |,]+?)\]?\s*$", doc or "")
+                cast = re.match(r"^T\.(?:let|cast|must)\((.*)\)$", value, re.S)
+                inner = _outer(cast[1]) if cast else []
+                if cast:
+                    kind, sure = (inner[1] if len(inner) > 1 else literal_type(inner[0]) if inner else None), 95
+                else:
+                    kind, sure = (comment[1] if comment else literal_type(value)), {"||": 20, "&&": 15}.get(m[2], 20 if m[2] else 0)
+                if m[1] not in _WORDS:
+                    bind(m[1], kind, 70 if m[1].startswith("$") and kind else sure, code_rest)
+                    assigned = code_rest + m.start(3)
+            for m in re.finditer(r"(?:\bdo|\{)\s*\|([^|]*)\|", body_code):
+                for x in re.finditer(r"(?<![\w:])\*{0,2}&?([a-z_]\w*)", m[1].split(";")[0]):
+                    bind(x[1], None, 60, code_rest + m.start(1) + x.start(1), True)
+            if m := re.match(r"^for\s+([a-z_]\w*)\s+in\b", body_code):
+                bind(m[1], None, 50, code_rest + m.start(1))
+            if m := re.match(r"^rescue\s*([\w:, ]*?)\s*=>\s*([a-z_]\w*)", body_code):
+                bind(m[2], " | ".join(_outer(m[1])) or "StandardError", 80, code_rest + m.start(2))
+            if m := re.search(r"^(?:if|elsif)\s+([a-z_]\w*)\.(?:is_a\?|kind_of\?|instance_of\?)\s*\(?\s*([A-Z][\w:]*)", body_code):
+                bind(m[1], m[2], 85, code_rest + m.start(1))
+            if m := re.search(r"^in\s+([A-Z][\w:]*)\s*=>\s*([a-z_]\w*)", body_code):
+                bind(m[2], m[1], 85, code_rest + m.start(2))
+        _calls(st, assigned, scope, refs, marks)
+        for word in events:
+            if word == "end":
+                if stack:
+                    top = stack.pop()
+                    if top[2] is not None:
+                        symbols[top[2]]["end_line"] = st.place(len(code) - 1)[0]
+            elif pushed is not None and (word == pushed[0] or word in ("class", "def", "module") or pushed[0] == "class" and word == "block"):
+                stack.append(pushed)
+                pushed = None
+            else:
+                stack.append(["block", "", None, "public"])
+    tokens = [{"line": line - 1, "col": c, "len": size, "type": kind, "mods": 0} for line, c, size, kind in sorted(set(marks))]
+    return {"symbols": symbols, "params": params, "local_vars": variables, "refs": refs, "mixins": mixins, "tokens": tokens}
+
+
+def _declaration(st, owner, inside, make, symbols: list[dict], mixins: list[dict], refs: list[dict]) -> int:
+    """A statement in a class body or at the top: what it declares. Gives the place from which bindings are looked for."""
+    said, code = st.said, st.code
+    n, col = st.place(0)
+    if m := _NAMED_VISIBILITY.match(said):
+        wanted = {x for v in _outer(m[2]) for x in (names_in(v) if v[:1] in "[%" else [named(v)]) if x}
+        for s in symbols:
+            if s["name"] in wanted and s["parent_name"] == (owner and owner[1]) and s["kind"] in ("def", "classdef"):
+                if m[1] == "module_function":
+                    s["kind"] = "classdef"
+                elif (m[1] == "private_class_method") == (s["kind"] == "classdef"):
+                    s["visibility"] = "private" if m[1] == "private_class_method" else m[1]
+        return 0
+    if m := re.match(r"^alias\s+:?([\w?!=]+)\s+:?([\w?!=]+)", code):
+        make(m[1], "def")
+        refs.append({"name": m[2], "line": n, "col": st.place(m.start(2))[1], "arg_count": 0})
+        return 0
+    m = _BODY_CALL.match(said)
+    if not m or not code.startswith(m[1]) or m[1] in _WORDS:
+        return 0
+    word, rest = m[1], m[2]
+    if word in ("include", "prepend", "extend"):
+        for name in _outer(rest):
+            if owner and re.match(r"^[A-Z][\w:]*$", name):
+                mixins.append({"symbol": owner[2], "module_name": name, "kind": word})
+    elif a := re.match(r"^(?:attr_|cattr_|mattr_|class_attribute)(reader|writer|accessor)?$", word):
+        level = inside[3] if inside and inside[0] in ("class", "module", "singleton") and inside[3] != "module_function" else "public"
+        klass = word.startswith(("cattr", "mattr")) or (inside and inside[0] == "singleton")
+        for name in (named(v) for v in _outer(rest)):
+            for suffix in ("",) * (a[1] != "writer") + ("=",) * (a[1] != "reader") if name else ():
+                make(name + suffix, "classdef" if klass else "def", visibility=level)
+    elif word in ("alias_method", "define_method", "define_singleton_method"):
+        names = [x for v in _outer(rest) if (x := named(v))]
+        if names:
+            make(names[0], "classdef" if word == "define_singleton_method" else "def")
+        if word == "alias_method" and len(names) > 1:
+            refs.append({"name": names[1], "line": n, "col": col, "arg_count": 0})
+    else:
+        for row in declared_symbols(word, rest, owner and owner[1]):
+            make(**row)
+    return 0
+
+
+_SEND = re.compile(r"(?:(?<![\w.@$:])([A-Z]\w*(?:::[A-Z]\w*)*|@?[a-z_]\w*)(?:&?\.))?(?<![\w@$])([a-z_]\w*[?!]?)(\()?")
+_CONSTANT = re.compile(r"(?<![\w:@$.])([A-Z]\w*(?:::[A-Z]\w*)*)(?!\w*\s*[:](?!:))")
+
+
+def _calls(st, start: int, scope: int, refs: list[dict], marks: list) -> None:
+    """References in a statement from a place on: calls with their number of arguments and known receivers, and constants."""
+    code, said = st.code, st.said
+    head = re.match(r"^(?:(?:private|public|protected|module_function|private_class_method)\s+)?(?:class|module|def)\s+(?:self\.)?\S+?(?=[\s(;]|$)", code)
+    start = max(start, head.end() if head else 0)
+    for m in _SEND.finditer(code, start):
+        at = m.start(2)
+        before = code[at - 1 : at]
+        if m[2] in _WORDS or before == ":" or code[m.end(2) : m.end(2) + 1] == ":" and code[m.end(2) : m.end(2) + 2] != "::":
+            continue
+        given = 0
+        if m[3]:
+            deep, end = 1, m.end()
+            while end < len(code) and deep:
+                deep += (code[end] in "([{") - (code[end] in ")]}")
+                end += 1
+            given = len(_outer(said[m.end() : end - 1]))
+        elif re.match(r"\s+(?:[:\"'\[@$]|[A-Za-z_0-9])", code[m.end() :]) and not re.match(r"\s+(?:if|unless|while|until|and|or|do|then|in|rescue)\b|\s+[:?]\s", code[m.end() :]):
+            given = len(_outer(re.split(r"\s+(?:do|if|unless|while|until|rescue)\b", said[m.end() :])[0]))
+        line, column = st.place(at)
+        refs.append({"name": m[2], "line": line, "col": column, "scope_id": scope or None, "arg_count": given, "receiver_type": m[1] if m[1] and m[1][0].isupper() and not m[1].isupper() else None})
+        marks.append((line, column, len(m[2]), 1 if m[3] or given or before == "." else 2))
+    for m in _CONSTANT.finditer(code, start):
+        line, column = st.place(m.start(1))
+        refs.append({"name": m[1], "line": line, "col": column, "scope_id": scope or None, "arg_count": 0, "receiver_type": None})
+        marks.append((line, column, len(m[1]), 0))
