@@ -1,7 +1,8 @@
-"""python -m symdex COMMAND FACTS [ROOT]: build and inspect a folder of fact tables.
+"""python -m symdex COMMAND FACTS [ROOT or OUT]: build and inspect a folder of fact tables.
 
 index: scan ROOT and write its facts; stats, kinds, summary, health: counts; dump-symbols: JSON lines; lint: findings;
-check: rows that refer to nothing; reset: delete the folder.
+check: rows that refer to nothing; reset: delete the folder. With OUT a command's rows are written there as JSON by the
+executors; without it they are printed one by one.
 """
 
 from __future__ import annotations
@@ -32,9 +33,13 @@ def main(args: list[str]) -> int:
     if command not in show:
         print(__doc__)
         return 2
+    out = show[command](Facts.load(spark, path))
+    if len(args) > 2:  # written by the executors, one file a partition
+        (out.write.mode("overwrite").text(args[2]) if command == "dump-symbols" else out.write.mode("overwrite").json(args[2]))
+        return 0
     rows = 0
-    for line in show[command](Facts.load(spark, path)).toJSON().toLocalIterator():
-        print(line)
+    for line in (out.toLocalIterator() if command == "dump-symbols" else out.toJSON().toLocalIterator()):
+        print(line[0] if command == "dump-symbols" else line)
         rows += 1
     return int(command == "check" and rows > 0)
 

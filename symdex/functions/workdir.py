@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of df as Parquet in the shared folder, one folder for each value of the columns `by`."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/symdex/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and kept in the shared folder: plans that go on from here start anew."""
     ensure_checkpoint_dir(df.sparkSession)

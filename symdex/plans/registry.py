@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from symdex.facts import Facts
-from symdex.operators import graph, health, lint, lookup, references, refactor, search
+from symdex.operators import graph, health, lint, lookup, references, refactor, search, tokens
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "resolve_type": lookup.resolve_type, "class_summary": lookup.class_summary, "method_signature": lookup.method_signature, "find_callers": references.find_callers,
@@ -32,6 +32,10 @@ EDITOR: dict[str, Callable[..., DataFrame]] = {
     "completion/resolve": search.complete_detail, "signatureHelp": lookup.signature_help, "inlayHint": lookup.inlay_hints, "documentHighlight": references.highlights,
     "scope": lookup.scope_at, "selectionRange": lookup.enclosing, "linkedEditingRange": graph.linked_editing_ranges, "codeLens": references.code_lens, "documentLink": references.document_links,
     "rename": graph.rename_occurrences, "rename/local": graph.rename_local, "prepareRename": graph.can_rename, "willRenameFiles": graph.renamed_requires, "card": lookup.class_card,
+    "foldingRange": lambda f, path: refactor.folds(refactor.documents_of(f, path)),
+    "semanticTokens": lambda f, path: tokens.decode(f.sem_tokens.join(f.file(path), "file_id", "left_semi")),
+    "semanticTokens/range": lambda f, path, first, last: tokens.in_range(f.sem_tokens.join(f.file(path), "file_id", "left_semi"), first, last),
+    "semanticTokens/delta": lambda f, path: tokens.splice(f.sem_tokens.join(f.file(path), "file_id", "left_semi")).select("start", "delete_count", "insert"),
 }
 
 ADMIN: dict[str, Callable[..., DataFrame]] = {"stats": health.stats, "kinds": health.kind_histogram, "summary": health.workspace_summary, "dump-symbols": health.dump_symbols, "check": health.check, "lint": lint.run_checks}

@@ -1,8 +1,13 @@
-"""Facts of scanned files: each file is parsed by itself, and its rows get ids that any machine gives them."""
+"""Facts of scanned files: each file is parsed by itself, and its rows get ids that any machine gives them.
+
+The scan is stored once, so files are read once; one Arrow pass over it parses each file once and stores its rows by
+table. Tables are then cut from what is stored, whatever is asked of them and however often.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,9 +15,16 @@ from pyspark.sql import functions as F
 
 from symdex import schema as S
 from symdex.facts import Facts
+from symdex.functions.workdir import written
+from symdex.operators.infer import schema_columns
+from symdex.operators.tokens import encode
 from symdex.sources import parsers
 from symdex.sources.scan import file_rows, line_rows
 
+#: Characters of parsed rows that a task holds before it gives them out.
+OUT_CHARS = 1 << 22
+PARSED = ("symbols", "params", "local_vars", "refs", "mixins", "i18n_keys", "routes", "tokens")
+
 
 def parse_file(path: str, text: str) -> dict[str, list[dict]]:
     """Rows by table, by the kind of file. What can't be parsed gives none."""
@@ -21,36 +33,58 @@ def parse_file(path: str, text: str) -> dict[str, list[dict]]:
         return {"i18n_keys": parsers.parse_locale(text)} if "locales" in path else {}
     if name.endswith(".rbs"):
         return parsers.parse_signatures(text)
-    code = parsers.template_code(text) if name.endswith((".erb", ".haml", ".slim")) else text
+    code = parsers.template_code(text) if name.endswith(".erb") else parsers.indented_template_code(text, name.endswith(".slim")) if name.endswith((".haml", ".slim")) else text
     out = parsers.parse_ruby(code)
     if name == "routes.rb" or "/routes/" in path:
         out["routes"] = parsers.parse_routes(text)
     return out
 
 
-def extract(scanned: DataFrame, is_gem: bool = False) -> Facts:
-    """All facts of a scan (path, mtime_ms, content_hash, text). One Arrow pass parses; tables are cut from its tagged rows."""
+def extract(scanned: DataFrame, is_gem: bool = False, parse: Callable[[str, str], dict[str, list[dict]]] = parse_file) -> Facts:
+    """All facts of a scan (path, mtime_ms, content_hash, text)."""
+    scanned = written(scanned.select("path", "mtime_ms", "content_hash", "text"), "scan")
 
     def run(batches):
         for batch in batches:
-            ids, paths, texts = (batch.column(i).to_pylist() for i in range(3))
-            rows = []
-            for i, p, t in zip(ids, paths, texts, strict=True):
-                for name, found in parse_file(p, t or "").items():
-                    rows += [(i, name, n, json.dumps(r)) for n, r in enumerate(found)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))], ["file_id", "t", "n", "row"])
+            rows, size = [], 0
+            for i, p, t in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for name, found in parse(p.as_py(), t.as_py() or "").items():
+                    for n, r in enumerate(found):
+                        text = json.dumps(r)
+                        size += len(text)
+                        rows.append((i.as_py(), name, n, text))
+                if size >= OUT_CHARS:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            yield _batch(rows)
 
     tagged = scanned.select(F.xxhash64("path").alias("file_id"), "path", "text").mapInArrow(run, "file_id bigint, t string, n bigint, row string")
+    tagged = written(tagged, "parsed", ["t"])
     symbol = lambda n: F.xxhash64("file_id", n)
     tables = {"files": file_rows(scanned, is_gem), "lines": line_rows(scanned)}
-    for name in ("symbols", "params", "local_vars", "refs", "mixins", "i18n_keys", "routes"):
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.schema(name) if f.name not in ("id", "file_id", "symbol_id", "class_id"))
+    for name in PARSED:
+        fields = "line int, col int, len int, type int, mods int" if name == "tokens" else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.schema(name) if f.name not in ("id", "file_id", "symbol_id", "class_id"))
         mine = tagged.where(F.col("t") == name).select("file_id", "n", F.from_json("row", fields + ", symbol bigint").alias("r")).select("file_id", "n", "r.*")
         if name == "symbols":
-            mine = mine.withColumn("id", symbol(F.col("n")))
+            mine = mine.withColumn("id", symbol(F.col("n"))).unionByName(_columns(scanned), allowMissingColumns=True)
         elif name == "params":
             mine = mine.withColumn("symbol_id", symbol(F.col("symbol")))
         elif name in ("mixins", "local_vars"):
             mine = mine.withColumn("class_id", F.when(F.col("symbol").isNotNull(), symbol(F.col("symbol"))))
-        tables[name] = mine.dropDuplicates(S.KEYS[name]) if name in S.KEYS and "symbol_id" not in S.KEYS[name] else mine
+        if name == "tokens":
+            tables["sem_tokens"] = encode(mine.select("file_id", "line", "col", "len", "type", "mods"))
+        elif name in S.KEYS and "symbol_id" not in S.KEYS[name]:  # the first row of a place, whatever the order of arrival
+            tables[name] = mine.groupBy(*S.KEYS[name]).agg(F.min_by(F.struct(*mine.columns), "n").alias("x")).select("x.*")
+        else:
+            tables[name] = mine
     return Facts(scanned.sparkSession, **tables)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))], ["file_id", "t", "n", "row"])
+
+
+def _columns(scanned: DataFrame) -> DataFrame:
+    """A method of its model for each column of a schema file, with the column's type."""
+    lines = line_rows(scanned.where(F.col("path").rlike(r"(^|/)schema\.rb$")))
+    return schema_columns(lines).select("file_id", F.xxhash64("file_id", "table", "column").alias("id"), F.col("column").alias("name"), F.lit("def").alias("kind"), "line", F.lit(4).alias("col"), F.col("line").alias("end_line"), F.col("type").alias("return_type"), F.col("model").alias("parent_name"), F.lit("public").alias("visibility"), F.lit("column").alias("doc"))

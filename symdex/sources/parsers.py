@@ -254,6 +254,41 @@ def template_code(text: str) -> str:
     return "".join(out)
 
 
+_HAML_TAG = re.compile(r"^[%.#][\w.#%:-]*(?:\{[^}]*\}|\([^)]*\))?")
+
+
+def indented_template_code(text: str, bare_tags: bool = False) -> str:
+    """The Ruby of a HAML or Slim template at its own places: what follows -, = or == on a line, also behind a tag; blocks that
+    indentation closes get their end behind the line before. `bare_tags`: a tag is a word by itself, as in Slim."""
+    out, opened = [], []
+    for line in text.split("\n"):
+        body = line.lstrip(" \t")
+        indent = len(line) - len(body)
+        if not body:
+            out.append("")
+            continue
+        lead = body
+        tag = re.match(r"^[a-z][\w-]*(?:[.#][\w-]+)*(?=\s*==?\s)", body) if bare_tags else _HAML_TAG.match(body)
+        if tag:
+            lead = body[tag.end() :].lstrip(" \t")
+        m = re.match(r"^(?:-(?!#)|[!&]?==?|~)\s?(.*)$", lead)
+        code = m[1] if m else ""
+        at = len(line) - len(code)
+        middle = re.match(r"^(?:else|elsif|when|rescue|ensure|in)\b", code)
+        ends = 0
+        while opened and (indent < opened[-1] or indent == opened[-1] and not middle):
+            opened.pop()
+            ends += 1
+        if ends and out:
+            out[-1] += ";end" * ends
+        out.append(" " * at + code if code else "")
+        if code and not middle and openings(code).count("block") > openings(code).count("end"):
+            opened.append(indent)
+    if out:
+        out[-1] += ";end" * len(opened)
+    return "\n".join(out)
+
+
 # --- Ruby
 
 _LITERALS = (

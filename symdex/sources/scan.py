@@ -49,15 +49,46 @@ def _parts(g: str) -> list[str]:
     return out
 
 
+#: The same names as one glob, by which files are told apart before any is opened.
+NAME_GLOB = "{" + ",".join(["*" + e for e in EXTENSIONS] + list(NAMES)) + "}"
+
+
+def _relative(root: str):
+    """The path below the root, of a file's whole path."""
+    base = root.rstrip("/").split("://")[-1]
+    return F.regexp_replace("path", F.lit("^.*?" + "".join("\\" + c if not c.isalnum() and c not in "_/" else c for c in base) + "/"), F.lit(""))
+
+
+def listed(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, mtime_ms, length) of all wanted files under a folder, oversize ones too; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", NAME_GLOB).load(root)
+    rows = files.select(_relative(root).alias("path"), F.unix_millis("modificationTime").alias("mtime_ms"), "length")
+    return rows.where(wanted("path", excludes, keep))
+
+
+def oversize(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), keep: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, length) of wanted files that a scan leaves out for their size."""
+    return listed(spark, root, excludes, keep).where(F.col("length") > max_bytes).select("path", "length")
+
+
 def scan(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), keep: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, mtime_ms, content_hash, text) of all wanted files under a folder. Oversize files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/")
-    rel = F.regexp_replace("path", F.lit("^.*?" + "".join("\\" + c if not c.isalnum() and c not in "_/" else c for c in base.split("://")[-1]) + "/"), F.lit(""))
-    rows = files.withColumn("path", rel).where(wanted("path", excludes, keep) & (F.col("length") <= max_bytes))
+    """(path, mtime_ms, content_hash, text) of all wanted files under a folder. Oversize files are left out; `oversize` names them.
+
+    Names are matched while files are listed, sizes and times by the source; folders are cut by the file's path before
+    its content is made, in the scan itself.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", NAME_GLOB).load(root)
+    place = F.regexp_replace(F.col("_metadata.file_path"), F.lit("^.*?" + "".join("\\" + c if not c.isalnum() and c not in "_/" else c for c in root.rstrip("/").split("://")[-1]) + "/"), F.lit(""))
+    rows = files.where(F.col("length") <= max_bytes).where(wanted(place, excludes, keep)).withColumn("path", _relative(root))
     return rows.select("path", F.unix_millis("modificationTime").alias("mtime_ms"), F.xxhash64("content").alias("content_hash"), F.decode("content", "UTF-8").alias("text"))
 
 
+def ignore_rules(text: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(excludes, keep) of an ignore file: globs of names and paths, those after ! are kept."""
+    lines = [x.rstrip() for x in text.splitlines() if x.strip() and not x.startswith("#")]
+    return tuple(x.removeprefix("\\") for x in lines if not x.startswith("!")), tuple(x[1:] for x in lines if x.startswith("!"))
+
+
 def file_rows(scanned: DataFrame, is_gem: bool = False) -> DataFrame:
     """Rows of the files table."""
     return scanned.select(F.xxhash64("path").alias("id"), "path", "mtime_ms", "content_hash", F.lit(is_gem).alias("is_gem"))

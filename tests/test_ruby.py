@@ -95,7 +95,7 @@ module After; def go; end; end
     assert [v["is_block_param"] for v in out["local_vars"] if v["name"] == "i"] == [True]
     calls = {(r["name"], r["line"]): r["arg_count"] for r in out["refs"]}
     assert calls["compute", 28] == 3 and calls["puts", 15] == 1 and ("fake", 10) not in calls and calls["ArgumentError", 23] == 0
-    assert {t["line"] for t in out["tokens"]} >= {0, 1, 7}
+    assert {t["line"] for t in out["tokens"]} >= {0, 1, 11}
 
 
 def test_declarations():
@@ -148,3 +148,44 @@ end
 def test_nothing_breaks_it(text):
     out = parsers.parse_ruby(text)
     assert all(s["line"] >= 1 and s["end_line"] >= s["line"] for s in out["symbols"])
+
+
+def test_indented_templates():
+    haml = "%ul.list\n  - items.each do |i|\n    %li= link_to(i, path)\n    - if i\n      = i.name\n    - else\n      plain = text\n%p done\n"
+    code = parsers.indented_template_code(haml)
+    assert [x.index("link_to") for x in code.split("\n") if "link_to" in x] == [haml.split("\n")[2].index("link_to")]
+    out = parsers.parse_ruby(code)
+    assert {(r["name"], r["line"]) for r in out["refs"]} >= {("link_to", 3), ("each", 2), ("name", 5)} and not any(r["line"] in (1, 7, 8) for r in out["refs"])
+    assert code.count("end") == 2
+    assert parsers.indented_template_code("p = name\n| x = y\n- if a\n  b= c\n", True) == "    name\n\n  if a\n     c\n;end"
+
+
+def test_files_are_parsed_once_and_scans_open_only_what_they_want(spark, tmp_path):
+    from symdex.operators import tokens
+    from symdex.sources import extract, scan
+
+    root, log = tmp_path / "src", tmp_path / "log"
+    log.mkdir()
+    for path, text in {"app/a.rb": "class A\n  def b(x) = x.size\nend\n", "db/schema.rb": "create_table \"blog_posts\" do |t|\n  t.string \"title\"\n  t.integer :views\nend\n", "node_modules/x.rb": "class No; end", "big.rb": "#" * 500, "notes.txt": "no", "vendor/keep.rb": "class Kept; end", "vendor/gone.rb": "class Gone; end", "config/locales/en.yml": "en:\n  a: b\n"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    excludes, keep = scan.ignore_rules("# rules\nvendor\n!vendor/keep.rb\n")
+    found = scan.scan(spark, str(root), excludes, keep, max_bytes=400)
+
+    def counted(path, text):
+        import os
+        import uuid
+
+        open(os.path.join(str(log), path.replace("/", "_") + uuid.uuid4().hex), "w").close()
+        return extract.parse_file(path, text)
+
+    facts = extract.extract(found, parse=counted)
+    facts.save(str(tmp_path / "facts"))
+    assert {r["name"] for r in facts.symbols.where("kind = 'class'").collect()} == {"A", "Kept"}
+    assert sorted(p.name[:-32] for p in log.iterdir()) == ["app_a.rb", "config_locales_en.yml", "db_schema.rb", "vendor_keep.rb"]
+    assert [tuple(r) for r in scan.oversize(spark, str(root), excludes, keep, 400).collect()] == [("big.rb", 500)]
+    columns = facts.symbols.where("doc = 'column'").select("parent_name", "name", "return_type", "line").collect()
+    assert sorted(map(tuple, columns)) == [("BlogPost", "title", "String", 2), ("BlogPost", "views", "Integer", 3)]
+    at = facts.files.where("path = 'app/a.rb'").first()["id"]
+    placed = tokens.decode(facts.sem_tokens).where(f"file_id = {at}").select("line", "col", "len").collect()
+    assert sorted(map(tuple, placed)) >= [(0, 6, 1), (1, 6, 1)]
