@@ -2,7 +2,6 @@
 
 from datetime import datetime, timedelta
 
-from symdex.streaming import changes
 from symdex.operators import lookup, references
 from symdex.sources import extract, parsers, scan
 from symdex.streaming import changes as C
@@ -109,7 +108,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_rate_limit_of_one_busy_client(spark):
     """A window begins with a request; one client sends nearly all."""
     rows = [("busy", i * 7, i) for i in range(50_000)] + [("calm", i * 600, i) for i in range(9)]
-    got = changes.rate_limited(spark.createDataFrame(rows, "client string, ts_ms bigint, seq bigint").repartition(3), most=100, window_ms=1000).collect()
+    got = C.rate_limited(spark.createDataFrame(rows, "client string, ts_ms bigint, seq bigint").repartition(3), most=100, window_ms=1000).collect()
     want, start, n = {}, {}, {}
     for client, ts, seq in rows:
         if client not in start or ts - start[client] > 1000:
@@ -123,15 +122,15 @@ def test_gate_state_stays_small(spark, tmp_path, monkeypatch):
     """Many batches leave few folders, and versions of long ago still hold."""
     import os
 
-    monkeypatch.setattr(changes, "SNAPSHOT_EVERY", 3)
+    monkeypatch.setattr(C, "SNAPSHOT_EVERY", 3)
     src, state = tmp_path / "in", str(tmp_path / "state")
     seen = []
     for i in range(10):
         version = 1 if i == 9 else i + 5
         row = [("old" if i in (0, 9) else f"u{i % 2}", version, 2, "t", None, i)]
-        spark.createDataFrame(row, changes.CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
-        stream = spark.readStream.schema(changes.CHANGE_SCHEMA).parquet(str(src))
-        changes.run_gate(stream, state, str(tmp_path / "cp"), lambda df, n: seen.extend((r["uri"], r["version"]) for r in df.collect())).awaitTermination()
+        spark.createDataFrame(row, C.CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(C.CHANGE_SCHEMA).parquet(str(src))
+        C.run_gate(stream, state, str(tmp_path / "cp"), lambda df, n: seen.extend((r["uri"], r["version"]) for r in df.collect())).awaitTermination()
     assert seen == [("old", 5), *[(f"u{i % 2}", i + 5) for i in range(1, 9)]]
     folders = [os.listdir(f"{state}/{k}") for k in ("snapshots", "changes")]
     assert len(folders[0]) <= 2 and len(folders[1]) <= 7
