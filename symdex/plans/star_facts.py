@@ -2,7 +2,7 @@
 
 Customers are files, suppliers classes, nations modules, parts methods and declarations, line items references, events
 variable bindings and findings, documents the lines of files. The texts fill the fact tables from whole tables and
-are nothing but projections, so that questions about code can be asked, and checked, at the scale of those tables.
+are projections with conditions on attributes, so that questions about code can be asked, and checked, at the scale of those tables.
 """
 
 from __future__ import annotations
