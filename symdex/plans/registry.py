@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from symdex.facts import Facts
 from symdex.operators import graph, health, lint, lookup, references, refactor, search, tokens
@@ -49,6 +52,21 @@ def run(facts: Facts, operator: str, /, **arguments) -> DataFrame:
     raise KeyError(operator)
 
 
+def run_page(facts: Facts, operator: str, /, **arguments) -> DataFrame:
+    """The page of an operator that takes a limit, each row with `has_more`: whether the limit cut the result.
+
+    One row beyond the limit is asked for; no count of all rows is needed.
+    """
+    table = next((t for t in (TOOLS, EDITOR, ADMIN) if operator in t), {})
+    known = inspect.signature(table[operator]).parameters
+    if "limit" not in known:
+        raise TypeError(f"{operator} takes no limit")
+    limit = arguments.get("limit", known["limit"].default)
+    rows = run(facts, operator, **arguments | {"limit": limit + 1}).withColumn("__i", F.monotonically_increasing_id())
+    rows = rows.withColumn("has_more", F.count(F.lit(1)).over(W.partitionBy()) > limit).withColumn("__n", F.row_number().over(W.orderBy("__i")))
+    return rows.where(F.col("__n") <= limit).orderBy("__n").drop("__i", "__n")
+
+
 #: Compositions for a client's prompts: the parts of each, by name.
 PROMPTS: dict[str, Callable[..., dict[str, DataFrame]]] = {
     "class-overview": lambda f, name: {"card": lookup.class_card(f, name), "summary": lookup.class_summary(f, name), "hierarchy": graph.type_hierarchy(f, name)},

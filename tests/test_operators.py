@@ -165,3 +165,14 @@ def test_refactor_tool_and_prompts(facts):
     assert "extracted = " in registry.run(facts, "refactor", path="app/order.rb", start_line=4, end_line=4, kind="extract_variable").first()["text"]
     for name, args in (("class-overview", ["User"]), ("trace-callers", ["name"]), ("find-bugs", ["app/order.rb"])):
         assert all(df.columns for df in registry.PROMPTS[name](facts, *args).values())
+
+
+def test_pages_say_whether_there_is_more(facts):
+    names = [r["name"] for r in registry.run(facts, "find_unused").collect()]
+    assert len(names) == 3
+    for limit, more in ((2, True), (3, False), (9, False)):
+        got = registry.run_page(facts, "find_unused", limit=limit).collect()
+        assert [r["name"] for r in got] == names[:limit] and {r["has_more"] for r in got} == {more}
+    assert registry.run_page(facts, "find_unused", kind="nothing").collect() == []
+    with pytest.raises(TypeError):
+        registry.run_page(facts, "class_summary", name="User")
