@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from symdex.facts import Facts
 from symdex.functions import relational as R
+from symdex.functions.text import generic_type
 from symdex.schema import present
 
 METHOD_KINDS = ("def", "classdef")
@@ -294,6 +296,36 @@ def inlay_hints(f: Facts, path: str, first: int, last: int) -> DataFrame:
     return v.unionByName(s).distinct().orderBy("line", "col", "label")
 
 
+def parameter_hints(f: Facts, path: str, first: int, last: int) -> DataFrame:
+    """Names of positional parameters before the arguments of calls within lines, where the receiver's class is known.
+
+    A call's receiver is a constant, or a variable whose latest typed binding at or before the call names its class. The
+    method is the class's own, documented ones first; hints end at the first argument with a keyword. One file's text
+    goes to Python, which finds the places of arguments.
+    """
+    from symdex.operators.refactor import documents_of
+    from symdex.sources.parsers import call_arguments
+
+    def run(batches):
+        for batch in batches:
+            rows = [(i, c["receiver"], c["name"], c["line"], k, line, col, named) for text in batch.column(1).to_pylist() for i, c in enumerate(call_arguments(text or "")) if first <= c["line"] <= last for k, (line, col, named) in enumerate(c["arguments"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))], ["call", "receiver", "method", "line", "position", "at", "col", "named"])
+
+    found = documents_of(f, path).mapInArrow(run, "call int, receiver string, method string, line int, position int, at int, col int, named boolean")
+    found = found.withColumn("stop", F.min(F.when(F.col("named"), F.col("position"))).over(W.partitionBy("call"))).where("stop IS NULL OR position < stop").drop("stop", "named")
+    constant = F.col("receiver").rlike("^[A-Z]")
+    typed = f.local_vars.join(f.file(path), "file_id").where(present("type_hint").isNotNull()).select(F.col("name").alias("receiver"), "line", "type_hint")
+    known = R.asof_last(found.where(~constant), typed, ["receiver"], "line", ["type_hint"]).withColumn("owner", generic_type("type_hint")["base"]).drop("type_hint")
+    calls = known.unionByName(found.where(constant).withColumn("owner", F.element_at(F.split("receiver", "::"), -1)))
+    own = f.symbols.where(F.col("kind").isin(*METHOD_KINDS)).select("id", F.element_at(F.split("parent_name", "::"), -1).alias("owner"), F.col("name").alias("method"), present("doc").isNull().alias("plain"))
+    own = R.first_wins(R.with_match(own, calls, ["owner", "method"]), ["owner", "method"], ["plain", "id"])
+    p = f.params.where(F.col("kind").isin("required", "optional", "positional")).select(F.col("symbol_id").alias("id"), "position", "name")
+    order = W.partitionBy("id").orderBy("position")
+    p = own.join(p, "id").select("owner", "method", "name", (F.row_number().over(order) - 1).alias("position"))
+    hit = calls.join(p, ["owner", "method", "position"])
+    return hit.select(F.col("at").alias("line"), "col", F.concat("name", F.lit(":")).alias("label")).distinct().orderBy("line", "col", "label")
+
+
 def code_actions(f: Facts, path: str, line: int) -> DataFrame:
     """What may be done at a line: extraction inside the file, and a missing pragma."""
     text = f.lines.join(f.file(path), "file_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.contains("text", F.lit("frozen_string_literal"))), F.lit(False)).alias("pragma"))

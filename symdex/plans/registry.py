@@ -32,7 +32,7 @@ EDITOR: dict[str, Callable[..., DataFrame]] = {
     "hover/i18n": search.i18n_values, "completion/dot": graph.complete_dot, "completion/namespace": search.complete_namespace, "completion/arguments": search.complete_arguments,
     "completion/all": search.complete_all, "completion/ivars": search.complete_instance_variables, "completion/globals": search.complete_globals, "completion/i18n": search.complete_i18n,
     "completion/routes": search.complete_routes, "completion/general": search.complete_general, "completion/env": search.complete_env, "completion/require": search.complete_require,
-    "completion/resolve": search.complete_detail, "signatureHelp": lookup.signature_help, "inlayHint": lookup.inlay_hints, "documentHighlight": references.highlights,
+    "completion/resolve": search.complete_detail, "signatureHelp": lookup.signature_help, "inlayHint": lookup.inlay_hints, "inlayHint/parameters": lookup.parameter_hints, "documentHighlight": references.highlights,
     "scope": lookup.scope_at, "selectionRange": lookup.enclosing, "linkedEditingRange": graph.linked_editing_ranges, "codeLens": references.code_lens, "documentLink": references.document_links,
     "rename": graph.rename_occurrences, "rename/local": graph.rename_local, "prepareRename": graph.can_rename, "willRenameFiles": graph.renamed_requires, "card": lookup.class_card,
     "foldingRange": lambda f, path: refactor.folds(refactor.documents_of(f, path)),

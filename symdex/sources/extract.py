@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from symdex import schema as S
 from symdex.facts import Facts
 from symdex.functions.workdir import written
-from symdex.operators.infer import schema_columns
+from symdex.operators.infer import schema_columns, with_call_types
 from symdex.operators.tokens import encode
 from symdex.sources import parsers
 from symdex.sources.scan import file_rows, line_rows
 
 #: Characters of parsed rows that a task holds before it gives them out.
 OUT_CHARS = 1 << 22
-PARSED = ("symbols", "params", "local_vars", "refs", "mixins", "i18n_keys", "routes", "tokens")
+PARSED = ("symbols", "params", "local_vars", "refs", "mixins", "i18n_keys", "routes", "tokens", "calls")
+#: Fields of parsed rows that are no fact table.
+OWN_FIELDS = {"tokens": "line int, col int, len int, type int, mods int", "calls": "name string, line int, col int, receiver string, known string, methods array<string>, block string"}
 
 
 def parse_file(path: str, text: str) -> dict[str, list[dict]]:
@@ -36,7 +38,7 @@ def parse_file(path: str, text: str) -> dict[str, list[dict]]:
     code = parsers.template_code(text) if name.endswith(".erb") else parsers.indented_template_code(text, name.endswith(".slim")) if name.endswith((".haml", ".slim")) else text
     out = parsers.parse_ruby(code)
     if name == "routes.rb" or "/routes/" in path:
-        out["routes"] = parsers.parse_routes(text)
+        out["routes"] = parsers.parse_routes(text) or parsers.parse_routing_tree(text, name.removesuffix(".rb"))
     return out
 
 
@@ -63,7 +65,7 @@ def extract(scanned: DataFrame, is_gem: bool = False, parse: Callable[[str, str]
     symbol = lambda n: F.xxhash64("file_id", n)
     tables = {"files": file_rows(scanned, is_gem), "lines": line_rows(scanned)}
     for name in PARSED:
-        fields = "line int, col int, len int, type int, mods int" if name == "tokens" else ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.schema(name) if f.name not in ("id", "file_id", "symbol_id", "class_id"))
+        fields = OWN_FIELDS.get(name) or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.schema(name) if f.name not in ("id", "file_id", "symbol_id", "class_id"))
         mine = tagged.where(F.col("t") == name).select("file_id", "n", F.from_json("row", fields + ", symbol bigint").alias("r")).select("file_id", "n", "r.*")
         if name == "symbols":
             mine = mine.withColumn("id", symbol(F.col("n"))).unionByName(_columns(scanned), allowMissingColumns=True)
@@ -71,13 +73,15 @@ def extract(scanned: DataFrame, is_gem: bool = False, parse: Callable[[str, str]
             mine = mine.withColumn("symbol_id", symbol(F.col("symbol")))
         elif name in ("mixins", "local_vars"):
             mine = mine.withColumn("class_id", F.when(F.col("symbol").isNotNull(), symbol(F.col("symbol"))))
-        if name == "tokens":
+        if name == "calls":
+            calls = mine
+        elif name == "tokens":
             tables["sem_tokens"] = encode(mine.select("file_id", "line", "col", "len", "type", "mods"))
         elif name in S.KEYS and "symbol_id" not in S.KEYS[name]:  # the first row of a place, whatever the order of arrival
             tables[name] = mine.groupBy(*S.KEYS[name]).agg(F.min_by(F.struct(*mine.columns), "n").alias("x")).select("x.*")
         else:
             tables[name] = mine
-    return Facts(scanned.sparkSession, **tables)
+    return with_call_types(Facts(scanned.sparkSession, **tables), calls)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

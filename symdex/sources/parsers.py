@@ -140,6 +140,43 @@ def parse_routes(text: str) -> list[dict]:
     return rows
 
 
+_BRANCH = re.compile(r"^(?:([a-z_]\w*)\.)?([a-z_]\w*)\b\s*\(?\s*(.*)$", re.S)
+
+
+def parse_routing_tree(text: str, controller: str = "") -> list[dict]:
+    """Routes of a routing tree: blocks that match a part of the path, and verbs inside them.
+
+    `hash_branch` and a request's `on` add to the path, `is` and other blocks don't; a part that isn't a string is a
+    placeholder. A verb is a route of its own, and what is inside its block is not looked into.
+    """
+    rows, stack = [], []  # the part of the path that each open block adds, or None inside a verb
+    for st in statements(text):
+        m = _BRANCH.match(st.code)
+        events, part = openings(st.code), ""
+        if m and None not in stack:
+            said = st.said[m.start(3) :]
+            first = named(re.split(r"[,)\s]", said, maxsplit=1)[0])
+            if m[2] == "hash_branch" and not m[1]:
+                values = [v for x in _outer(re.split(r"\)|\s+do\b|\s*\{", said)[0]) if (v := named(x))]
+                part = f"/{values[0]}" if values else ""
+            elif m[1] and m[2] == "on":
+                part = f"/:{first}" if said.startswith(":") and first else f"/{first}" if first else "/:id"
+            elif m[1] and m[2] in ("get", "post", "put", "patch", "delete"):
+                path = "".join(stack) or "/"
+                stem = re.sub("[:/]+", "_", path).strip("_")
+                line, col = st.place(0)
+                rows.append({"http_method": m[2].upper(), "path_pattern": path, "helper_name": f"{stem}_path" if stem else "root", "controller": controller, "action": m[2].upper(), "line": line, "col": col})
+                part = None
+        for word in events:
+            if word == "end":
+                if stack:
+                    stack.pop()
+            else:
+                stack.append(part)
+                part = ""
+    return rows
+
+
 # --- signature files
 
 _DEF = re.compile(r"^def\s+(self\??\.)?([\w?!=<>\[\]+\-*/%~^&|]+)\s*:\s*(.*)$")
@@ -312,6 +349,36 @@ def literal_type(text: str) -> str | None:
     return m[1] if m else None
 
 
+_HEAD = re.compile(r"^([A-Z]\w*(?:::[A-Z]\w*)*|@{0,2}[a-z_]\w*|\$\w+)(?=&?\.[a-z_])")
+_LITERAL_HEAD = re.compile(r"^(\"[^\"]*\"|'[^']*'|\d[\d_]*(?:\.\d+)?|\[[^\[\]]*\]|\{[^{}]*\})(?=\.[a-z_])")
+_LINK = re.compile(r"\s*&?\.\s*([a-z_]\w*[?!]?)(?!\w)")
+_AFTER_CALLS = re.compile(r"^(?:do\b.*|\{.*|(?:if|unless)\b.*|[:\"'@\d].*)?$", re.S)
+
+
+def call_chain(said: str, code: str) -> dict | None:
+    """(receiver, known, methods) of a value that is calls one after another and nothing else. A receiver that is a
+    literal has its type in `known`."""
+    m = _HEAD.match(code) or _LITERAL_HEAD.match(code)
+    if not m or m[1] in _WORDS:
+        return None
+    known = None if m.re is _HEAD else literal_type(said[: m.end()])
+    at, methods = m.end(), []
+    while link := _LINK.match(code, at):
+        methods.append(link[1])
+        at = link.end()
+        for opens, closes in ("()", "{}"):
+            block = re.match(r"\s*\{" if opens == "{" else r"\(", code[at:])
+            if block:
+                deep, k = 0, at + block.end() - 1
+                while k < len(code):
+                    deep += (code[k] == opens) - (code[k] == closes)
+                    k += 1
+                    if not deep:
+                        break
+                at = k
+    return {"receiver": m[1] if known is None else None, "known": known, "methods": methods} if methods and _AFTER_CALLS.match(code[at:].strip()) else None
+
+
 def _parameters(text: str) -> list[dict]:
     rows = []
     for i, p in enumerate(_outer(text)):
@@ -465,7 +532,7 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
     constants, Struct and Data classes, declarations of the usual frameworks, mixins, aliases, visibility, bindings
     (assignments, several at once, block, for and rescue variables) with the types of literals, `new` and guards, and calls.
     """
-    symbols, params, variables, refs, mixins, marks = [], [], [], [], [], []
+    symbols, params, variables, refs, mixins, marks, calls = [], [], [], [], [], [], []
     stack: list[list] = []  # [kind, qualified name, index of symbol, visibility]
     scope, sig = 0, ""
     for st in statements(text):
@@ -557,13 +624,22 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
                 if cast:
                     kind, sure = (inner[1] if len(inner) > 1 else literal_type(inner[0]) if inner else None), 95
                 else:
+                    chain = None if comment or m[2] else call_chain(value, body_code[m.start(3) :])
                     kind, sure = (comment[1] if comment else literal_type(value)), {"||": 20, "&&": 15}.get(m[2], 20 if m[2] else 0)
+                    if chain and chain["methods"] != ["new"] and m[1] not in _WORDS:
+                        kind, (line, column) = None, st.place(code_rest)
+                        calls.append(chain | {"name": m[1], "line": line, "col": column, "block": None})
                 if m[1] not in _WORDS:
                     bind(m[1], kind, 70 if m[1].startswith("$") and kind else sure, code_rest)
                     assigned = code_rest + m.start(3)
             for m in re.finditer(r"(?:\bdo|\{)\s*\|([^|]*)\|", body_code):
-                for x in re.finditer(r"(?<![\w:])\*{0,2}&?([a-z_]\w*)", m[1].split(";")[0]):
+                for k, x in enumerate(re.finditer(r"(?<![\w:])\*{0,2}&?([a-z_]\w*)", m[1].split(";")[0])):
                     bind(x[1], None, 60, code_rest + m.start(1) + x.start(1), True)
+                    begin = max(assigned - code_rest, 0)
+                    chain = None if k else call_chain(body_said[begin : m.start()].rstrip(), body_code[begin : m.start()].rstrip())
+                    if chain:
+                        line, column = st.place(code_rest + m.start(1) + x.start(1))
+                        calls.append(chain | {"methods": chain["methods"][:-1], "block": chain["methods"][-1], "name": x[1], "line": line, "col": column})
             if m := re.match(r"^for\s+([a-z_]\w*)\s+in\b", body_code):
                 bind(m[1], None, 50, code_rest + m.start(1))
             if m := re.match(r"^rescue\s*([\w:, ]*?)\s*=>\s*([a-z_]\w*)", body_code):
@@ -585,7 +661,7 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
             else:
                 stack.append(["block", "", None, "public"])
     tokens = [{"line": line - 1, "col": c, "len": size, "type": kind, "mods": 0} for line, c, size, kind in sorted(set(marks))]
-    return {"symbols": symbols, "params": params, "local_vars": variables, "refs": refs, "mixins": mixins, "tokens": tokens}
+    return {"symbols": symbols, "params": params, "local_vars": variables, "refs": refs, "mixins": mixins, "tokens": tokens, "calls": calls}
 
 
 def _declaration(st, owner, inside, make, symbols: list[dict], mixins: list[dict], refs: list[dict]) -> int:
@@ -661,3 +737,26 @@ def _calls(st, start: int, scope: int, refs: list[dict], marks: list) -> None:
         line, column = st.place(m.start(1))
         refs.append({"name": m[1], "line": line, "col": column, "scope_id": scope or None, "arg_count": 0, "receiver_type": None})
         marks.append((line, column, len(m[1]), 0))
+
+
+def call_arguments(text: str) -> list[dict]:
+    """(receiver, name, line, arguments) of calls with brackets and two or more arguments, on constants and variables.
+    Each argument is (line, col, named), with whether it has a keyword."""
+    out = []
+    for st in statements(text):
+        for m in _SEND.finditer(st.code):
+            if not m[1] or not m[3]:
+                continue
+            deep, k, starts, fresh = 1, m.end(), [], True
+            while k < len(st.code) and deep:
+                c = st.code[k]
+                if fresh and not c.isspace() and c not in ",)":
+                    starts.append(k)
+                    fresh = False
+                deep += (c in "([{") - (c in ")]}")
+                fresh = fresh or (c == "," and deep == 1)
+                k += 1
+            if len(starts) > 1:
+                at = [(*st.place(a), bool(re.match(r"[a-z_]\w*[?!]?:(?!:)|[:\"'][^=,]*=>|\*\*", st.said[a:]))) for a in starts]
+                out.append({"receiver": m[1], "name": m[2], "line": st.place(m.start())[0], "arguments": at})
+    return out
