@@ -33,6 +33,8 @@ from symdex.llm.shared import keyed, map_texts, table, texts_of
 _REST_OF_TAG = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+#: Comments that end where they begin, and what ends others.
+_EMPTY_COMMENT, _COMMENT_END = re.compile("<!---?>"), re.compile("--!?>")
 _HREF = re.compile(r"\bhref\s*=", re.I)
 _LINK, _END_OF_LINK = re.compile(r"<a\s", re.I), re.compile(r"</a[\s/>]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -43,7 +45,7 @@ INLINE |= frozenset("svg g path rect circle ellipse line polyline polygon text t
 INLINE |= frozenset("math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mfenced mmultiscripts mprescripts none semantics annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup, or never shown: skipped up to their end tag.
-RAW = frozenset("script style template title iframe head textarea".split())
+RAW = frozenset("script style template title iframe head textarea noframes".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 _SCOPE = frozenset("ul ol dl table select".split())
@@ -130,6 +132,7 @@ def parse(html: str, labelled: bool = False) -> Page:
             parts = []
 
     closes_at = -1
+    endless: set[str] = set()
     while i < n:
         j = html.find("<", i)
         if j < 0:
@@ -140,8 +143,8 @@ def parse(html: str, labelled: bool = False) -> Page:
         c = html[j + 1 : j + 2]
         if c == "!" or c == "?":
             if html.startswith("<!--", j):
-                end = html.find("-->", j + 4)
-                i = n if end < 0 else end + 3
+                own = _EMPTY_COMMENT.match(html, j) or _COMMENT_END.search(html, j + 4)
+                i = own.end() if own else n
             else:
                 end = html.find(">", j)
                 i = n if end < 0 else end + 1
@@ -170,10 +173,12 @@ def parse(html: str, labelled: bool = False) -> Page:
                 low = html.lower()
                 if len(low) != n:
                     low = re.sub("[A-Z]", lambda x: x[0].lower(), html)
-            end = low.find(f"</{tag}", i)
+            end = -1 if tag in endless else low.find(f"</{tag}", i)
             if end >= 0:
                 i = html.find(">", end) + 1 or n
-            elif not attributes.endswith("/>"):
+                continue
+            endless.add(tag)  # nor is there an end tag after any later place
+            if not attributes.endswith("/>"):
                 i = n
             continue
         if tag == "br":

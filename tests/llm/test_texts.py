@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -377,3 +378,15 @@ def test_op3_letters_beyond_the_first_plane():
     model = language_id.fit(["the of and that", "der die und nicht"] * 5, ["en", "de"] * 5)
     langs, score = model.predict(["😀🎉 !!", "the 😀"])
     assert langs[0] == "und" and score[0] == 0 and langs[1] == "en"
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x -->", "<!-- x --!>", "<!-- <p>a --> b-->", "<!---->", "<noframes>no</noframes>"])
+def test_html_comments_end_where_they_should(comment):
+    page = html_text.parse(f"<body><p>one {comment}</p><p>two</p></body>")
+    assert [t.replace(" b-->", "") for _, t, _ in page.leaves] == ["one", "two"]
+
+
+def test_html_of_many_raw_tags_without_ends():
+    began = time.perf_counter()
+    page = html_text.parse("<body><p>a</p>" + "<script/><style/>" * 100_000 + "<p>b</p>" + "<!" * 1000)
+    assert [t for _, t, _ in page.leaves] == ["a", "b"] and time.perf_counter() - began < 20
