@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,14 +21,27 @@ class Facts:
             self._tables[name] = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_") or name not in S.names():
+        if name.startswith("_") or name not in S.names() and name not in S.SOURCES:
             raise AttributeError(name)
+        if name in S.SOURCES and name not in self._tables:
+            raise AttributeError(f"{name} was not made")
         if name not in self._tables:
             self._tables[name] = self.spark.createDataFrame([], S.schema(name))
         return self._tables[name]
 
     def replaced(self, **tables: DataFrame) -> Facts:
-        return Facts(self.spark, **self._tables | tables)
+        """The facts with other tables; what is derived from one of them goes, unless it is given too."""
+        stay = {n: df for n, df in self._tables.items() if not set(tables) & set(S.SOURCES.get(n, ()))}
+        return Facts(self.spark, **stay | tables)
+
+    def has(self, name: str) -> bool:
+        return name in self._tables
+
+    def derived(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, made once and kept with the facts."""
+        if name not in self._tables:
+            self._tables[name] = make()
+        return self._tables[name]
 
     @classmethod
     def from_rows(cls, spark: SparkSession, **tables: Iterable[dict]) -> Facts:
@@ -41,11 +54,14 @@ class Facts:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Facts:
-        return cls(spark, **{n: spark.read.schema(S.schema(n)).parquet(f"{path}/{n}") for n in S.names()})
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        listed = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(there)
+        derived = {x.getPath().getName() for x in listed} & set(S.SOURCES)
+        return cls(spark, **{n: spark.read.schema(S.schema(n)).parquet(f"{path}/{n}") for n in [*S.names(), *sorted(derived)]})
 
     def save(self, path: str, mode: str = "overwrite") -> None:
         """One Parquet folder a table; the name-keyed tables are sorted by name so that row groups can be skipped."""
-        for n in S.names():
+        for n in [*S.names(), *(n for n in S.SOURCES if self.has(n))]:
             df = getattr(self, n)
             key = "name" if "name" in df.columns else df.columns[0]
             df.sortWithinPartitions(key).write.mode(mode).parquet(f"{path}/{n}")

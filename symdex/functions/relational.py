@@ -166,5 +166,37 @@ def subsequence(c: str | Column, letters: str) -> Column:
 
 
 def edit_distance(a: Column, b: Column, longest: int = 64) -> Column:
-    """Levenshtein distance; 99 where either side has more than `longest` bytes."""
-    return F.when((F.octet_length(a) > longest) | (F.octet_length(b) > longest), F.lit(99)).otherwise(F.levenshtein(a, b))
+    """Levenshtein distance in bytes; 99 where either side has more than `longest`."""
+    return F.when((F.octet_length(a) > longest) | (F.octet_length(b) > longest), F.lit(99)).otherwise(F.levenshtein(as_bytes(a), as_bytes(b)))
+
+
+def as_bytes(c: Column) -> Column:
+    """A text with one character for each byte of another, so that functions of characters count bytes."""
+    return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+
+
+def near_texts(words: DataFrame, others: DataFrame, within: int = 2, longest: int = 64) -> DataFrame:
+    """(word, other, d): texts of at most `longest` bytes that differ in 1 to `within` edits of bytes, of (word) and (other).
+
+    Two texts within k edits have a text in common that up to k bytes left out of each give. These deletion
+    neighbourhoods meet in one equi-join, so no two texts are paired that aren't near in that way; the distance itself
+    is then counted in a band.
+    """
+    left = _neighbourhood(words.select("word").distinct(), "word", within, longest)
+    right = _neighbourhood(others.select("other").distinct(), "other", within, longest)
+    pairs = left.join(right, "part").where("word <> other").select("word", "other").distinct()
+    d = F.levenshtein(as_bytes(F.col("word")), as_bytes(F.col("other")), within)
+    return pairs.withColumn("d", d).where(F.col("d") > 0)
+
+
+def _neighbourhood(texts: DataFrame, name: str, within: int, longest: int) -> DataFrame:
+    """(name, part): each text with what is left of its bytes, up to `within` left out."""
+    rows = texts.where(F.octet_length(name) <= longest).select(name, as_bytes(F.col(name)).alias("part"), F.lit(1).alias("at"))
+    out = rows
+    for _ in range(within):  # bytes go from left to right, so that each choice of them is made once
+        n = F.char_length("part")
+        at = F.explode(F.sequence(F.col("at"), n))
+        rows = rows.where(F.col("at") <= n).select(name, "part", at.alias("at"))
+        rows = rows.select(name, F.concat(F.substring("part", F.lit(1), F.col("at") - 1), F.substring("part", F.col("at") + 1, F.lit(longest))).alias("part"), "at")
+        out = out.unionByName(rows)
+    return out.select(name, F.xxhash64("part").alias("part")).distinct()

@@ -7,26 +7,11 @@ from pyspark.sql import functions as F
 
 from symdex.facts import Facts
 from symdex.functions import relational as R
-from symdex.schema import present
-
-#: Order of one class's own members, and of what is mixed in, when a method is looked up.
-MIXIN_RANK = {"prepend": 0, "own": 1, "include": 2, "extend": 2}
-
-
-def edges(f: Facts) -> DataFrame:
-    """(child, parent, kind): parent names of classes and modules, and mixins, as one relation.
-
-    With both in one relation a closure needs a single recursive step, since each step takes either edge.
-    """
-    up = f.symbols.where(F.col("kind").isin("class", "module") & present("parent_name").isNotNull()).select(F.col("name").alias("child"), F.col("parent_name").alias("parent"), F.lit("parent").alias("kind"))
-    mixed = f.mixins.join(f.symbols.select(F.col("id").alias("class_id"), F.col("name").alias("child")), "class_id").select("child", F.col("module_name").alias("parent"), "kind")
-    return up.unionByName(mixed).distinct()
-
+from symdex.operators.hierarchy import LOOKUP_DEPTH, edges, owners, owners_of, reach
 
 def ancestors(f: Facts, name: str, depth: int = 20, offset: int = 0, limit: int = 50) -> DataFrame:
-    roots = f.spark.createDataFrame([(name,)], "node string")
-    out = R.closure(edges(f), roots, depth).where(F.col("depth") > 0).groupBy("node").agg(F.min("depth").alias("depth"))
-    return R.page(out.select(F.col("node").alias("name"), "depth"), ["depth", "name"], limit, offset)
+    up = reach(f).where((F.col("via") == "all") & (F.col("root") == name) & (F.col("depth") <= depth))
+    return R.page(up.select(F.col("node").alias("name"), "depth"), ["depth", "name"], limit, offset)
 
 
 def includers(f: Facts, name: str, offset: int = 0, limit: int = 50) -> DataFrame:
@@ -50,10 +35,8 @@ def prepare_type(f: Facts, name: str) -> DataFrame:
 
 def supertypes(f: Facts, name: str, depth: int = 8) -> DataFrame:
     """The chain of parent names, and the modules mixed in directly."""
-    e = edges(f)
-    roots = f.spark.createDataFrame([(name,)], "node string")
-    chain = R.closure(e.where(F.col("kind") == "parent"), roots, depth).where(F.col("depth") > 0).select(F.col("node").alias("name"))
-    return chain.union(e.where((F.col("child") == name) & (F.col("kind") != "parent")).select("parent")).distinct().orderBy("name")
+    chain = reach(f).where((F.col("via") == "parent") & (F.col("root") == name) & (F.col("depth") <= depth)).select(F.col("node").alias("name"))
+    return chain.union(edges(f).where((F.col("child") == name) & (F.col("kind") != "parent")).select("parent")).distinct().orderBy("name")
 
 
 def subtypes(f: Facts, name: str, limit: int = 50) -> DataFrame:
@@ -69,36 +52,39 @@ def concern_usage(f: Facts, module: str, offset: int = 0, limit: int = 100) -> D
     return R.page(out.distinct(), ["name", "mixin_kind", "path", "line"], limit, offset)
 
 
-def resolution_order(f: Facts, name: str, depth: int = 8) -> DataFrame:
-    """(owner, rank): whose members a receiver of this class has, in lookup order: for each class of the chain what is
-    prepended, the class itself, what is included or extended, then its parent."""
-    e = edges(f)
-    roots = f.spark.createDataFrame([(name,)], "node string")
-    chain = R.closure(e.where(F.col("kind") == "parent"), roots, depth).select(F.col("node").alias("cls"), "depth")
-    mixed = chain.join(e.where(F.col("kind") != "parent"), F.col("cls") == F.col("child")).select(F.col("parent").alias("owner"), (F.col("depth") * 4 + F.when(F.col("kind") == "prepend", MIXIN_RANK["prepend"]).otherwise(MIXIN_RANK["include"])).alias("rank"))
-    own = chain.select(F.col("cls").alias("owner"), (F.col("depth") * 4 + MIXIN_RANK["own"]).alias("rank"))
-    return own.unionByName(mixed).groupBy("owner").agg(F.min("rank").alias("rank"))
+def resolution_order(f: Facts, name: str, depth: int = LOOKUP_DEPTH) -> DataFrame:
+    """(owner, rank): whose members a receiver of this class has, in lookup order."""
+    return owners_of(f, [name], depth).select("owner", "rank")
+
+
+def _methods(f: Facts, prefix: str, inside: bool) -> DataFrame:
+    m = f.symbols.where(F.col("kind").isin("def", "classdef") & F.col("name").startswith(prefix))
+    return m if inside else m.where(F.coalesce("visibility", F.lit("public")) == "public")
 
 
 def complete_dot(f: Facts, receiver: str, prefix: str = "", inside: bool = False, limit: int = 200) -> DataFrame:
     """Methods of a receiver type (each part of a union), each name from the first owner that has it."""
-    order = None
-    for i, part in enumerate(receiver.split(" | ")):
-        own = resolution_order(f, part).withColumn("rank", F.col("rank") + i * 1000)
-        order = own if order is None else order.unionByName(own)
-    m = f.symbols.where(F.col("kind").isin("def", "classdef") & F.col("name").startswith(prefix))
-    m = m if inside else m.where(F.coalesce("visibility", F.lit("public")) == "public")
-    hit = m.join(order.groupBy("owner").agg(F.min("rank").alias("rank")), m["parent_name"] == F.col("owner"))
-    one = R.first_wins(hit, ["name"], ["rank", "id"])
+    parts = receiver.split(" | ")
+    place = F.lit(0)
+    for i, part in reversed(list(enumerate(parts))):
+        place = F.when(F.col("cls") == part, i * 1000).otherwise(place)
+    order = owners_of(f, parts).groupBy("owner").agg(F.min(F.col("rank") + place).cast("int").alias("rank"))
+    m = _methods(f, prefix, inside)
+    one = R.first_wins(m.join(order, m["parent_name"] == F.col("owner")), ["name"], ["rank", "id"])
     return R.page(one.select("name", "owner", "rank", "return_type", "doc"), ["rank", "name"], limit)
 
 
+def complete_all_dots(f: Facts, prefix: str = "", inside: bool = False) -> DataFrame:
+    """(cls, name, owner, rank, return_type, doc): what `complete_dot` gives, without a limit, for every class at once."""
+    m = _methods(f, prefix, inside)
+    one = R.first_wins(m.join(owners(f), m["parent_name"] == F.col("owner")), ["cls", "name"], ["rank", "id"])
+    return one.select("cls", "name", "owner", "rank", "return_type", "doc")
+
+
 def related_classes(f: Facts, name: str, depth: int = 4) -> DataFrame:
     """A class, its subclasses and includers, down to a depth, in the workspace."""
-    own = f.symbols.join(f.workspace().select("file_id"), "file_id", "left_semi").where(F.col("kind").isin("class", "module"))
-    e = edges(f).join(own.select(F.col("name").alias("child")).distinct(), "child", "left_semi")
-    down = e.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
-    return R.closure(down, f.spark.createDataFrame([(name,)], "node string"), depth).select(F.col("node").alias("name"), "depth")
+    down = reach(f).where((F.col("via") == "own") & (F.col("node") == name) & (F.col("depth") <= depth))
+    return down.select(F.col("root").alias("name"), "depth").unionByName(f.spark.createDataFrame([(name, 0)], "name string, depth int"))
 
 
 def rename_occurrences(f: Facts, name: str, owner: str | None = None, depth: int = 4) -> DataFrame:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from symdex.facts import Facts
 from symdex.functions import relational as R
-from symdex.functions.workdir import stored
-from symdex.operators.graph import edges
+from symdex.operators.hierarchy import reach
 from symdex.schema import present
 
 #: Methods that the runtime or a test framework calls (fixed values).
@@ -95,12 +94,12 @@ def undefined_methods(f: Facts, depth: int = 32, known: Iterable[str] = KNOWN_CA
     d = R.edit_distance(F.col("name"), F.col("other"))
     near = word.join(parts, "low").withColumn("d", d).where((F.col("d") > 0) & (F.col("d") <= F.least(F.lit(2), F.floor(F.octet_length("name") / 2) + 1)))
     best = near.groupBy("name").agg(F.min_by("other", F.struct("d", "other")).alias("best"))
-    calls = stored(calls.join(best, "name"))
+    calls = calls.join(best, "name")
     classes = f.symbols.where(F.col("kind").isin("class", "module")).select("file_id", F.col("name").alias("cls"), F.col("line").alias("lo"), F.coalesce("end_line", "line").alias("hi"))
     inside = R.stabbing(calls, classes, ["file_id"], "line", "lo", "hi").groupBy("file_id", "name", "line", "col", "best").agg(F.max_by("cls", F.struct("lo", -F.col("hi"), "cls")).alias("cls"))
-    reach = R.closure(edges(f), inside.select(F.col("cls").alias("node")).distinct(), depth)
+    up = reach(f).where((F.col("via") == "all") & (F.col("depth") <= depth))
     there = f.symbols.where(F.col("kind").isin("class", "module")).select(F.col("name").alias("node")).distinct()
-    unknown = reach.where("depth > 0").join(there, "node", "left_anti").select(F.col("root").alias("cls")).distinct()
+    unknown = up.join(there, "node", "left_anti").select(F.col("root").alias("cls")).distinct()
     bad = inside.join(unknown, "cls", "left_anti")
     return _finding(bad, "undefined-method", 2, F.format_string("undefined method %s, did you mean %s?", "name", "best"))
 

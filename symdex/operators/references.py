@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symdex.facts import Facts
 from symdex.functions import relational as R
+from symdex.operators import trigrams
 from symdex.schema import present
 
 METHOD_KINDS = ("def", "classdef")
@@ -80,11 +81,21 @@ def code_lens(f: Facts, path: str) -> DataFrame:
     return own.join(n, "name", "left").select("name", "kind", "line", zero("local_refs"), zero("other_refs")).orderBy("line", "name")
 
 
-def grep_source(f: Facts, query: str, use_regex: bool = False, path_pattern: str | None = None, context: int = 1, offset: int = 0, limit: int = 100, file_limit: int = 2000) -> DataFrame:
+def grep_source(f: Facts, query: str, use_regex: bool = False, path_pattern: str | None = None, context: int = 1, offset: int = 0, limit: int = 100, file_limit: int | None = None, indexed: bool | None = None) -> DataFrame:
     """Lines of workspace files that hold a literal (ASCII letters in either case) or match a small regular expression
-    of ^ $ . * + (in its own case), with up to five lines around. Files come in the order of their paths."""
+    of ^ $ . * + (in its own case), with up to five lines around. Files come in the order of their paths.
+
+    All files are looked at, by the trigram index if the facts have one (or, with `indexed`, in any case). A `file_limit`
+    looks at the first files alone, and `file_limit_hit` then says whether there are more.
+    """
     files = f.workspace().where(F.contains("path", F.lit(path_pattern))) if path_pattern else f.workspace()
-    files = R.page(files, ["path"], file_limit)
+    cut_off = None
+    if file_limit is not None:
+        cut_off = R.page(files, ["path"], file_limit + 1).agg((F.count(F.lit(1)) > file_limit).alias("file_limit_hit"))
+        files = R.page(files, ["path"], file_limit)
+    grams = trigrams.needed(query, use_regex)
+    if grams and (f.has("trigrams") if indexed is None else indexed):
+        files = files.join(trigrams.candidates(f, grams), "file_id", "left_semi")
     test = (lambda c: c.rlike(small_regex(query))) if use_regex else (lambda c: F.contains(R.ascii_lower(c), F.lit(query.translate(R._LOWER))))
     rows = f.lines.join(files, "file_id")
     n = max(0, min(5, context))
@@ -93,7 +104,8 @@ def grep_source(f: Facts, query: str, use_regex: bool = False, path_pattern: str
     near = hits.select("file_id", "path", "n", "text", F.explode(F.sequence(F.col("n") - n, F.col("n") + n)).alias("m")).join(around, ["file_id", "m"])
     cut = lambda c: F.when(F.octet_length(c) > 512, F.concat(F.substring(c, 1, 509), F.lit("…"))).otherwise(c)
     side = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("m", cut(F.col("t")).alias("t"))))), lambda x: x["t"])
-    return near.groupBy("path", "n", "text").agg(side(F.col("m") < F.col("n")).alias("before"), side(F.col("m") > F.col("n")).alias("after")).select("path", F.col("n").alias("line"), cut(F.col("text")).alias("text"), "before", "after").orderBy("path", "line")
+    out = near.groupBy("path", "n", "text").agg(side(F.col("m") < F.col("n")).alias("before"), side(F.col("m") > F.col("n")).alias("after")).select("path", F.col("n").alias("line"), cut(F.col("text")).alias("text"), "before", "after")
+    return (out if cut_off is None else out.crossJoin(F.broadcast(cut_off))).orderBy("path", "line")
 
 
 def small_regex(pattern: str) -> str:

@@ -13,7 +13,7 @@ from symdex.facts import Facts
 from symdex.functions import relational as R
 
 #: Tables whose rows belong to a file.
-OF_FILE = ("symbols", "refs", "local_vars", "sem_tokens", "diagnostics", "i18n_keys", "routes", "lines")
+OF_FILE = ("symbols", "refs", "local_vars", "sem_tokens", "diagnostics", "i18n_keys", "routes", "lines", "calls")
 
 
 def file_id(path: str | Column = "path") -> Column:

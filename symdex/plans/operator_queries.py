@@ -112,7 +112,7 @@ for _key, _args, _test in (
     _cut = "CASE WHEN strlen(text) > 512 THEN left(text, 509) || '…' ELSE text END"
     ask(
         _key, "grep_source",
-        f"""WITH own AS (SELECT id AS file_id, path FROM files WHERE NOT is_gem ORDER BY path LIMIT 2000), h AS (SELECT l.file_id, path, n, text FROM lines l JOIN own USING (file_id) WHERE {_test} ORDER BY path, n LIMIT 100 OFFSET {_at}),
+        f"""WITH own AS (SELECT id AS file_id, path FROM files WHERE NOT is_gem), h AS (SELECT l.file_id, path, n, text FROM lines l JOIN own USING (file_id) WHERE {_test} ORDER BY path, n LIMIT 100 OFFSET {_at}),
         c AS (SELECT h.path, h.n, l.n AS m, {_cut.replace("text", "l.text")} AS t FROM h JOIN lines l ON l.file_id = h.file_id AND l.n BETWEEN h.n - {_n} AND h.n + {_n})
         SELECT path, n AS line, {_cut} AS text, coalesce((SELECT string_agg(t, '⏎' ORDER BY m) FROM c WHERE c.path = h.path AND c.n = h.n AND m < h.n), '') AS before, coalesce((SELECT string_agg(t, '⏎' ORDER BY m) FROM c WHERE c.path = h.path AND c.n = h.n AND m > h.n), '') AS after FROM h""",
         lambda d: d.withColumn("before", F.array_join("before", "⏎")).withColumn("after", F.array_join("after", "⏎")), **_args,

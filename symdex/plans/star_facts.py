@@ -38,14 +38,14 @@ SQL = {
         CASE WHEN l_tax > 0.075 THEN 'validates' WHEN l_tax > 0.065 AND p_size > 6 THEN substr({_NAME}, 1, length({_NAME}) - 1) WHEN l_tax > 0.055 THEN 'x' ELSE {_NAME} END AS name,
         l_linenumber * 30 + CAST(l_discount * 100 AS INT) AS line, CAST(l_quantity AS INT) AS col, CASE WHEN l_linestatus = 'O' THEN l_suppkey END AS scope_id, CAST(l_tax * 100 AS INT) AS arg_count,
         CASE l_returnflag WHEN 'N' THEN 'NilClass' WHEN 'R' THEN 'C' || substr(p_brand, 7) END AS receiver_type
-        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_quantity > 47""",
+        FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
     "params": """SELECT p_partkey AS symbol_id, 0 AS position, 'a' || substr(p_name, 1, 1) AS name, 'required' AS kind, CASE WHEN p_type = 'SMALL' THEN 'String' END AS type_hint, CASE WHEN p_type = 'SMALL' THEN 90 END AS confidence, CAST(NULL AS VARCHAR(9)) AS description FROM {part} WHERE p_size > 3
       UNION ALL SELECT p_partkey, 1, '_rest', CASE p_type WHEN 'PROMO' THEN 'rest' WHEN 'LARGE' THEN 'keyword' WHEN 'SMALL' THEN 'keyword_rest' ELSE 'optional' END, 'Integer', 30, NULL FROM {part} WHERE p_size > 6
       UNION ALL SELECT p_partkey, 2, 'x', CASE WHEN p_type = 'MEDIUM' THEN 'block' ELSE 'keyword' END, NULL, NULL, 'The x' FROM {part} WHERE p_size > 14""",
     "local_vars": f"""SELECT user_id AS file_id, CASE event_type WHEN 'click' THEN 'x' WHEN 'error' THEN '_tmp' WHEN 'purchase' THEN '@price' WHEN 'signup' THEN '$flag' ELSE 'big_' || CAST(CAST(floor(value / 50) AS INT) AS VARCHAR(9)) END AS name,
         CAST(floor(value) AS INT) + 1 AS line, CAST(event_id AS INT) AS col, CASE WHEN value > 300 THEN 'String' WHEN value > 150 THEN 'Integer | C3' WHEN value > 60 THEN 'C7' WHEN value > 30 THEN 'Array' END AS type_hint,
         CAST(least(floor(value / 2.0), 95) AS INT) AS confidence, CASE WHEN value < 200 THEN user_id + 5 END AS scope_id, CASE WHEN event_type = 'purchase' THEN 1000000000 + user_id END AS class_id, false AS is_block_param FROM {{events}}
-      UNION ALL SELECT {_PART_FILE}, {_NAME}, {_PART_LINE} + 1, 4, CASE WHEN p_type <> 'ECONOMY' THEN upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END, p_size, NULL, NULL, false FROM {{part}} WHERE p_retailprice > 901""",
+      UNION ALL SELECT {_PART_FILE}, {_NAME}, {_PART_LINE} + 1, 4, CASE WHEN p_type <> 'ECONOMY' THEN upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) END, p_size, NULL, NULL, false FROM {{part}}""",
     "mixins": """SELECT 1000000000 + s_suppkey AS class_id, CASE WHEN s_acctbal > 3000 THEN 'M' ELSE 'Deep::M' END || CAST(s_nationkey AS VARCHAR(9)) AS module_name, CASE WHEN s_acctbal > 7000 THEN 'prepend' WHEN s_acctbal > 2000 THEN 'include' ELSE 'extend' END AS kind FROM {supplier}""",
     "diagnostics": """SELECT user_id AS file_id, CAST(floor(value) AS INT) AS line, CAST(event_id AS INT) AS col, 'finding ' || event_type AS message, CASE WHEN value > 250 THEN 2 ELSE 4 END AS severity, 'code-' || event_type AS code FROM {events} WHERE event_type IN ('error', 'signup')""",
     "i18n_keys": """SELECT CAST(n_nationkey AS BIGINT) AS file_id, lower(r_name) || '.' || lower(n_name) AS key, n_name AS value, lower(substr(r_name, 1, 2)) AS locale FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from symdex.sources.ruby_text import openings, statements
+from symdex.sources.ruby_text import cover, openings, statements
 
 # --- locale files
 
@@ -379,12 +379,32 @@ def call_chain(said: str, code: str) -> dict | None:
     return {"receiver": m[1] if known is None else None, "known": known, "methods": methods} if methods and _AFTER_CALLS.match(code[at:].strip()) else None
 
 
+_NAME_ALONE = re.compile(r"^@{0,2}[a-z_]\w*$")
+
+
+def result_chain(said: str, code: str) -> dict | None:
+    """What a method's last statement gives, as a chain of calls, maybe none on a variable; null for what isn't one."""
+    m = re.match(r"^return\b\s*", code)
+    said, code = (said[m.end() :], code[m.end() :]) if m else (said, code)
+    if re.search(r"\b(?:if|unless|while|until|rescue|and|or)\b", code):
+        return None
+    if _NAME_ALONE.match(code) and code not in _WORDS:
+        return {"receiver": code, "known": None, "methods": []}
+    chain = call_chain(said, code)
+    if chain and (chain["methods"] != ["new"] or not (chain["receiver"] or "")[:1].isupper()):
+        return chain
+    kind = literal_type(said)
+    return {"receiver": None, "known": kind, "methods": []} if kind else None
+
+
 def _parameters(text: str) -> list[dict]:
     rows = []
     for i, p in enumerate(_outer(text)):
+        if re.match(r"^(\*\*nil|\.\.\.)$", p):  # takes or passes on arguments without a name
+            continue
         m = re.match(r"^(\*\*|\*|&)?(\w*)\s*(:|=)?\s*(.*)$", p)
         kind = {"**": "keyword_rest", "*": "rest", "&": "block"}.get(m[1]) or ("keyword" if m[3] == ":" else "optional" if m[3] == "=" else "required")
-        rows.append({"position": i, "name": m[2] or "_", "kind": kind, "type_hint": literal_type(m[4]) if m[4] else None, "confidence": 0})
+        rows.append({"position": i, "name": m[2] or m[1] or "_", "kind": kind, "type_hint": literal_type(m[4]) if m[4] else None, "confidence": 0})
     return rows
 
 
@@ -507,6 +527,8 @@ _DEF_HEAD = re.compile(r"^(?:(private|public|protected|module_function|private_c
 _BARE_VISIBILITY = re.compile(r"^(private|public|protected|module_function)\s*$")
 _NAMED_VISIBILITY = re.compile(r"^(private|public|protected|private_class_method|module_function)\s*\(?\s*([:\"'%\[].*?)\)?$", re.S)
 _BODY_CALL = re.compile(r"^(\w+[?!]?)\s*\(?\s*(.*?)\s*\)?(?:\s*\bdo\b.*|(?<=[\w)\]?!\"'])\s*\{.*)?$", re.S)
+#: Names that a pattern binds: alone, after a class and an arrow, after a star, or as a key without a value.
+_CAPTURE = re.compile(r"(?:([A-Z][\w:]*)\s*=>\s*)?(?<![\w.:@$^?!])([a-z_]\w*)(?:(?=:\s*(?:[,}\])]|$))|(?![\w?!(.:]))")
 _ASSIGN = re.compile(r"^(@@?\w+|\$\w+|[a-z_]\w*)\s*(\|\||&&|\*\*|<<|>>|[+\-*/%|&^])?=\s*(?![=~>])(.+)$", re.S)
 
 
@@ -535,6 +557,7 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
     symbols, params, variables, refs, mixins, marks, calls = [], [], [], [], [], [], []
     stack: list[list] = []  # [kind, qualified name, index of symbol, visibility]
     scope, sig = 0, ""
+    results: dict[int, tuple[str, str, int]] = {}  # of methods the text and code of what they end with, and its line
     for st in statements(text):
         said, code = st.said, st.code
         n, col = st.place(0)
@@ -542,6 +565,7 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
         owner = next((s for s in reversed(stack) if s[0] in ("class", "module")), None)
         inside = next((s for s in reversed(stack) if s[0] in ("class", "module", "def", "singleton")), None)
         events = openings(code)
+        here = next((s[4] for s in reversed(stack) if s[0] == "def"), 0)
 
         def make(name, kind, **more):
             symbols.append({"name": name, "kind": kind, "line": n, "col": col, "end_line": n, "parent_name": owner and owner[1], "visibility": "public", "doc": doc} | more)  # noqa: B023
@@ -549,7 +573,7 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
 
         def bind(name, kind, confidence, at, block=False):
             line, column = st.place(at)  # noqa: B023
-            variables.append({"name": name, "line": line, "col": column, "type_hint": kind, "confidence": confidence, "scope_id": None if name[0] in "@$" else scope, "symbol": owner[2] if owner and name.startswith("@") and not name.startswith("@@") else None, "is_block_param": block})  # noqa: B023
+            variables.append({"name": name, "line": line, "col": column, "type_hint": kind, "confidence": confidence, "scope_id": None if name[0] in "@$" else here, "symbol": owner[2] if owner and name.startswith("@") and not name.startswith("@@") else None, "is_block_param": block})  # noqa: B023
 
         pushed = None
         if m := re.match(r"^(class|module)\s+([A-Z][\w:]*)(?:\s*<\s*([\w:]+))?", code):
@@ -578,14 +602,22 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
             by_tag, tagged = _tags(doc)
             by_sig, declared = _sorbet(sig) if sig else ({}, None)
             sig = ""
-            at = make(name, kind, visibility=level, return_type=declared or (literal_type(value) if value else None) or tagged)
+            ends = result_chain(value, code[said.rfind(value) :]) if value else None
+            at = make(name, kind, visibility=level, return_type=declared or (ends["known"] if ends and not ends["methods"] else None) or tagged)
             marks.append((*st.place(m.start(3)), len(name), 1))
+            if value and symbols[at]["return_type"] is None:
+                results[at] = (value, code[said.rfind(value) :], n)
             for p in _parameters(re.sub(r"\s+", " ", shown)):
                 hint = by_sig.get(p["name"]) or by_tag.get(p["name"])
                 params.append(p | {"symbol": at} | ({"type_hint": hint, "confidence": 90} if hint else {}))
             scope += 1
-            pushed = ["def", name, at, "public"]
-            code_rest = len(code) if value is None else said.rfind(value)
+            pushed = ["def", name, at, "public", scope, None]
+            here = scope
+            body = m.start(4) + len(shown) + 2 if m[4].startswith("(") else len(code)
+            inline = value is None and re.match(r"\s*(\S.*?)\s*\bend$", code[body:], re.S)
+            code_rest = said.rfind(value) if value is not None else body + inline.start(1) if inline else len(code)
+            if inline:
+                pushed[5] = (said[code_rest : body + inline.end(1)], inline[1], n)
         else:
             code_rest = 0
             if m := _BARE_VISIBILITY.match(code):
@@ -646,20 +678,38 @@ def parse_ruby(text: str) -> dict[str, list[dict]]:
                 bind(m[2], " | ".join(_outer(m[1])) or "StandardError", 80, code_rest + m.start(2))
             if m := re.search(r"^(?:if|elsif)\s+([a-z_]\w*)\.(?:is_a\?|kind_of\?|instance_of\?)\s*\(?\s*([A-Z][\w:]*)", body_code):
                 bind(m[1], m[2], 85, code_rest + m.start(1))
-            if m := re.search(r"^in\s+([A-Z][\w:]*)\s*=>\s*([a-z_]\w*)", body_code):
-                bind(m[2], m[1], 85, code_rest + m.start(2))
-        _calls(st, assigned, scope, refs, marks)
+            if m := re.match(r"^in\s(.*?)(?=\b(?:if|unless|then)\b|$)", body_code, re.S):
+                for x in _CAPTURE.finditer(m[1]):
+                    if x[2] not in _WORDS:
+                        bind(x[2], x[1], 85 if x[1] else 0, code_rest + m.start(1) + x.start(2))
+                assigned = code_rest + m.end()
+        if not re.match(r"^alias\s", code):
+            _calls(st, assigned, here, refs, marks)
+        if pushed is None and stack and code != "end":
+            method = next((s for s in reversed(stack) if s[0] == "def"), None)
+            if method and method[5] is not False:
+                plain = method is stack[-1] and not events
+                never = method is stack[-1] and re.match(r"^(?:rescue|else|ensure)\b", code)
+                method[5] = False if never else (said, code, n) if plain else None
         for word in events:
             if word == "end":
                 if stack:
                     top = stack.pop()
                     if top[2] is not None:
                         symbols[top[2]]["end_line"] = st.place(len(code) - 1)[0]
+                    if top[0] == "def" and top[5] and symbols[top[2]]["return_type"] is None:
+                        results[top[2]] = top[5]
             elif pushed is not None and (word == pushed[0] or word in ("class", "def", "module") or pushed[0] == "class" and word == "block"):
                 stack.append(pushed)
                 pushed = None
             else:
                 stack.append(["block", "", None, "public"])
+    for at, (said, code, line) in sorted(results.items()):
+        chain = result_chain(said, code)
+        if chain and chain["known"] and not chain["methods"]:
+            symbols[at]["return_type"] = chain["known"]
+        elif chain:
+            calls.append(chain | {"name": symbols[at]["name"], "line": line, "col": symbols[at]["col"], "block": None, "symbol": at})
     tokens = [{"line": line - 1, "col": c, "len": size, "type": kind, "mods": 0} for line, c, size, kind in sorted(set(marks))]
     return {"symbols": symbols, "params": params, "local_vars": variables, "refs": refs, "mixins": mixins, "tokens": tokens, "calls": calls}
 
@@ -713,8 +763,29 @@ _CONSTANT = re.compile(r"(?<![\w:@$.])([A-Z]\w*(?:::[A-Z]\w*)*)(?!\w*\s*[:](?!:)
 
 def _calls(st, start: int, scope: int, refs: list[dict], marks: list) -> None:
     """References in a statement from a place on: calls with their number of arguments and known receivers, and constants."""
-    code, said = st.code, st.said
-    head = re.match(r"^(?:(?:private|public|protected|module_function|private_class_method)\s+)?(?:class|module|def)\s+(?:self\.)?\S+?(?=[\s(;]|$)", code)
+    _calls_in(st, st.said, st.code, 0, start, scope, refs, marks)
+
+
+def interpolated(said: str, code: str):
+    """(place, text) of the code in interpolations of quoted texts."""
+    at = 0
+    while (at := said.find("#{", at)) >= 0:
+        opener = code[:at].rstrip(" ")[-1:]
+        if code[at] == " " and opener in ('"', "`", "/"):
+            deep, k = 1, at + 2
+            while k < len(said) and deep:
+                deep += (said[k] == "{") - (said[k] == "}")
+                k += 1
+            yield at + 2, said[at + 2 : k - (not deep)]
+            at = k
+        else:
+            at += 2
+
+
+def _calls_in(st, said: str, code: str, base: int, start: int, scope: int, refs: list[dict], marks: list) -> None:
+    for at, inner in interpolated(said, code):
+        _calls_in(st, inner, cover(inner), base + at, 0, scope, refs, marks)
+    head = None if base else re.match(r"^(?:(?:private|public|protected|module_function|private_class_method)\s+)?(?:class|module|def)\s+(?:self\.)?\S+?(?=[\s(;]|$)", code)
     start = max(start, head.end() if head else 0)
     for m in _SEND.finditer(code, start):
         at = m.start(2)
@@ -730,11 +801,14 @@ def _calls(st, start: int, scope: int, refs: list[dict], marks: list) -> None:
             given = len(_outer(said[m.end() : end - 1]))
         elif re.match(r"\s+(?:[:\"'\[@$]|[A-Za-z_0-9])", code[m.end() :]) and not re.match(r"\s+(?:if|unless|while|until|and|or|do|then|in|rescue)\b|\s+[:?]\s", code[m.end() :]):
             given = len(_outer(re.split(r"\s+(?:do|if|unless|while|until|rescue)\b", said[m.end() :])[0]))
-        line, column = st.place(at)
+        if m[1] and m[1][0] not in "@" and not m[1][0].isupper() and m[1] not in _WORDS:
+            line, column = st.place(base + m.start(1))
+            refs.append({"name": m[1], "line": line, "col": column, "scope_id": scope or None, "arg_count": 0, "receiver_type": None})
+        line, column = st.place(base + at)
         refs.append({"name": m[2], "line": line, "col": column, "scope_id": scope or None, "arg_count": given, "receiver_type": m[1] if m[1] and m[1][0].isupper() and not m[1].isupper() else None})
         marks.append((line, column, len(m[2]), 1 if m[3] or given or before == "." else 2))
     for m in _CONSTANT.finditer(code, start):
-        line, column = st.place(m.start(1))
+        line, column = st.place(base + m.start(1))
         refs.append({"name": m[1], "line": line, "col": column, "scope_id": scope or None, "arg_count": 0, "receiver_type": None})
         marks.append((line, column, len(m[1]), 0))
 
