@@ -37,7 +37,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _METHODS = """SELECT o_orderkey AS id, CAST(floor(o_orderkey / 40.0) AS BIGINT) AS file_id, 'm' || CAST(o_orderkey AS VARCHAR(20)) AS name, 'classdef' AS kind, 1 AS line, 0 AS col, 1 AS end_line,
     CASE WHEN {open} THEN NULL ELSE 'T' || CAST(o_custkey AS VARCHAR(20)) END AS return_type, 'K' || CAST(o_orderkey AS VARCHAR(20)) AS parent_name, 'public' AS visibility FROM {orders}"""
-_OPEN = "o_orderpriority = '5-LOW' AND o_orderstatus <> 'P'"
+_OPEN = "o_orderpriority = '5-LOW' AND o_orderstatus = 'O' AND o_totalprice < 150000"
 _VARIABLES = "SELECT l_orderkey + 1000000000 AS file_id, 'x' || CAST(l_linenumber AS VARCHAR(20)) AS name, l_linenumber AS line, CAST(l_partkey AS INT) AS col, CAST(NULL AS STRING) AS type_hint, 0 AS confidence, false AS is_block_param FROM {lineitem}"
 _CALLS = f"""SELECT CAST(floor(o_orderkey / 40.0) AS BIGINT) AS file_id, 'm' || CAST(o_orderkey AS STRING) AS name, 1 AS line, 0 AS col, 'K' || CAST(o_orderkey - 1 AS STRING) AS receiver, array('m' || CAST(o_orderkey - 1 AS STRING)) AS methods, o_orderkey AS symbol_id FROM {{orders}} WHERE {_OPEN}
     UNION ALL SELECT l_orderkey + 1000000000, 'x' || CAST(l_linenumber AS STRING), l_linenumber, CAST(l_partkey AS INT), 'K' || CAST(l_orderkey AS STRING), array('m' || CAST(l_orderkey AS STRING)), NULL FROM {{lineitem}}"""
@@ -231,7 +231,7 @@ _SCHEMA_LINES = """SELECT CAST(n_nationkey AS BIGINT) AS file_id, 3 * n_nationke
     UNION ALL SELECT CAST(n_nationkey AS BIGINT), 3 * n_nationkey + 3, '  end', n_nationkey FROM {nation}"""
 
 
-@query("x8_schema_columns", "SELECT CAST(n_nationkey AS BIGINT) AS file_id, lower(n_name) || '_boxes' AS \"table\", 'Nation' || n_nationkey || 'Boxe' AS model, CASE WHEN n_regionkey < 2 THEN 'title' WHEN n_regionkey = 2 THEN 'price' ELSE 'done' END AS \"column\", CASE WHEN n_regionkey < 2 THEN 'String' WHEN n_regionkey = 2 THEN 'BigDecimal' ELSE 'TrueClass | FalseClass' END AS type, 3 * n_nationkey + 2 AS line FROM nation WHERE n_regionkey < 4")
+@query("x8_schema_columns", "SELECT CAST(n_nationkey AS BIGINT) AS file_id, lower(n_name) || '_boxes' AS \"table\", 'Nation' || n_nationkey || 'Boxe' AS model, CASE WHEN n_regionkey < 2 THEN 'title' WHEN n_regionkey = 2 THEN 'price' ELSE 'done' END AS \"column\", CASE WHEN n_regionkey < 2 THEN 'String' WHEN n_regionkey = 2 THEN 'Float' ELSE 'TrueClass | FalseClass' END AS type, 3 * n_nationkey + 2 AS line FROM nation WHERE n_regionkey < 4")
 def schema_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.schema_columns(spark.sql(_SCHEMA_LINES, nation=read(spark, sf_dir, "nation")).drop("n_nationkey"))
 
@@ -322,8 +322,8 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f21_places_of_offsets",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, strlen(text) * 3 // 5 AS n FROM documents WHERE text IS NOT NULL),
-    s AS (SELECT *, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM l)
-    SELECT doc_id, CAST(max(i) AS INT) AS line, CAST(max_by(least(n - at, strlen(t)), i) AS INT) AS col FROM s WHERE at <= n GROUP BY doc_id""",
+    s AS (SELECT *, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM l)
+    SELECT doc_id, CAST(max(i) AS INT) AS line, CAST(max_by(least(n - gone, strlen(t)), i) AS INT) AS col FROM s WHERE gone <= n GROUP BY doc_id""",
 )
 def places_of_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").where("text IS NOT NULL")

@@ -189,3 +189,53 @@ def test_files_are_parsed_once_and_scans_open_only_what_they_want(spark, tmp_pat
     at = facts.files.where("path = 'app/a.rb'").first()["id"]
     placed = tokens.decode(facts.sem_tokens).where(f"file_id = {at}").select("line", "col", "len").collect()
     assert sorted(map(tuple, placed)) >= [(0, 6, 1), (1, 6, 1)]
+
+
+WHOLE = """class A
+  def p1() = 1
+  call_me
+  def q; end
+  other
+  def n(o) o end
+  def c(...) d(...) end
+  alias q1 p1
+  def k(a, *, **nil, &)
+    puts "hi #{a.name} #{y("x #{z}")} #{1}", 'no #{w1}'
+    case a
+    in {n: String => s, age:} if s.ok?
+      s
+    in [Integer => i, *rest]
+      i
+    end
+  end
+end
+"""
+
+
+def test_scopes_end_with_their_methods_and_one_line_bodies_count():
+    got = parsers.parse_ruby(WHOLE)
+    scope = {r["name"]: r.get("scope_id") for r in got["refs"]}
+    assert scope["call_me"] is None and scope["other"] is None and scope["o"] == 3 and scope["d"] == 4
+    assert "q1" not in scope and scope["p1"] is None
+
+
+def test_parameters_without_names():
+    rows = parsers.parse_ruby(WHOLE)["params"]
+    assert [(p["name"], p["kind"]) for p in rows] == [("o", "required"), ("a", "required"), ("*", "rest"), ("&", "block")]
+
+
+def test_interpolations_and_patterns():
+    got = parsers.parse_ruby(WHOLE)
+    lines = WHOLE.split("\n")
+    assert all(lines[r["line"] - 1][r["col"] :].startswith(r["name"]) for r in got["refs"])
+    names = {r["name"] for r in got["refs"] if r["line"] == 10}
+    assert names == {"puts", "a", "name", "y", "z"}
+    assert [(v["name"], v["type_hint"]) for v in got["local_vars"]] == [("s", "String"), ("age", None), ("i", "Integer"), ("rest", None)]
+    assert [(r["name"], r["line"]) for r in got["refs"] if r["line"] in (12, 14)] == [("s", 12), ("ok?", 12)]
+
+
+def test_what_methods_end_with():
+    code = "class A\n  def a\n    1\n  end\n  def b = A.new.a\n  def c\n    x = 1\n    x.to_s\n  end\n  def d\n    if x\n      1\n    end\n  end\n  def e\n    2\n  rescue\n    3\n  end\n  def f; return A.new; end\n  def g\n    y if z\n  end\nend\n"
+    got = parsers.parse_ruby(code)
+    assert {s["name"]: s.get("return_type") for s in got["symbols"]} == {"A": None, "a": "Integer", "b": None, "c": None, "d": None, "e": None, "f": "A", "g": None}
+    assert [(c["name"], c["receiver"], c["methods"]) for c in got["calls"] if "symbol" in c] == [("b", "A", ["new", "a"]), ("c", "x", ["to_s"])]
