@@ -56,11 +56,11 @@ def prepare_call(f: Facts, name: str) -> DataFrame:
 
 
 def incoming_calls(f: Facts, name: str, limit: int = 100) -> DataFrame:
-    """References of a method, each with the latest method of its file that begins at or before it, or the file's name."""
+    """References of a method, each with the latest method of its file that begins at or before it and its kind, or the file's name."""
     rows = R.page(f.refs.where(F.col("name") == name).join(f.paths(), "file_id").select("file_id", "path", "line", "col"), ["path", "line", "col"], limit)
-    defs = f.symbols.where(F.col("kind").isin(*METHOD_KINDS, "test")).join(rows.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "line", F.col("name").alias("def_name"), F.col("line").alias("def_line"))
-    seen = R.asof_last(rows, defs, ["file_id"], "line", ["def_name", "def_line"])
-    return seen.select("path", "line", "col", F.coalesce("def_name", F.element_at(F.split("path", "/"), -1)).alias("caller"), "def_line").orderBy("path", "line", "col")
+    defs = f.symbols.where(F.col("kind").isin(*METHOD_KINDS, "test")).join(rows.select("file_id").distinct(), "file_id", "left_semi").select("file_id", "line", F.col("name").alias("def_name"), F.col("line").alias("def_line"), F.col("kind").alias("def_kind"))
+    seen = R.asof_last(rows, defs, ["file_id"], "line", ["def_name", "def_line", "def_kind"])
+    return seen.select("path", "line", "col", F.coalesce("def_name", F.element_at(F.split("path", "/"), -1)).alias("caller"), F.col("def_kind").alias("caller_kind"), "def_line").orderBy("path", "line", "col")
 
 
 def outgoing_calls(f: Facts, path: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ VARIABLE_SIGILS = ("@", "$")
 def workspace_symbols(f: Facts, query: str, kind: str | None = None, offset: int = 0, limit: int = 500) -> DataFrame:
     """Symbols whose name contains the query, wildcards of LIKE included; ordered by name."""
     hit = f.symbols.where(R.like_ascii("name", f"%{query}%") & R.optional("kind", kind))
-    out = hit.join(f.paths(), "file_id").select("name", "kind", "path", "line", "col", present("return_type").alias("return_type"))
+    out = hit.join(f.paths(), "file_id").select("name", "kind", "path", "line", "col", present("parent_name").alias("parent_name"), present("return_type").alias("return_type"))
     return R.page(out, ["name", "path", "line", "col"], limit, offset)
 
 

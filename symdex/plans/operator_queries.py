@@ -70,7 +70,7 @@ ask(
 for _key, _tool, _name, _at in (("a4_find_callers", "find_callers", "large_gear", 0), ("a4_find_callers_second_page", "find_callers", "x", 200), ("a20_find_references", "find_references", "validates", 20)):
     ask(_key, _tool, _sql(_PAGE_REFS, name=_name, offset=_at), offset=_at, **({"method": _name, "owner": "C1"} if _tool == "find_callers" else {"name": _name}))
 ask("a5_find_implementations", "find_implementations", "SELECT DISTINCT coalesce(parent_name, '<top-level>') AS owner, path, line, return_type FROM symbols s JOIN files f ON f.id = file_id WHERE name = 'large_gear' AND kind IN ('def', 'classdef') ORDER BY owner, path, line, return_type NULLS FIRST LIMIT 100", method="large_gear")
-_SYMBOLS = "SELECT name, kind, path, line, col, return_type FROM symbols s JOIN files f ON f.id = file_id WHERE translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%$q%' $kind ORDER BY name, path, line, col LIMIT 500 OFFSET $at"
+_SYMBOLS = "SELECT name, kind, path, line, col, parent_name, return_type FROM symbols s JOIN files f ON f.id = file_id WHERE translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%$q%' $kind ORDER BY name, path, line, col LIMIT 500 OFFSET $at"
 ask("a6_workspace_symbols", "workspace_symbols", _SYMBOLS.replace("$q", "bolt_1").replace("$kind", "").replace("$at", "3"), query="BOLT_1", offset=3)
 ask("a6_find_symbol", "find_symbol", _SYMBOLS.replace("$q", "red_").replace("$kind", "AND kind = 'association'").replace("$at", "0"), query="red_", kind="association")
 ask("a6_search_symbols", "search_symbols", _SYMBOLS.replace("$q", "m_t").replace("$kind", "").replace("$at", "0"), query="M_T")
@@ -220,8 +220,8 @@ ask("b10_subtypes", "subtypes", "SELECT name, path, line FROM symbols s JOIN fil
 ask("b11_prepare_call_hierarchy", "prepareCallHierarchy", "SELECT s.id, name, kind, path, line, col FROM symbols s JOIN files f ON f.id = file_id WHERE name = 'large_gear' ORDER BY path, line, s.id LIMIT 1", name="large_gear")
 ask(
     "b12_incoming_calls", "incomingCalls",
-    """WITH r AS (SELECT r.file_id, path, r.line, r.col FROM refs r JOIN files f ON f.id = file_id WHERE name = 'x' ORDER BY path, r.line, r.col LIMIT 100), d AS (SELECT file_id, line, max(name) AS name FROM symbols WHERE kind IN ('def', 'classdef', 'test') GROUP BY file_id, line)
-    SELECT r.path, r.line, r.col, coalesce(d.name, regexp_extract(path, '[^/]*$')) AS caller, d.line AS def_line FROM r ASOF LEFT JOIN d ON r.file_id = d.file_id AND r.line >= d.line""",
+    """WITH r AS (SELECT r.file_id, path, r.line, r.col FROM refs r JOIN files f ON f.id = file_id WHERE name = 'x' ORDER BY path, r.line, r.col LIMIT 100), d AS (SELECT file_id, line, max(name) AS name, max_by(kind, name || ' ' || kind) AS kind FROM symbols WHERE kind IN ('def', 'classdef', 'test') GROUP BY file_id, line)
+    SELECT r.path, r.line, r.col, coalesce(d.name, regexp_extract(path, '[^/]*$')) AS caller, d.kind AS caller_kind, d.line AS def_line FROM r ASOF LEFT JOIN d ON r.file_id = d.file_id AND r.line >= d.line""",
     name="x",
 )
 ask(
