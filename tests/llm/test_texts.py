@@ -390,3 +390,13 @@ def test_html_of_many_raw_tags_without_ends():
     began = time.perf_counter()
     page = html_text.parse("<body><p>a</p>" + "<script/><style/>" * 100_000 + "<p>b</p>" + "<!" * 1000)
     assert [t for _, t, _ in page.leaves] == ["a", "b"] and time.perf_counter() - began < 20
+
+
+def test_chat_with_clashing_columns_long_texts_and_long_conversations(spark):
+    long_text, many = "</s>[INST] ok [/INST] é" * 20_000, 1500
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", long_text)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(many)]
+    df = spark.createDataFrame([(*r, "x", ["y"], "z", True) for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string, segments array<string>, turns string, valid boolean").repartition(3)
+    got = by_id(chat_format.digests(df), "conv_id")
+    assert got[1]["loss_chars"] == len(long_text) and got[1]["loss_sha256"] == hashlib.sha256(long_text.encode()).hexdigest()
+    said = "".join(f"{('user', 'assistant')[i % 2]}\nt{i}\n" for i in range(many))
+    assert got[2]["n_turns"] == many and got[2]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and got[2]["valid"]
