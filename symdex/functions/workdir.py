@@ -1,13 +1,19 @@
-"""The folder that driver and executors share, for what an operator stores between its steps."""
+"""The folder that driver and executors share, for what an operator stores between its steps, and requests that own what
+they store: a request can be cancelled from elsewhere, and takes its folders with it when it ends."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that the request of this thread has stored; none outside of requests, where the caller clears the shared folder.
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the folder a session has set itself; on one machine alone one of our own, elsewhere an error."""
@@ -26,11 +32,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """The rows of df as Parquet in the shared folder, one folder for each value of the columns `by`."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/symdex/{name}-{uuid.uuid4().hex}"
+    if (mine := _folders.get()) is not None:
+        mine.append(path)  # before it is written, so that what a cancelled write leaves goes too
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, computed now and kept in the shared folder: plans that go on from here start anew."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return written(df, "stored")
+
+
+@contextmanager
+def request(spark: SparkSession, tag: str) -> Iterator[None]:
+    """What this thread runs inside is one request: its jobs have a tag, and what it stores is deleted at the end.
+
+    Rows that are to stay are collected or written to a place of the caller's inside of it.
+    """
+    mine = _folders.set([])
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _folders.get():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        _folders.reset(mine)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the jobs of a request, from any thread; its own thread gets the error of a cancelled job."""
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -45,7 +45,7 @@ ADMIN: dict[str, Callable[..., DataFrame]] = {"stats": health.stats, "kinds": he
 
 
 def run(facts: Facts, operator: str, /, **arguments) -> DataFrame:
-    """The DataFrame of a named operator; nothing is executed yet."""
+    """The DataFrame of a named operator. Its rows are not run yet; a hierarchy or index that it needs is made and stored if the facts have none."""
     for table in (TOOLS, EDITOR, ADMIN):
         if operator in table:
             return table[operator](facts, **arguments)

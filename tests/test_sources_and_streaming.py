@@ -134,3 +134,16 @@ def test_gate_state_stays_small(spark, tmp_path, monkeypatch):
     assert seen == [("old", 5), *[(f"u{i % 2}", i + 5) for i in range(1, 9)]]
     folders = [os.listdir(f"{state}/{k}") for k in ("snapshots", "changes")]
     assert len(folders[0]) <= 2 and len(folders[1]) <= 7
+
+
+def test_index_command_stores_derived_tables(spark, tmp_path):
+    from symdex import __main__ as command
+    from symdex.facts import Facts
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.rb").write_text("class A < B\n  def go\n    'x'.upcase\n  end\nend\nclass B; end\n")
+    assert command.main(["index", str(tmp_path / "facts"), str(tmp_path / "src"), "--core"]) == 0
+    f = Facts.load(spark, str(tmp_path / "facts"))
+    assert f.has("reach") and f.has("trigrams") and ("A", "B") in {(r["root"], r["node"]) for r in f.reach.where("via = 'all'").collect()}
+    assert f.files.where("is_gem").count() > 5 and f.symbols.where("name = 'go'").first()["return_type"] == "String"
+    assert command.main(["index", str(tmp_path / "facts")]) == 2 and command.main(["index", "a", "b", "--other"]) == 2
