@@ -15,3 +15,11 @@ def test_type_chain_is_of_the_line_and_of_all_files_of_the_path(spark):
     assert got(3, 0) == [("x", 3, "Float"), ("x", 8, "String")]
     assert got(3, 9) == []  # a variable without a type is the nearest
     assert got(5, 2) == []  # no variable on the line
+
+
+def test_associations_of_equal_order_come_by_id(spark):
+    row = lambda i, target: dict(id=i, file_id=1, name="posts", kind="association", line=2, col=0, doc="has_many", parent_name="User", return_type=target)
+    rows = [row(i, "ABC"[i % 3]) for i in range(40)]
+    for given in (rows, rows[::-1], rows[20:] + rows[:20]):
+        f = Facts.from_rows(spark, symbols=given)
+        assert [r["target"] for r in lookup.association_graph(f, "User", offset=1, limit=9).collect()] == list("BCABCABCA")
