@@ -1,7 +1,7 @@
 """Places without a variable of their own, and pages whose order has ties."""
 
 from symdex.facts import Facts
-from symdex.operators import lookup
+from symdex.operators import graph, lookup
 
 
 def var(file, name, line, col, kind, sure):
@@ -23,3 +23,13 @@ def test_associations_of_equal_order_come_by_id(spark):
     for given in (rows, rows[::-1], rows[20:] + rows[:20]):
         f = Facts.from_rows(spark, symbols=given)
         assert [r["target"] for r in lookup.association_graph(f, "User", offset=1, limit=9).collect()] == list("BCABCABCA")
+
+
+def test_members_of_all_classes_are_found_once_for_those_of_one_lookup_order(spark):
+    classes = [dict(id=100 + i, file_id=1, name=f"K{i}", kind="class", line=1, col=0, parent_name="Base", visibility="public") for i in range(30)]
+    methods = [dict(id=i, file_id=1, name=n, kind="def", line=i, col=0, parent_name=owner, return_type=f"T{i}", visibility="public") for i, (owner, n) in enumerate([("Base", "a"), ("Base", "a"), ("Base", "b"), ("K7", "b"), ("K7", "b")], 1)]
+    df = graph.complete_all_dots(Facts.from_rows(spark, symbols=classes + methods))
+    want = {(c, n): "T1" if n == "a" else "T4" if c == "K7" else "T3" for c in ["Base", *(f"K{i}" for i in range(30))] for n in "ab"}
+    got = df.collect()
+    assert {(r["cls"], r["name"]): r["return_type"] for r in got} == want and len(got) == len(want)
+    assert "windowspecdefinition(cls" not in df._jdf.queryExecution().optimizedPlan().toString()  # no sort of classes times definitions
