@@ -1,8 +1,8 @@
 r"""Operator 12: how far the word use of each source of a language is from that of each other source, and which words make it so.
 
 1. One pass over the texts counts terms by (lang, source) and the texts that hold them; a task adds up what it reads
-   in a table of a bounded size before anything is shuffled. Counts of a (lang, source, term) are summed, then those of
-   a (lang, term), whose list of (source, count) has one entry for each source that uses the term.
+   in a table of a bounded size before anything is shuffled, once, by (lang, term). Counts of a (lang, source, term) are
+   summed, then those of a (lang, term), whose list of (source, count) has one entry for each source that uses the term.
 2. Terms with the same list are one row with a multiplicity. From these rows each two sources that share a term get
    their joint histogram: distinct (count, count) combinations with the number of terms that have them. Combinations
    in which one count or both are 0 are implied: they follow from each source's own histogram, the joint one and the
@@ -24,14 +24,14 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from symdex.llm.shared import Workspace, bytes_of, slices, table
 
 #: Terms that a task holds before it gives them out, and bytes of a text that are split at once.
-HELD_TERMS, PIECE = 1 << 18, 1 << 22
+HELD_TERMS, PIECE = 1 << 19, 1 << 22
 #: Bytes of terms as they are, A-Z in lower case, all others as spaces.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SCALE = 1_000_000_000
@@ -48,15 +48,19 @@ def pieces(text: bytes, size: int = PIECE):
         at = end
 
 
+def _group(docs: DataFrame, lang: str, source: str) -> list[Column]:
+    return [F.coalesce(docs[c].cast("string"), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"))]
+
+
 def term_counts(docs: DataFrame, lang: str, source: str, text: str, held: int = HELD_TERMS) -> DataFrame:
-    """(lang, source, term, n, docs): partial counts, several rows a term. Each group also has rows with a null term."""
+    """(lang, source, term, n, docs): partial counts, several rows a term."""
 
     def run(batches):
         seen: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
         def given():
-            rows = [(*g, t, c, own[t]) for g, (n, own) in seen.items() for t, c in n.items()] + [(*g, None, 0, 0) for g in seen]
+            rows = [(*g, t, c, own[t]) for g, (n, own) in seen.items() for t, c in n.items()]
             seen.clear()
             for i in range(0, len(rows), 20_000):
                 cut = zip(*rows[i : i + 20_000], strict=True)
@@ -80,9 +84,7 @@ def term_counts(docs: DataFrame, lang: str, source: str, text: str, held: int =
                         size = 0
         yield from given()
 
-    empty = F.lit("")
-    rows = docs.select(F.coalesce(docs[lang].cast("string"), empty).alias("lang"), F.coalesce(docs[source].cast("string"), empty).alias("source"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+    return docs.select(*_group(docs, lang, source), docs[text].alias("text")).mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def _p(count: str, total: str, size: str) -> str:
@@ -124,15 +126,15 @@ def joint_histograms(lists: DataFrame, groups: DataFrame) -> DataFrame:
 def divergence(spark: SparkSession, docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = 3, top: int = 200) -> DataFrame:
     """(lang, source, part, item, value, rank): part `pair` has each other source of the language, part `term` the source's `top` most telling terms."""
     work = Workspace(spark, "divergence")
-    counts = work.write(term_counts(docs, lang, source, text).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    by_term = counts.where("term IS NOT NULL").groupBy("lang", "term")
-    kept = by_term.agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by_source")).where(F.col("docs") >= min_docs)
+    # moved once, by (lang, term): both sums are made where the rows are then
+    counts = term_counts(docs, lang, source, text).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("by_source")).where(F.col("docs") >= min_docs)
     kept = work.write(kept.drop("docs"), "kept")
 
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("n_lang"))
     uses = kept.select("lang", "term", "total", F.explode("by_source").alias("x")).select("lang", "term", "total", "x.*")
     sizes = uses.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = counts.where("term IS NULL").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = docs.select(*_group(docs, lang, source)).distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = work.write(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "n_lang")]), "groups")
 
     of_group = groups.select("lang", "source", F.col("n").alias("n_group"), "v", "n_lang")
