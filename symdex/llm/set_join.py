@@ -7,7 +7,8 @@
 2. Texts with equal sets are one class. Two sets that reach the threshold share a shingle of their prefixes (the first
    n - ceil(t * n) + 1 in the order). Each two classes of a bucket (those with one prefix shingle) of up to SMALL classes
    are candidates if sizes, places and parity bitmaps don't rule it out; classes of a larger bucket are held together by
-   its first one. Families are the components of candidates; only their sets are made again and moved.
+   its first one. Families are the components of candidates; only their sets are made again and moved. Their texts are
+   picked by a bitmap of hashed ids, which has at most 2^FILTER_BITS bits at any size, so that no text is ever moved.
 3. Families are dealt to blocks of a bounded number of shingles. A block has an inverted list for each shingle, in stretches
    of one place in the set, by size in a stretch. A set that leads reads the lists of its own prefix and skips each
    stretch that place and size rule out (index-level skipping), then counts exactly what it shares with the candidates.
@@ -20,6 +21,8 @@
 5. Links, at most one for each set and component that a block finds, become components by large-star and small-star
    contraction.
 
+What is stored is deleted after its last use, and what a stored table was shuffled from as soon as it is stored.
+
 No pair in the threshold is missed: filters are necessary conditions, and nothing is capped. Shingles are compared by
 64-bit hashes; two different ones of a pair of texts with a million shingles each agree by chance with a probability
 below 1e-7.
@@ -32,6 +35,7 @@ are not looked at. The key is of an integer type and keeps it; keys of other typ
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +52,8 @@ from symdex.llm.wordhash import U, mix
 SKETCH_BITS = 22
 #: Bits of a row of the sketch, and rows to a counter that are summed apart before the last sum.
 _CHUNK_BITS, _SALTS = 16, 16
+#: Bits of the bitmap of ids by which texts are picked.
+FILTER_BITS = 26
 #: Classes of a bucket up to which each two are looked at by themselves.
 SMALL = 8
 #: Shingles to a block of a search.
@@ -58,6 +64,16 @@ BITMAP_WORDS = 16
 FOLLOW = 12
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each that hold the largest, compressed."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+
+def unpacked(x: bytes, width: int) -> np.ndarray:
+    raw = zlib.decompress(x)
+    return np.frombuffer(raw, f"<u{len(raw) // width}").astype(np.uint64)
+
+
 def rarity(docs: DataFrame, work: Workspace, shingle: int, bits: int = SKETCH_BITS) -> bytes:
     """A byte for each value of a hash's first bits: how many texts hold such a shingle, in eighths of a power of two."""
     chunks = max(0, bits - _CHUNK_BITS)
@@ -74,23 +90,21 @@ def rarity(docs: DataFrame, work: Workspace, shingle: int, bits: int = SKETCH_BI
             salt = TaskContext.get().partitionId() % _SALTS
             for c, chunk in enumerate(counts.reshape(-1, width)):
                 if chunk.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([salt], pa.int32()), pa.array([chunk.astype("<u8").tobytes()], pa.binary())], ["c", "s", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([salt], pa.int32()), pa.array([packed(chunk)], pa.binary())], ["c", "s", "counts"])
 
-    def add(batches) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for c, s, x in zip(*(batch.column(k) for k in range(3)), strict=True):
-                key, x = (c.as_py(), s.as_py()), np.frombuffer(x.as_buffer(), "<u8")
-                sums[key] = sums[key] + x if key in sums else x
-        for (c, s), x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["c", "s", "counts"])
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint64)
+        for x in rows.column("counts"):
+            total += unpacked(x.as_py(), width)
+        return rows.slice(0, 1).select(["c", "s"]).append_column("counts", pa.array([packed(total)], pa.binary()))
 
     schema = "c int, s int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition("c", "s").mapInArrow(add, schema)
-    whole = work.write(parts.withColumn("s", F.lit(0)).repartition("c").mapInArrow(add, schema), "rarity")
+    parts = docs.select("text").mapInArrow(count, schema).groupBy("c", "s").applyInArrow(add, schema)
+    whole = work.write(parts.groupBy("c").applyInArrow(add, schema), "rarity")
     out = np.zeros((1 << chunks, width), np.uint8)
     for row in whole.collect():
-        out[row["c"]] = np.minimum(8 * np.log2(np.frombuffer(row["counts"], "<u8") + 1.0), 255)
+        out[row["c"]] = np.minimum(8 * np.log2(unpacked(row["counts"], width) + 1.0), 255)
+    work.drop(whole)
     return out.tobytes()
 
 
@@ -152,6 +166,15 @@ def _ordered_sets(docs: DataFrame, levels, shingle: int) -> DataFrame:
     return map_texts(docs, "text", make, "id bigint, h1 bigint, h2 bigint, shingles array<bigint>")
 
 
+def picked(docs: DataFrame, ids: DataFrame, work: Workspace) -> DataFrame:
+    """Rows of docs of the given ids, and a few others: those whose hash hits a bitmap of them, which is sent to the rows."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    mask = lambda b: F.expr(f"shiftleft(1L, cast({b} & 63 AS int))")
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(mask("bit")).alias("bits"))
+    words = work.write(words, "filter")
+    return docs.withColumn("bit", bit).withColumn("word", F.shiftright("bit", 6)).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(mask("bit")) != 0).select(*docs.columns)
+
+
 def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     """low, low + 1, ... for each low, n of them."""
     return np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
@@ -348,14 +371,17 @@ def candidates(classes: DataFrame, work: Workspace, threshold: int) -> tuple[Dat
     members = work.write(tokens.join(buckets, "k").select("k", "node", "n", "pos", "size", "pivot"), "members")
     small = members.where(F.col("size") <= SMALL).select("k", "node", "n", "pos")
     other = small.select("k", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos")])
-    pairs = work.write(small.join(other, "k").where(F.col("node") < F.col("node2")).where(_size_and_place(threshold)).select("node", "node2", "n", "n2").distinct(), "pairs")
+    small_pairs = work.write(small.join(other, "k").where(F.col("node") < F.col("node2")).where(_size_and_place(threshold)).select("node", "node2", "n", "n2").distinct(), "pairs")
     bits = classes.select("node", "bits")
-    pairs = pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
+    pairs = small_pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
     differ = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(BITMAP_WORDS))
     near = pairs.where(f"{100 + threshold} * (n + n2 - ({differ})) >= {2 * threshold} * (n + n2)").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    large = members.where(F.col("size") > SMALL)
+    large = work.write(members.where(F.col("size") > SMALL).select("k", "node", "n", "pivot"), "large")
     edges = near.unionByName(large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    return work.write(edges, "edges"), large.select("k", "node", "n")
+    edges = work.write(edges, "edges")
+    for done in (buckets, members, small_pairs):
+        work.drop(done)
+    return edges, large.select("k", "node", "n")
 
 
 def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, sets: DataFrame, work: Workspace, threshold: int) -> DataFrame:
@@ -385,28 +411,27 @@ def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, sets: DataFrame,
     return found.unionByName(work.write(more, "wide-links"))
 
 
-def links(docs: DataFrame, classes: DataFrame, levels, work: Workspace, shingle: int, threshold: int, block: int) -> DataFrame:
-    """Links (a, b) between classes (node, n, h1, h2, id, bits, prefix) that connect every component; `docs` is (id, text)."""
-    edges, large = candidates(classes, work, threshold)
+def links(docs: DataFrame, classes: DataFrame, edges: DataFrame, large: DataFrame, levels, work: Workspace, shingle: int, threshold: int, block: int) -> DataFrame:
+    """Links (a, b) between classes (node, n, h1, h2, id) that connect every component of their candidates; `docs` is (id, text)."""
     families = components(edges, work)
     families = families.unionByName(families.select(F.col("component").alias("id"), "component").distinct())
     families = families.select(F.col("id").alias("node"), F.col("component").alias("family"))
-    rows = work.write(families.join(classes.select("node", "n", "h1", "h2", "id"), "node"), "families")
-    # stored first, so that its size is known: a small one is sent to the texts, and only a large one moves them
-    ids = work.write(rows.select("id").distinct(), "ids")
-    sets = _ordered_sets(docs.join(ids, "id", "left_semi"), levels, shingle)
-    sets = work.write(sets.join(rows.select("id", "h1", "h2", "node"), ["id", "h1", "h2"]).select("node", "shingles"), "sets")
+    rows = work.write(families.join(classes, "node"), "families")
     sizes = work.write(rows.groupBy("family").agg(F.sum("n").alias("s")), "sizes")
     fits = F.col("s") <= block
     total = sizes.where(fits).agg(F.sum("s")).first()[0] or 0
     bins = max(1, -(-total // block))
-    fit = rows.join(sizes.where(fits), "family").select("node", F.pmod(F.xxhash64("family"), F.lit(bins)).alias("x"))
-    found = fit.join(sets, "node").select("x", "node", F.col("node").alias("c"), F.lit(BOTH).alias("role"), "shingles").groupBy("x").applyInArrow(_searcher(threshold), "a bigint, b bigint")
-    found = work.write(found, "links")
-    if sizes.where(~fits).isEmpty():
-        return found
-    wide = rows.join(sizes.where(~fits).select("family"), "family").select("family", "node", "n")
-    return found.unionByName(_wide(wide, edges, large, sets, work, threshold))
+    dealt = F.when(fits, F.pmod(F.xxhash64("family"), F.lit(bins)))  # null: in a family wider than a block
+    rows = work.write(rows.join(sizes, "family").select("family", "node", "n", "h1", "h2", "id", dealt.alias("x")), "dealt")
+    sets = _ordered_sets(picked(docs, rows.select("id"), work), levels, shingle)
+    sets = work.write(sets.join(rows.select("id", "h1", "h2", "node", "x"), ["id", "h1", "h2"]).select("x", "node", "shingles"), "sets")
+    fit = sets.where("x IS NOT NULL").select("x", "node", F.col("node").alias("c"), F.lit(BOTH).alias("role"), "shingles")
+    found = work.write(fit.groupBy("x").applyInArrow(_searcher(threshold), "a bigint, b bigint"), "links")
+    wide = rows.where("x IS NULL").select("family", "node", "n")
+    if not wide.isEmpty():
+        found = found.unionByName(_wide(wide, edges, large, sets.where("x IS NULL").select("node", "shingles"), work, threshold))
+    work.drop(sets)
+    return found
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -414,15 +439,20 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     kind = docs.schema[key].dataType
     if not isinstance(kind, T.IntegralType):
         raise TypeError(f"{key} is {kind.simpleString()}, not an integer")
-    work = Workspace(spark, "join")
+    work = Workspace(spark, "join", release=True)
     rows = docs.select(docs[key].cast("bigint").alias("id"), docs[text].alias("text"))
     levels = spark.sparkContext.broadcast(rarity(rows, work, shingle))
-    signed = work.write(profiles(rows, levels, shingle, threshold), "profiles")
-    name = ["n", "h1", "h2"]
-    some = signed.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy(*name).agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = work.write(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = links(rows, classes, levels, work, shingle, threshold, block)
+    whole = work.write(profiles(rows, levels, shingle, threshold), "profiles")
+    name, nonempty = ["n", "h1", "h2"], "n > 0 AND id IS NOT NULL"
+    wide = whole.where(nonempty).groupBy(*name).agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    wide = work.write(wide.withColumn("node", F.monotonically_increasing_id()), "classes")
+    signed = work.write(whole.select("id", *name), "signed")  # what is used beyond the candidates
+    work.drop(whole)
+    edges, large = candidates(wide, work, threshold)
+    classes = work.write(wide.select("node", "id", *name), "names")
+    work.drop(wide)
+    found = links(rows, classes, edges, large, levels, work, shingle, threshold, block)
+    some = signed.where(nonempty)
 
     several = some.groupBy("id").agg(F.min(F.struct(*name)).alias("least"), F.max(F.struct(*name)).alias("most")).where("least <> most").select("id")
     several = work.write(several, "several")
@@ -434,8 +464,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     parts = parts.unionByName(parts.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "node")
     ids = parts.join(classes.select("node", "id", *name), "node")
     least = ids.groupBy("component").agg(F.min("id").alias("least"))
-    named = work.write(ids.join(least, "component").select(*name, "least"), "named")
-    named = classes.select(*name, "id").join(named, name, "left").select(*name, F.coalesce("least", "id").alias("component"))
+    joined = work.write(ids.join(least, "component").select(*name, "least"), "joined")
+    named = classes.select(*name, "id").join(joined, name, "left").select(*name, F.coalesce("least", "id").alias("component"))
     full = signed.where("n > 0").select("id", *name).join(named, name, "left").select("id", "n", "component")
     out = full.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).cast(kind).alias("component_id"))

@@ -1,5 +1,6 @@
 """Operators 11 to 13 against plain versions, on odd rows, repeated rows, families and empty tables."""
 
+import os
 import random
 import re
 import zlib
@@ -245,3 +246,48 @@ def test_bitmaps_bound_the_difference():
     bits = J.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
     differ = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
     assert 60 < differ <= len(np.setxor1d(a, b))
+
+
+def test_join_moves_no_text_and_frees_what_it_used(spark, monkeypatch):
+    docs = families(7, 60, 5, 120, 0.04) + [(900, None), (901, "one two")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    plans, spaces, made, space = [], [], J._ordered_sets, J.Workspace
+    monkeypatch.setattr(J, "_ordered_sets", lambda texts, *rest: plans.append(texts._jdf.queryExecution().executedPlan().toString()) or made(texts, *rest))
+    monkeypatch.setattr(J, "Workspace", lambda *a, **k: spaces.append(space(*a, **k)) or spaces[-1])
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = [x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x]
+        return {x: os.path.getsize(x) for x in files if os.path.exists(x)}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J.jaccard_join(spark, df, shingle=4, threshold=85)
+        kept = sum(n for x, n in shuffled().items() if x not in before)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == plain_components(docs, 4, 85)
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    assert kept < 50_000
+    tables = os.listdir(spaces[0].root.removeprefix("file:").replace("//", "/"))
+    assert not any(t.endswith(("profiles", "classes", "members", "sets")) for t in tables)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_ids_are_all_picked_through_a_full_bitmap(spark, monkeypatch):
+    docs = spark.range(3000).select("id", F.lit("a").alias("text"))
+    ids = docs.where("id % 3 = 0").select("id")
+    for bits in (6, 10, 26):
+        monkeypatch.setattr(J, "FILTER_BITS", bits)
+        got = [r["id"] for r in J.picked(docs, ids, Workspace(spark, "picked")).collect()]
+        assert len(got) == len(set(got)) and set(range(0, 3000, 3)) <= set(got) and (bits < 26 or len(got) < 1100)
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 70_000, 1 << 33])
+def test_packed_counts(most):
+    counts = np.arange(64, dtype=np.uint64)
+    counts[5] = most
+    counts = np.minimum(counts, most).astype(np.uint64)
+    assert (J.unpacked(J.packed(counts), 64) == counts).all()
