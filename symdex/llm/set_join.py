@@ -16,7 +16,8 @@
    of what they lack and plus the lists of what they add (answer-level skipping). The leader reads with so much slack
    that no answer of a follower is missed. Sets in one component need no test, and a set whose component holds most of a
    block reads lists of the others alone.
-4. A family wider than a block is first joined by one verified pair a class; then classes outside its largest component
+4. A family wider than a block is first joined by one verified pair a class. Members of a larger bucket stay only if sizes,
+   places and bitmaps leave them one of another component, so that no set moves for a bucket in vain; then classes outside its largest component
    are searched against all, in a grid of blocks, the family as one or bucket by bucket, whichever is less work.
 5. Links, at most one for each set and component that a block finds, become components by large-star and small-star
    contraction.
@@ -60,6 +61,8 @@ SMALL = 8
 BLOCK_SHINGLES = 1 << 20
 #: 64-bit words of a parity bitmap.
 BITMAP_WORDS = 16
+#: Classes to a side of a cell in which a larger bucket's bitmaps are compared.
+CELL = 4096
 #: A set follows a leader if they differ in at most one of so many shingles.
 FOLLOW = 12
 
@@ -363,8 +366,8 @@ def _size_and_place(threshold: int):
     return (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & enough
 
 
-def candidates(classes: DataFrame, work: Workspace, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, members): candidate edges (a, b) whose components hold every pair at the threshold, and (k, node, n) of the larger buckets."""
+def candidates(classes: DataFrame, work: Workspace, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, members, bits): candidate edges (a, b) whose components hold every pair at the threshold, (k, node, n, pos) of the larger buckets and their bitmaps."""
     tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "k"))
     buckets = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
     buckets = work.write(buckets, "buckets")
@@ -376,15 +379,54 @@ def candidates(classes: DataFrame, work: Workspace, threshold: int) -> tuple[Dat
     pairs = small_pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
     differ = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(BITMAP_WORDS))
     near = pairs.where(f"{100 + threshold} * (n + n2 - ({differ})) >= {2 * threshold} * (n + n2)").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    large = work.write(members.where(F.col("size") > SMALL).select("k", "node", "n", "pivot"), "large")
+    large = work.write(members.where(F.col("size") > SMALL).select("k", "node", "n", "pos", "pivot"), "large")
     edges = near.unionByName(large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     edges = work.write(edges, "edges")
+    bits = work.write(bits.join(large.select("node").distinct(), "node", "left_semi"), "bits")
     for done in (buckets, members, small_pairs):
         work.drop(done)
-    return edges, large.select("k", "node", "n")
+    return edges, large.select("k", "node", "n", "pos"), bits
 
 
-def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, sets: DataFrame, work: Workspace, threshold: int) -> DataFrame:
+def partners(n: np.ndarray, pos: np.ndarray, c: np.ndarray, bits: np.ndarray, asked: np.ndarray, held: np.ndarray, t: int) -> np.ndarray:
+    """The asked rows that sizes, places and bitmaps leave a held row of another component."""
+    out = []
+    for i in range(0, len(asked), 64):
+        a = asked[i : i + 64]
+        total, rest = n[a][:, None] + n[held], np.minimum((n - pos)[a][:, None], (n - pos)[held])
+        near = (c[a][:, None] != c[held]) & (100 * np.minimum(n[a][:, None], n[held]) >= t * np.maximum(n[a][:, None], n[held])) & ((100 + t) * rest >= t * total)
+        x, y = np.nonzero(near)
+        for j in range(0, len(x), 1 << 16):
+            part = slice(j, j + (1 << 16))
+            differ = np.bitwise_count(bits[a[x[part]]] ^ bits[held[y[part]]]).sum(1, dtype=np.int64)
+            far = (100 + t) * (total[x[part], y[part]] - differ) < 2 * t * total[x[part], y[part]]
+            near[x[part][far], y[part][far]] = False
+        out.append(a[near.any(1)])
+    return np.concatenate(out) if out else asked
+
+
+def _with_partners(large: DataFrame, bits: DataFrame, work: Workspace, threshold: int) -> DataFrame:
+    """(k, node) of (k, node, c, n, pos) with a member of another component in the bucket that the filters leave."""
+
+    def run(block: pa.Table) -> pa.Table:
+        node, n, pos, c, asked = (block.column(x).to_numpy() for x in ("node", "n", "pos", "c", "asked"))
+        words = block.column("bits").combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        rows = partners(n, pos.astype(np.int64), c, words.flatten().to_numpy().view(U).reshape(len(n), -1), np.flatnonzero(asked == 1), np.flatnonzero(asked == 0), threshold)
+        return pa.table({"k": pa.array(block.column("k").to_numpy()[rows], pa.int64()), "node": pa.array(node[rows], pa.int64())})
+
+    mixed = large.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
+    mixed = work.write(mixed.select("k", F.ceil(F.col("m") / CELL).cast("int").alias("g")), "mixed")
+    dealt = large.join(mixed, "k").join(bits, "node")
+    own, each = F.pmod(F.xxhash64("node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    rest = ["node", "n", "pos", "c", "bits"]
+    held = dealt.select("k", own.alias("x"), each.alias("y"), F.lit(0).alias("asked"), *rest)
+    asked = dealt.select("k", each.alias("x"), own.alias("y"), F.lit(1).alias("asked"), *rest)
+    found = held.unionByName(asked).groupBy("k", "x", "y").applyInArrow(run, "k bigint, node bigint")
+    return work.write(found.distinct(), "partners")
+
+
+def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, bits: DataFrame, sets: DataFrame, work: Workspace, threshold: int) -> DataFrame:
     """Links of families wider than a block; `rows` is (family, node, n)."""
     inside = edges.join(rows.select(F.col("node").alias("b")), "b", "left_semi")
     pairs = inside.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -392,10 +434,11 @@ def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, sets: DataFrame,
     found = work.write(_verified(work.write(pairs, "first"), known, threshold), "first-links")
     parts = work.write(components(found, work), "first-parts")
     rows = work.write(rows.join(parts.withColumnRenamed("id", "node"), "node", "left").select("family", "node", "n", F.coalesce("component", "node").alias("c")), "wide")
-    as_one = rows.select("family", F.lit(None).cast("bigint").alias("k"), "node", "c", "n")
     pair_keys = inside.select(F.xxhash64("a", "b").alias("k"), F.explode(F.array("a", "b")).alias("node"))  # a candidate pair is a bucket of its own
-    apart = rows.join(large.select("k", "node").unionByName(pair_keys), "node").select("family", "k", "node", "c", "n")
+    kept = _with_partners(large.select("k", "node", "n", "pos").join(rows.select("node", "c"), "node"), bits, work, threshold)
+    apart = rows.join(kept.unionByName(pair_keys), "node").select("family", "k", "node", "c", "n")
     apart = work.write(apart, "apart")
+    as_one = apart.select("family", F.lit(None).cast("bigint").alias("k"), "node", "c", "n").distinct()
     both = _blocks(as_one, "family").unionByName(_blocks(apart, "family", "k"))
     both = both.withColumn("work", F.col("s") * F.col("asked")).withColumn("whole", F.col("k").isNull())
     ways = both.groupBy("family").agg(F.sum(F.when(F.col("whole"), F.col("work"))).alias("together"), F.sum(F.when(~F.col("whole"), F.col("work"))).alias("apart"))
@@ -411,7 +454,7 @@ def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, sets: DataFrame,
     return found.unionByName(work.write(more, "wide-links"))
 
 
-def links(docs: DataFrame, classes: DataFrame, edges: DataFrame, large: DataFrame, levels, work: Workspace, shingle: int, threshold: int, block: int) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, edges: DataFrame, large: DataFrame, bits: DataFrame, levels, work: Workspace, shingle: int, threshold: int, block: int) -> DataFrame:
     """Links (a, b) between classes (node, n, h1, h2, id) that connect every component of their candidates; `docs` is (id, text)."""
     families = components(edges, work)
     families = families.unionByName(families.select(F.col("component").alias("id"), "component").distinct())
@@ -429,7 +472,7 @@ def links(docs: DataFrame, classes: DataFrame, edges: DataFrame, large: DataFram
     found = work.write(fit.groupBy("x").applyInArrow(_searcher(threshold), "a bigint, b bigint"), "links")
     wide = rows.where("x IS NULL").select("family", "node", "n")
     if not wide.isEmpty():
-        found = found.unionByName(_wide(wide, edges, large, sets.where("x IS NULL").select("node", "shingles"), work, threshold))
+        found = found.unionByName(_wide(wide, edges, large, bits, sets.where("x IS NULL").select("node", "shingles"), work, threshold))
     work.drop(sets)
     return found
 
@@ -448,10 +491,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     wide = work.write(wide.withColumn("node", F.monotonically_increasing_id()), "classes")
     signed = work.write(whole.select("id", *name), "signed")  # what is used beyond the candidates
     work.drop(whole)
-    edges, large = candidates(wide, work, threshold)
+    edges, large, bits = candidates(wide, work, threshold)
     classes = work.write(wide.select("node", "id", *name), "names")
     work.drop(wide)
-    found = links(rows, classes, edges, large, levels, work, shingle, threshold, block)
+    found = links(rows, classes, edges, large, bits, levels, work, shingle, threshold, block)
     some = signed.where(nonempty)
 
     several = some.groupBy("id").agg(F.min(F.struct(*name)).alias("least"), F.max(F.struct(*name)).alias("most")).where("least <> most").select("id")

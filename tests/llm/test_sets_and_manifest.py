@@ -291,3 +291,15 @@ def test_packed_counts(most):
     counts[5] = most
     counts = np.minimum(counts, most).astype(np.uint64)
     assert (J.unpacked(J.packed(counts), 64) == counts).all()
+
+
+def test_partners_are_what_the_filters_leave_of_another_component():
+    r = np.random.default_rng(4)
+    base = [r.integers(0, 1 << 62, 100).astype(np.uint64) for _ in range(30)]
+    rows = [np.unique(np.concatenate([b[i:], r.integers(0, 1 << 62, i).astype(np.uint64)])) for b in base for i in (0, 3)] + [r.integers(0, 1 << 62, 100).astype(np.uint64) for _ in range(100)]
+    n = np.array([len(x) for x in rows])
+    bits = J.bitmaps(np.concatenate(rows), np.concatenate(([0], np.cumsum(n)))).reshape(len(rows), -1).view(np.uint64)
+    every, apart = np.arange(len(rows)), np.arange(len(rows))
+    assert J.partners(n, np.zeros(len(rows), np.int64), apart, bits, every, every, 85).tolist() == list(range(60))  # sets with a near one
+    assert J.partners(n, np.zeros(len(rows), np.int64), apart // 2, bits, every, every, 85).tolist() == []  # joined already
+    assert J.partners(n, np.full(len(rows), 60), apart, bits, every, every, 85).tolist() == []  # places rule them out
