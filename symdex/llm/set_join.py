@@ -5,10 +5,12 @@
    power of two, so that what each task gets is 2^SKETCH_BITS bytes at any size. Equal counters are ordered by hash. The
    order has no part in what is found, only in how much is looked at.
 2. Texts with equal sets are one class. Two sets that reach the threshold share a shingle of their prefixes (the first
-   n - ceil(t * n) + 1 in the order). Each two classes of a bucket (those with one prefix shingle) of up to SMALL classes
-   are candidates if sizes, places and parity bitmaps don't rule it out; classes of a larger bucket are held together by
-   its first one. Families are the components of candidates; only their sets are made again and moved. Their texts are
-   picked by a bitmap of hashed ids, which has at most 2^FILTER_BITS bits at any size, so that no text is ever moved.
+   n - ceil(t * n) + 1 in the order). Each two classes of a bucket (those with one prefix shingle) are candidates if sizes,
+   places and parity bitmaps don't rule it out; a bucket of more than SMALL classes is looked at in cells of bounded size,
+   which give as many candidates as join what their filters leave. Sets of more than LONG shingles have prefixes so long
+   that unlike ones share some: a bucket of theirs is a range of sizes, and their bitmaps are as wide as they have shingles.
+   Families are the components of candidates; only their sets are made again and moved. Their texts are picked by a bitmap
+   of hashed ids, which has at most 2^FILTER_BITS bits at any size, so that no text is ever moved.
 3. Families are dealt to blocks of a bounded number of shingles. A block has an inverted list for each shingle, in stretches
    of one place in the set, by size in a stretch. A set that leads reads the lists of its own prefix and skips each
    stretch that place and size rule out (index-level skipping), then counts exactly what it shares with the candidates.
@@ -36,6 +38,7 @@ are not looked at. The key is of an integer type and keeps it; keys of other typ
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -61,8 +64,10 @@ SMALL = 8
 BLOCK_SHINGLES = 1 << 20
 #: 64-bit words of a parity bitmap.
 BITMAP_WORDS = 16
-#: Classes to a side of a cell in which a larger bucket's bitmaps are compared.
-CELL = 4096
+#: Shingles up to which two sets meet through their prefixes.
+LONG = 2048
+#: Classes to a side of a cell in which a larger bucket's bitmaps are compared, and about how many bytes of cells go to one call.
+CELL, CELLS_BYTES = 4096, 1 << 23
 #: A set follows a leader if they differ in at most one of so many shingles.
 FOLLOW = 12
 
@@ -122,13 +127,34 @@ def prefix_sizes(n: np.ndarray, threshold: int) -> np.ndarray:
     return np.where(n > 0, n + (-threshold * n) // 100 + 1, 0)
 
 
+def parities(values: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Bitmaps of so many 64-bit words for each set, one after the other."""
+    start = np.concatenate(([0], np.cumsum(64 * words)))
+    text = np.repeat(np.arange(len(words)), np.diff(first))
+    bit = (mix(values ^ U(0x5851F42D4C957F2D)) >> U(32)).astype(np.int64) % (64 * words[text])
+    odd = np.bincount(start[text] + bit, minlength=start[-1]) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bitmaps(values: np.ndarray, first: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
     """For each set the parity of its shingles by bit: two sets differ in at least as many shingles as their bitmaps in bits."""
-    texts = len(first) - 1
-    bit = (mix(values ^ U(0x5851F42D4C957F2D)) >> U(32)).astype(np.int64) % (64 * words)
-    text = np.repeat(np.arange(texts), np.diff(first))
-    odd = np.bincount(text * (64 * words) + bit, minlength=texts * 64 * words) & 1
-    return np.packbits(odd.reshape(texts, 64 * words).astype(np.uint8), axis=1).view(np.int64)
+    return parities(values, first, np.full(len(first) - 1, words)).reshape(len(first) - 1, words)
+
+
+def long_words(n: np.ndarray, threshold: int, long: int) -> np.ndarray:
+    """Words of a long set's bitmap, a power of two: a bit to a shingle, more where a low threshold allows many differences."""
+    bits = n * max(1.0, 8 * (100 - threshold) / (100 + threshold))
+    return np.where(n > long, 1 << np.ceil(np.log2(np.maximum(bits / 64, 1))).astype(np.int64), 0)
+
+
+def folded(words: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bitmaps of powers of two of words (n of them from `start`) as rows of the fewest: halves laid over each other have the same parities."""
+    least = n.min() if len(n) else 1
+    out = np.empty((len(n), least), words.dtype)
+    for width in np.unique(n):
+        rows = np.flatnonzero(n == width)
+        out[rows] = np.bitwise_xor.reduce(words[start[rows][:, None] + np.arange(width)].reshape(len(rows), -1, least), axis=1)
+    return out
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
@@ -136,7 +162,9 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def profiles(docs: DataFrame, levels, shingle: int, threshold: int) -> DataFrame:
-    """(id, n, h1, h2, bits, prefix) of (id, text): two sums name the set."""
+    """(id, n, h1, h2, bits, long, prefix) of (id, text): two sums name the set; `long` has a long set's bitmap, whose prefix is
+    left out where it can only meet long ones."""
+    long = LONG
 
     def make():
         level = np.frombuffer(levels.value, np.uint8)
@@ -144,14 +172,16 @@ def profiles(docs: DataFrame, levels, shingle: int, threshold: int) -> DataFrame
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             values, first = shingle_sets(bytes_of(batch, "text"), shingle)
             n = np.diff(first)
-            ordered, p = in_order(values, first, level), prefix_sizes(n, threshold)
+            ordered, p = in_order(values, first, level), np.where(n * threshold <= 100 * long, prefix_sizes(n, threshold), 0)
             at = np.arange(p.sum()) + np.repeat(first[:-1] - (np.cumsum(p) - p), p)
-            bits = bitmaps(values, first).reshape(-1)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(_signed, _set_sums(values, first)), _lists(bits, np.full(len(n), BITMAP_WORDS)), _lists(ordered[at], p)], ["id", "n", "h1", "h2", "bits", "prefix"])
+            bits, words = bitmaps(values, first).reshape(-1), long_words(n, threshold, long)
+            own = np.flatnonzero(words)
+            wide = parities(values[_ranges(first[own], n[own])], np.concatenate(([0], np.cumsum(n[own]))), words[own])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(_signed, _set_sums(values, first)), _lists(bits, np.full(len(n), BITMAP_WORDS)), _lists(wide, words), _lists(ordered[at], p)], ["id", "n", "h1", "h2", "bits", "long", "prefix"])
 
         return each
 
-    return map_texts(docs, "text", make, "id bigint, n bigint, h1 bigint, h2 bigint, bits array<bigint>, prefix array<bigint>")
+    return map_texts(docs, "text", make, "id bigint, n bigint, h1 bigint, h2 bigint, bits array<bigint>, long array<bigint>, prefix array<bigint>")
 
 
 def _ordered_sets(docs: DataFrame, levels, shingle: int) -> DataFrame:
@@ -366,26 +396,103 @@ def _size_and_place(threshold: int):
     return (100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")) & enough
 
 
+def spanned(n: np.ndarray, pos: np.ndarray, bits: np.ndarray, side: np.ndarray, t: int) -> tuple[list[int], list[int]]:
+    """Pairs of rows that join all which sizes, places and bitmaps leave of a cell; `n` ascends.
+
+    Rows of two sides meet across them, those of one side each other. A row that a component's first row leaves is not
+    looked at beside the others of it.
+    """
+    label, low, across = np.arange(len(n)), np.searchsorted(100 * n, t * n), len(n) > 0 and (side != side[0]).any()
+    a, b = [], []
+    for i in range(1, len(n)):
+        rows = np.arange(low[i], i)
+        total = n[i] + n[rows]
+        live = (100 + t) * np.minimum(n[i] - pos[i], n[rows] - pos[rows]) >= t * total
+        if across:
+            live &= side[rows] != side[i]
+        rows = rows[live]
+        first = label[rows] == rows
+        for part in (rows[first], rows[~first]):
+            part = part[label[part] != label[i]]
+            for at in range(0, len(part), 1 << 12):
+                near = part[at : at + (1 << 12)]
+                differ = np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64)
+                total = n[i] + n[near]
+                near = near[(100 + t) * (total - differ) >= 2 * t * total]
+                roots, at_root = np.unique(label[near], return_index=True)
+                for root, j in zip(roots.tolist(), near[at_root].tolist(), strict=True):
+                    mine = label[i]
+                    if root != mine:
+                        a.append(j)
+                        b.append(i)
+                        label[label == max(root, mine)] = min(root, mine)
+    return a, b
+
+
+def _in_cells(large: DataFrame, bits: DataFrame, work: Workspace, threshold: int) -> DataFrame:
+    """Candidates (a, b) that join, in each larger bucket, the members which the filters leave each other."""
+
+    def run(block: pa.Table) -> pa.Table:
+        k, x, y, side, node, n, pos = (block.column(c).to_numpy() for c in ("k", "x", "y", "side", "node", "n", "pos"))
+        words, start, size = _flat(block.column("bits"))
+        order = np.lexsort((n, y, x, k))
+        new = np.any([c[order][1:] != c[order][:-1] for c in (k, x, y)], axis=0)
+        a, b = [], []
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            found = spanned(n[rows], pos[rows].astype(np.int64), folded(words, start[rows], size[rows]), side[rows], threshold)
+            a.append(node[rows[found[0]]])
+            b.append(node[rows[found[1]]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    heavy = F.when(F.col("wide"), F.col("n") / 4).otherwise(F.lit(0)) + 8 * BITMAP_WORDS + 48
+    grid = large.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("g"), F.sum(heavy).alias("heavy"))
+    grid = work.write(grid, "grid")
+    bins = max(1, int((grid.agg(F.sum(F.col("heavy") * F.col("g"))).first()[0] or 0) // CELLS_BYTES))
+    own, other = F.pmod(F.xxhash64("node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    dealt = large.join(grid.select("k", "g"), "k").join(bits, ["node", "wide"]).select("k", own.alias("side"), other.alias("other"), "node", "n", "pos", "bits")
+    dealt = dealt.select("k", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "node", "n", "pos", "bits")
+    found = dealt.groupBy(F.pmod(F.xxhash64("k", "x", "y"), F.lit(bins)).alias("bin")).applyInArrow(run, "a bigint, b bigint")
+    found = work.write(found.distinct(), "joined-cells")
+    work.drop(grid)
+    return found
+
+
 def candidates(classes: DataFrame, work: Workspace, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, members, bits): candidate edges (a, b) whose components hold every pair at the threshold, (k, node, n, pos) of the larger buckets and their bitmaps."""
+    """(edges, members, bits): candidate edges (a, b) whose components hold every pair at the threshold, (k, wide, node, n, pos) of the larger buckets and their bitmaps."""
     tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "k"))
-    buckets = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    buckets = tokens.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = work.write(buckets, "buckets")
-    members = work.write(tokens.join(buckets, "k").select("k", "node", "n", "pos", "size", "pivot"), "members")
+    members = work.write(tokens.join(buckets, "k").select("k", "node", "n", "pos", "size"), "members")
+    work.drop(buckets)
     small = members.where(F.col("size") <= SMALL).select("k", "node", "n", "pos")
     other = small.select("k", *[F.col(c).alias(c + "2") for c in ("node", "n", "pos")])
     small_pairs = work.write(small.join(other, "k").where(F.col("node") < F.col("node2")).where(_size_and_place(threshold)).select("node", "node2", "n", "n2").distinct(), "pairs")
-    bits = classes.select("node", "bits")
-    pairs = small_pairs.join(bits, "node").join(bits.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
+    short = classes.select("node", "bits")
+    pairs = small_pairs.join(short, "node").join(short.select(F.col("node").alias("node2"), F.col("bits").alias("bits2")), "node2")
     differ = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(BITMAP_WORDS))
     near = pairs.where(f"{100 + threshold} * (n + n2 - ({differ})) >= {2 * threshold} * (n + n2)").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    large = work.write(members.where(F.col("size") > SMALL).select("k", "node", "n", "pos", "pivot"), "large")
-    edges = near.unionByName(large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    edges = work.write(edges, "edges")
-    bits = work.write(bits.join(large.select("node").distinct(), "node", "left_semi"), "bits")
-    for done in (buckets, members, small_pairs):
-        work.drop(done)
-    return edges, large.select("k", "node", "n", "pos"), bits
+    near = work.write(near, "near")
+    work.drop(small_pairs)
+    # two long sets whose sizes allow the threshold are in one range of sizes or in neighbouring ones, and so in one bucket
+    of = F.floor(F.log("n") / max(1e-3, (1 + 1e-9) * math.log(100 / threshold)))
+    ranges = classes.where(F.size("long") > 0).select(F.explode(F.array(of, of + 1)).alias("of"), "node", "n")
+    large = members.where(F.col("size") > SMALL).select("k", F.lit(False).alias("wide"), "node", "n", "pos")
+    large = work.write(large.unionByName(ranges.select(F.xxhash64(F.lit("long"), "of").alias("k"), F.lit(True).alias("wide"), "node", "n", F.lit(0).alias("pos"))), "large")
+    work.drop(members)
+    bits = short.withColumn("wide", F.lit(False)).unionByName(classes.where(F.size("long") > 0).select("node", F.col("long").alias("bits"), F.lit(True).alias("wide")))
+    bits = work.write(bits.join(large.select("node", "wide").distinct(), ["node", "wide"], "left_semi"), "bits")
+    edges = work.write(near.unionByName(_in_cells(large, bits, work, threshold)).distinct(), "edges")
+    work.drop(near)
+    return edges, large, bits
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, where each row's begin, how many) of a column of bitmaps."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    return lists.flatten().to_numpy().view(U), offsets[:-1], np.diff(offsets)
 
 
 def partners(n: np.ndarray, pos: np.ndarray, c: np.ndarray, bits: np.ndarray, asked: np.ndarray, held: np.ndarray, t: int) -> np.ndarray:
@@ -406,18 +513,16 @@ def partners(n: np.ndarray, pos: np.ndarray, c: np.ndarray, bits: np.ndarray, as
 
 
 def _with_partners(large: DataFrame, bits: DataFrame, work: Workspace, threshold: int) -> DataFrame:
-    """(k, node) of (k, node, c, n, pos) with a member of another component in the bucket that the filters leave."""
+    """(k, node) of (k, wide, node, c, n, pos) with a member of another component in the bucket that the filters leave."""
 
     def run(block: pa.Table) -> pa.Table:
         node, n, pos, c, asked = (block.column(x).to_numpy() for x in ("node", "n", "pos", "c", "asked"))
-        words = block.column("bits").combine_chunks()
-        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        rows = partners(n, pos.astype(np.int64), c, words.flatten().to_numpy().view(U).reshape(len(n), -1), np.flatnonzero(asked == 1), np.flatnonzero(asked == 0), threshold)
+        rows = partners(n, pos.astype(np.int64), c, folded(*_flat(block.column("bits"))), np.flatnonzero(asked == 1), np.flatnonzero(asked == 0), threshold)
         return pa.table({"k": pa.array(block.column("k").to_numpy()[rows], pa.int64()), "node": pa.array(node[rows], pa.int64())})
 
     mixed = large.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
     mixed = work.write(mixed.select("k", F.ceil(F.col("m") / CELL).cast("int").alias("g")), "mixed")
-    dealt = large.join(mixed, "k").join(bits, "node")
+    dealt = large.join(mixed, "k").join(bits, ["node", "wide"])
     own, each = F.pmod(F.xxhash64("node"), F.col("g")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("g") - 1))
     rest = ["node", "n", "pos", "c", "bits"]
     held = dealt.select("k", own.alias("x"), each.alias("y"), F.lit(0).alias("asked"), *rest)
@@ -435,7 +540,7 @@ def _wide(rows: DataFrame, edges: DataFrame, large: DataFrame, bits: DataFrame,
     parts = work.write(components(found, work), "first-parts")
     rows = work.write(rows.join(parts.withColumnRenamed("id", "node"), "node", "left").select("family", "node", "n", F.coalesce("component", "node").alias("c")), "wide")
     pair_keys = inside.select(F.xxhash64("a", "b").alias("k"), F.explode(F.array("a", "b")).alias("node"))  # a candidate pair is a bucket of its own
-    kept = _with_partners(large.select("k", "node", "n", "pos").join(rows.select("node", "c"), "node"), bits, work, threshold)
+    kept = _with_partners(large.join(rows.select("node", "c"), "node"), bits, work, threshold)
     apart = rows.join(kept.unionByName(pair_keys), "node").select("family", "k", "node", "c", "n")
     apart = work.write(apart, "apart")
     as_one = apart.select("family", F.lit(None).cast("bigint").alias("k"), "node", "c", "n").distinct()
@@ -487,7 +592,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     levels = spark.sparkContext.broadcast(rarity(rows, work, shingle))
     whole = work.write(profiles(rows, levels, shingle, threshold), "profiles")
     name, nonempty = ["n", "h1", "h2"], "n > 0 AND id IS NOT NULL"
-    wide = whole.where(nonempty).groupBy(*name).agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    wide = whole.where(nonempty).groupBy(*name).agg(F.min("id").alias("id"), F.first("bits").alias("bits"), F.first("long").alias("long"), F.first("prefix").alias("prefix"))
     wide = work.write(wide.withColumn("node", F.monotonically_increasing_id()), "classes")
     signed = work.write(whole.select("id", *name), "signed")  # what is used beyond the candidates
     work.drop(whole)

@@ -303,3 +303,68 @@ def test_partners_are_what_the_filters_leave_of_another_component():
     assert J.partners(n, np.zeros(len(rows), np.int64), apart, bits, every, every, 85).tolist() == list(range(60))  # sets with a near one
     assert J.partners(n, np.zeros(len(rows), np.int64), apart // 2, bits, every, every, 85).tolist() == []  # joined already
     assert J.partners(n, np.full(len(rows), 60), apart, bits, every, every, 85).tolist() == []  # places rule them out
+
+
+def test_folded_bitmaps_bound_the_difference():
+    r = np.random.default_rng(5)
+    a = np.sort(r.integers(0, 1 << 62, 5000).astype(np.uint64))
+    b = np.sort(np.concatenate([a[:4600], np.arange(100, dtype=np.uint64)]))
+    words = np.array([128, 64])
+    bits = J.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), words).view(np.uint64)
+    x, y = J.folded(bits, np.array([0, 128]), words)
+    assert len(x) == 64 and (x == J.bitmaps(a, np.array([0, len(a)]), 64)[0].view(np.uint64)).all()
+    assert 400 < np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    assert J.long_words(np.array([2048, 2049, 5000]), 85, 2048).tolist() == [0, 64, 128]
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_cells_join_what_the_filters_leave(sides):
+    r = np.random.default_rng(6)
+    base = [r.integers(0, 1 << 62, 100).astype(np.uint64) for _ in range(20)]
+    rows = [np.unique(np.concatenate([b[i:], r.integers(0, 1 << 62, r.integers(0, 6)).astype(np.uint64)])) for b in base for i in range(0, 24, 3)]
+    rows.sort(key=len)
+    n = np.array([len(x) for x in rows])
+    bits = J.bitmaps(np.concatenate(rows), np.concatenate(([0], np.cumsum(n)))).view(np.uint64)
+    pos, side = r.integers(0, 15, len(rows)), np.arange(len(rows)) % sides
+    want, got = J.Forest(np.arange(len(rows))), J.Forest(np.arange(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            total, differ = n[i] + n[j], int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            fits = 100 * n[j] >= 85 * n[i] and 185 * min(n[i] - pos[i], n[j] - pos[j]) >= 85 * total and 185 * (total - differ) >= 170 * total
+            if fits and (sides == 1 or side[i] != side[j]):
+                want.join(want.root(i), want.root(j))
+    a, b = J.spanned(n, pos, bits, side, 85)
+    for x, y in zip(a, b, strict=True):
+        got.join(got.root(x), got.root(y))
+    assert (got.roots(np.arange(len(rows))) == want.roots(np.arange(len(rows)))).all() and 20 < len(a) < len(rows)
+
+
+def test_a_frequent_passage_makes_no_family(spark):
+    """Unlike texts that share a passage, or are so long that their prefixes meet, are no candidates of each other."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(8)]
+    docs = [(i, " ".join([*(f"u{r.randrange(10**6)}" for _ in range(4)), *passage])) for i in range(30)]
+    docs += [(100 + i, " ".join([*passage, *(f"v{r.randrange(3)}" for _ in range(5000 + 10 * i))])) for i in range(12)]
+    docs += [(200 + i, " ".join([*passage, *(f"w{r.randrange(10**6)}" for _ in range(3000 + 20 * i))])) for i in range(12)]
+    docs += [(300, docs[-1][1] + " and some more words"), (301, docs[0][1] + " so")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    work = Workspace(spark, "families")
+    texts = df.select(F.col("doc_id").alias("id"), "text")
+    levels = spark.sparkContext.broadcast(J.rarity(texts, work, 4))
+    classes = work.write(J.profiles(texts, levels, 4, 85).withColumnRenamed("id", "node"), "classes")
+    edges, large, _ = J.candidates(classes, work, 85)
+    families = {x for e in edges.collect() for x in e}
+    assert {219 - 8, 300} <= families and not families & set(range(200, 211)) and large.where("NOT wide").count() > 0
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.jaccard_join(spark, df, shingle=4, threshold=85).collect()}
+    assert got == plain_components(docs, 4, 85)
+
+
+@pytest.mark.parametrize(("long", "cell", "block"), [(20, 4096, 1 << 20), (20, 16, 400), (2048, 16, 2000), (55, 16, 400)])
+def test_join_of_long_sets_in_small_cells(spark, long, cell, block, monkeypatch):
+    monkeypatch.setattr(J, "LONG", long)
+    monkeypatch.setattr(J, "CELL", cell)
+    monkeypatch.setattr(J, "CELLS_BYTES", 1 << 12)
+    docs = families(long + cell, 5, 24, 60, 0.05)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.jaccard_join(spark, df, shingle=4, threshold=85, block=block).collect()}
+    assert got == plain_components(docs, 4, 85)
