@@ -6,7 +6,7 @@ import duckdb
 
 from symdex.functions import workdir
 from symdex.operators import type_rounds
-from symdex.plans.store_queries import ORACLE_SQL, order_facts
+from symdex.plans.store_queries import ORACLE_SQL, QUERIES, order_facts
 
 
 def test_rounds_leave_their_types_alone(spark):
@@ -38,3 +38,16 @@ def test_rounds_in_parts_free_their_shuffle_files(spark, monkeypatch):
         want = db.execute(ORACLE_SQL["x6_types_of_calls"]).fetchall()
     got = types.select("file_id", "name", "col", "type_hint", "confidence", "round").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_types_after_changes_leave_little_behind(spark):
+    root = workdir.ensure_checkpoint_dir(spark).removeprefix("file:") + "/symdex"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    types = QUERIES["w6_types_after_changes"](spark, "/root/testdata/sf0.001")
+    left = [x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before]
+    assert "results" not in left and left.count("local_vars") == 2 and left.count("symbols") == 1
+    with duckdb.connect() as db:
+        for t in ("orders", "lineitem"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+        want = db.execute(ORACLE_SQL["w6_types_after_changes"]).fetchall()
+    assert sorted(map(str, map(tuple, types.collect()))) == sorted(map(str, want))
